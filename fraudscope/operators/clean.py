@@ -221,3 +221,19 @@ def clean_credit_data(raw: DataFrame) -> DataFrame:
 def credit_feature_order(df: DataFrame) -> DataFrame:
     cols = CREDIT_NUMERIC_FEATURES + CREDIT_CATEGORICAL_FEATURES + [CREDIT_TARGET]
     return df.select(*cols)
+
+
+def dedup_counters(df: DataFrame, target: str) -> DataFrame:
+    """A1/A3 counters in one shuffle: raw rows, distinct rows, duplicates, NULL-target rows, kept rows.
+
+    ``groupBy(all columns)`` is the de-duplication itself (NULLs compare equal);
+    its partial aggregate collapses a hot duplicated row before the shuffle.
+    """
+    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    return g.agg(
+        F.sum("_n").cast("long").alias("rows_raw"),
+        F.count(F.lit(1)).cast("long").alias("rows_deduplicated"),
+        (F.sum("_n") - F.count(F.lit(1))).cast("long").alias("duplicates_removed"),
+        F.count_if(F.col(target).isNull()).cast("long").alias("null_target_removed"),
+        F.count_if(F.col(target).isNotNull()).cast("long").alias("rows_clean"),
+    )

@@ -174,3 +174,61 @@ german AS (
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(x.strip() for x in ctes)
+
+
+def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary scored rows: y = labels.quality, p = n_chars / (n_chars + 5000) (a monotone score)."""
+    lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    doc = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    n = F.col("n_chars").cast("double")
+    return lab.join(doc, "doc_id").select(
+        "doc_id",
+        F.col("quality").cast("int").alias("y"),
+        F.col("toxic").cast("int").alias("y_toxic"),
+        (n / (n + F.lit(5000.0))).alias("p"),
+    )
+
+
+SCORED_DOCUMENTS_SQL = """
+scored AS (
+  SELECT d.doc_id, CAST(l.quality AS INTEGER) AS y, CAST(l.toxic AS INTEGER) AS y_toxic,
+         CAST(d.n_chars AS DOUBLE) / (CAST(d.n_chars AS DOUBLE) + CAST(5000 AS DOUBLE)) AS p
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+)
+"""
+
+
+def scored_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """3-class scored rows: actual from l_returnflag (A/N/R -> 0/1/2), rule probabilities, argmax prediction."""
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_discount", "l_tax"
+    )
+    s0 = F.col("l_quantity")
+    s1 = F.col("l_discount") * F.lit(500.0)
+    s2 = F.col("l_tax") * F.lit(625.0)
+    tot = s0 + s1 + s2
+    out = li.select(
+        "l_orderkey", "l_linenumber",
+        F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("actual"),
+        (s0 / tot).alias("p0"), (s1 / tot).alias("p1"), (s2 / tot).alias("p2"),
+    )
+    return out.withColumn(
+        "predicted",
+        F.when((F.col("p0") >= F.col("p1")) & (F.col("p0") >= F.col("p2")), 0)
+        .when(F.col("p1") >= F.col("p2"), 1).otherwise(2),
+    )
+
+
+SCORED_LINEITEMS_SQL = """
+li3 AS (
+  SELECT l_orderkey, l_linenumber,
+         CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'N' THEN 1 ELSE 2 END AS actual,
+         l_quantity / (l_quantity + l_discount * CAST(500 AS DOUBLE) + l_tax * CAST(625 AS DOUBLE)) AS p0,
+         l_discount * CAST(500 AS DOUBLE) / (l_quantity + l_discount * CAST(500 AS DOUBLE) + l_tax * CAST(625 AS DOUBLE)) AS p1,
+         l_tax * CAST(625 AS DOUBLE) / (l_quantity + l_discount * CAST(500 AS DOUBLE) + l_tax * CAST(625 AS DOUBLE)) AS p2
+  FROM lineitem
+),
+scored3 AS (
+  SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS predicted FROM li3
+)
+"""
