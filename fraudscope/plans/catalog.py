@@ -46,7 +46,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all():
     # importing the modules registers their queries
-    from . import queries_clean, queries_features  # noqa: F401
+    from . import queries_clean, queries_features, queries_metrics  # noqa: F401
 
 
 # ---------------------------------------------------------------------------
