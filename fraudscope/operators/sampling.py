@@ -97,3 +97,89 @@ def positive_class_weight(df: DataFrame, label: str) -> DataFrame:
 def with_weights(df: DataFrame, label: str, weights: dict, col: str = "weight") -> DataFrame:
     m = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))])
     return df.withColumn(col, F.coalesce(F.try_element_at(m, F.col(label)), F.lit(1.0)))
+
+
+def mark_smallest_hash(df: DataFrame, label: str, key_cols: list, quotas: dict, seed: int = 42,
+                       flag: str = "picked") -> DataFrame:
+    """Flag exactly ``quotas[label]`` rows per label: those with the smallest key hash.
+
+    Same bounded plan as ``stratified_split``: counts per (label, 16-bit hash bucket),
+    cut-off bucket per label from that small table, ranking only inside it.
+    """
+    q = F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(int(v)))])
+    h = row_hash(key_cols, seed)
+    shift = 60 - N_BUCKET_BITS
+    hashed = df.withColumn("_h", h).withColumn("_hb", F.shiftright(F.col("_h"), shift))
+    counts = hashed.groupBy(label, "_hb").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(label).orderBy("_hb").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = counts.withColumn("_cum", F.sum("_n").over(w)).withColumn("_before", F.col("_cum") - F.col("_n"))
+    cum = cum.withColumn("_q", F.coalesce(F.try_element_at(q, F.col(label)), F.lit(0)).cast("long"))
+    cut = cum.filter((F.col("_before") < F.col("_q")) & (F.col("_cum") >= F.col("_q"))).select(
+        label, F.col("_hb").alias("_cut"), (F.col("_q") - F.col("_before")).alias("_need"))
+    tagged = hashed.join(F.broadcast(cut), label, "left")
+    inside = tagged.filter(F.col("_hb") == F.col("_cut"))
+    outside = tagged.filter(F.col("_cut").isNull() | (F.col("_hb") != F.col("_cut")))
+    w_in = Window.partitionBy(label, "_cut").orderBy("_h")
+    a = inside.withColumn(flag, F.row_number().over(w_in) <= F.col("_need"))
+    b = outside.withColumn(flag, F.col("_cut").isNotNull() & (F.col("_hb") < F.col("_cut")))
+    cols = df.columns + [flag]
+    return a.select(*cols).unionByName(b.select(*cols))
+
+
+def _u(seed: int, tag: str, *cols) -> Column:
+    """Deterministic uniform [0, 1) from (seed, tag, cols)."""
+    key = F.concat_ws("|", F.lit(str(seed)), F.lit(tag), *[F.col(c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))
+
+
+def smote(df: DataFrame, label: str, vec_col: str, id_col: str, k: int = 5, seed: int = 42,
+          block_rows: int | None = None) -> DataFrame:
+    """M8: oversample every class below the majority size up to it, SMOTE style.
+
+    Output: ``df``'s (id, label, vec) rows with ``synthetic = false`` plus the new
+    rows (``synthetic = true``, id NULL).  For a class of n_c rows that needs
+    n_need extra rows, every row is the base of ``n_need // n_c`` samples and the
+    ``n_need % n_c`` rows with the smallest hash of one more, so the class ends up
+    exactly at the majority size.  For each sample a neighbour among the k
+    nearest of the same class and a gap in [0, 1) are drawn from hashes of
+    (seed, row id, sample number): the result does not depend on partitioning.
+    New point = base + gap * (neighbour - base).
+    """
+    from .knn import DEFAULT_BLOCK_ROWS, knn_same_class
+
+    counts = {r[label]: int(r["n"]) for r in class_counts(df, label).collect()}  # one row per class
+    if not counts:
+        return df
+    n_major = max(counts.values())
+    need = {c: n_major - n for c, n in counts.items() if n < n_major}
+    base_cols = df.select(F.col(id_col).alias("id"), F.col(label).alias("label"),
+                          F.col(vec_col).alias("vec"), F.lit(False).alias("synthetic"))
+    if not need:
+        return base_cols
+    small = [c for c in need if counts[c] <= k]
+    if small:
+        raise ValueError(f"Expected n_neighbors <= n_samples: classes {small} have <= {k} rows")
+    minority = base_cols.filter(F.col("label").isin(list(need)))
+    nbrs = knn_same_class(minority, "id", "label", "vec", k=k, block_rows=block_rows or DEFAULT_BLOCK_ROWS)
+    # at most k rows per id: a bounded list
+    nbr_lists = nbrs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbor_id"))).alias("nl"))
+    nbr_lists = nbr_lists.select("id", F.transform("nl", lambda s: s["neighbor_id"]).alias("nbr_ids"))
+    per = {c: need[c] // counts[c] for c in need}
+    extra = {c: need[c] % counts[c] for c in need}
+    flagged = mark_smallest_hash(minority.select("id", "label"), "label", ["id"], extra, seed=seed, flag="_extra")
+    pm = F.create_map(*[x for c, v in per.items() for x in (F.lit(c), F.lit(int(v)))])
+    reps = flagged.withColumn("_m", F.try_element_at(pm, F.col("label")) + F.col("_extra").cast("int"))
+    samples = (reps.filter(F.col("_m") > 0)
+               .withColumn("s", F.explode(F.sequence(F.lit(1), F.col("_m"))))
+               .join(nbr_lists, "id"))
+    samples = samples.withColumn(
+        "nbr", F.col("nbr_ids")[F.floor(_u(seed, "n", "id", "s") * F.size("nbr_ids")).cast("int")]
+    ).withColumn("gap", _u(seed, "g", "id", "s"))
+    vec = minority.select("id", "vec")
+    joined = samples.join(vec, "id").join(vec.select(F.col("id").alias("nbr"), F.col("vec").alias("nvec")), "nbr")
+    synth = joined.select(
+        F.lit(None).cast(base_cols.schema["id"].dataType).alias("id"), "label",
+        F.zip_with("vec", "nvec", lambda a, b: a + F.col("gap") * (b - a)).alias("vec"),
+        F.lit(True).alias("synthetic"),
+    )
+    return base_cols.unionByName(synth)

@@ -46,7 +46,14 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all():
     # importing the modules registers their queries
-    from . import queries_clean, queries_drift, queries_features, queries_metrics, queries_misc  # noqa: F401
+    from . import (  # noqa: F401
+        queries_clean,
+        queries_drift,
+        queries_features,
+        queries_metrics,
+        queries_misc,
+        queries_models,
+    )
 
 
 # ---------------------------------------------------------------------------
