@@ -35,6 +35,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 DEFAULT_BLOCK_ROWS = 1024
 _CHUNK = 128
 
@@ -112,6 +114,10 @@ def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec_col: str, k:
     sizes = sizes.withColumn("n_sub", F.greatest(F.lit(1), F.ceil(F.col("cnt") / F.lit(block_rows))).cast("int"))
     pts = pts.join(F.broadcast(sizes.select("label", "bucket", "n_sub")), ["label", "bucket"])
     pts = pts.withColumn("sub", F.pmod(F.xxhash64("id"), F.col("n_sub")).cast("int")).drop("n_sub")
+    # the blocked points feed pass 1, the request join and pass 2: materialise them once in the
+    # shared checkpoint folder (a lost executor re-reads them instead of recomputing the lineage)
+    ensure_checkpoint_dir(pts.sparkSession)
+    pts = pts.checkpoint(eager=True)
 
     # ---------------------------------------------------------------- pass 1: inside each block
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -125,7 +131,8 @@ def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec_col: str, k:
 
     schema1 = ("id long, label long, bucket int, sub int, t double, radius double, "
                "nbrs array<long>, dists array<double>")
-    p1 = pts.groupBy("label", "bucket", "sub").applyInPandas(local, schema1)
+    # pass-1 output is read twice (requests and merge): checkpoint so the Python pass runs once
+    p1 = pts.groupBy("label", "bucket", "sub").applyInPandas(local, schema1).checkpoint(eager=True)
 
     # ---------------------------------------------------------------- pass 2: blocks within reach
     req = p1.select("id", "label", "bucket", "sub", "radius",
@@ -150,8 +157,21 @@ def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec_col: str, k:
         nb, ds = _top_k(qids, qv, pids, pv, k, exclude_self=False, limits=left["radius"].to_numpy())
         return pd.DataFrame({"id": qids, "nbrs": nb, "dists": ds})
 
-    p2 = (req.groupBy("label", "bucket", "sub")
-          .cogroup(pts.select("label", "bucket", "sub", "id", "vec").groupBy("label", "bucket", "sub"))
+    # A block asked by many points (a dense region, or high dimension where the 1-D bound prunes
+    # little) is served in chunks of at most ``block_rows`` askers, the block's points being
+    # replicated once per chunk, so every cogroup group stays ~block_rows x block_rows.
+    keys = ["label", "bucket", "sub"]
+    n_req = req.groupBy(*keys).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("n_rc"))
+    # one row per asked block (at most n / block_rows rows): a small local table
+    rows, schema = n_req.collect(), n_req.schema
+    spark = pts.sparkSession
+    req = req.join(F.broadcast(spark.createDataFrame(rows, schema)), keys).withColumn(
+        "rc", F.pmod(F.xxhash64("qid"), F.col("n_rc")).cast("int")).drop("n_rc")
+    right = pts.select(*keys, "id", "vec").join(F.broadcast(spark.createDataFrame(rows, schema)), keys).withColumn(
+        "rc", F.explode(F.sequence(F.lit(0), F.col("n_rc") - 1))).drop("n_rc")
+    p2 = (req.groupBy(*keys, "rc")
+          .cogroup(right.groupBy(*keys, "rc"))
           .applyInPandas(cross, "id long, nbrs array<long>, dists array<double>"))
 
     # ---------------------------------------------------------------- merge

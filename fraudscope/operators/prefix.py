@@ -3,14 +3,16 @@
 ``cumulative`` takes a table already reduced to one row per distinct key (for a
 score table that is ``groupBy(score)``, so a hot score that holds a third of all
 rows is one row here) and returns every row with inclusive running sums of the
-measure columns plus the next key in order.
+measure columns plus the next key in order — optionally within groups (one
+curve per class, one ECDF per column).
 
 Plan: cut points from ``percentile_approx`` split the keys into ordered buckets;
-running sums and ``lead`` are computed with a window partitioned by bucket (each
-bucket is one bounded task); the per-bucket totals form a table with one row per
-bucket whose exclusive prefix sums and "first key of the next bucket" are added
-back through a broadcast join whose size is the bucket count.  Only the bucket
-table is ordered globally.
+running sums and ``lead`` are computed with a window partitioned by (group,
+bucket), so each bucket is one bounded task; the per-(group, bucket) totals form
+a table with one row per bucket whose exclusive prefix sums and "first key of
+the next bucket" are joined back by broadcast (its size is the bucket count,
+capped by ``MAX_BUCKETS`` per group).  Only that small table is ordered per group.
+With a single bucket the running window is already global and no join is made.
 """
 
 from __future__ import annotations
@@ -42,40 +44,45 @@ def cumulative(
     descending: bool = False,
     rows_per_bucket: int = ROWS_PER_BUCKET,
     n_rows: int | None = None,
+    groups: list[str] | None = None,
 ) -> DataFrame:
     """Add ``cum_<m>`` (inclusive running sum in key order) and ``next_<key>`` columns.
 
     ``descending=True`` orders from the largest key down (score curves).
-    ``key`` must be unique per row and non-NULL.
+    ``key`` must be unique per row within a group and non-NULL.
     """
+    groups = list(groups or [])
     if n_rows is None:
         n_rows = df.count()
     kd = "_kd"
     base = df.withColumn(kd, (-F.col(key) if descending else F.col(key)).cast("double"))
     splits = _bucket_splits(base, kd, n_rows, rows_per_bucket)
-    if len(splits) > 2:
-        bucketed = Bucketizer(splits=splits, inputCol=kd, outputCol="_b").transform(base)
-        bucketed = bucketed.withColumn("_b", F.col("_b").cast("int"))
-    else:
-        bucketed = base.withColumn("_b", F.lit(0))
+    if len(splits) <= 2:
+        w = Window.partitionBy(*groups).orderBy(kd) if groups else Window.orderBy(kd)
+        run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return base.withColumns(
+            {f"cum_{m}": F.sum(m).over(run) for m in measures} | {f"next_{key}": F.lead(key).over(w)}
+        ).drop(kd)
 
-    w_in = Window.partitionBy("_b").orderBy(kd)
+    bucketed = Bucketizer(splits=splits, inputCol=kd, outputCol="_b").transform(base)
+    bucketed = bucketed.withColumn("_b", F.col("_b").cast("int"))
+    w_in = Window.partitionBy(*groups, "_b").orderBy(kd)
     w_run = w_in.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = bucketed.withColumns(
         {f"_run_{m}": F.sum(m).over(w_run) for m in measures} | {"_lead": F.lead(key).over(w_in)}
     )
-    totals = bucketed.groupBy("_b").agg(
+    totals = bucketed.groupBy(*groups, "_b").agg(
         *[F.sum(m).alias(f"_tot_{m}") for m in measures],
         F.min_by(F.col(key), F.col(kd)).alias("_first"),
     )
-    w_all = Window.orderBy("_b")
+    w_all = Window.partitionBy(*groups).orderBy("_b") if groups else Window.orderBy("_b")
     w_prev = w_all.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_b",
+        *groups, "_b",
         *[F.coalesce(F.sum(f"_tot_{m}").over(w_prev), F.lit(0)).alias(f"_off_{m}") for m in measures],
         F.lead("_first").over(w_all).alias("_next_first"),
     )
-    joined = local.join(F.broadcast(offsets), "_b")
+    joined = local.join(F.broadcast(offsets), [*groups, "_b"])
     out = joined.withColumns(
         {f"cum_{m}": F.col(f"_off_{m}") + F.col(f"_run_{m}") for m in measures}
         | {f"next_{key}": F.coalesce(F.col("_lead"), F.col("_next_first"))}
