@@ -120,17 +120,53 @@ def q_drift_psi(spark, sf_dir):
     return spark.createDataFrame(rows, "column_name string, psi double")
 
 
-# Large-sample regime (reference > 1000 rows, as at sf0.01): Wasserstein for numeric, JS for categorical.
-_REPORT_SQL = (
-    "SELECT * FROM (VALUES "
-    f"('user_id', 'num', 'wasserstein', round({_wasserstein_sub('user_id')}, 6)), "
-    f"('event_type', 'cat', 'jensenshannon', round({_js_sub('event_type')}, 6)), "
-    f"('value', 'num', 'wasserstein', round({_wasserstein_sub('value')}, 6))"
-    ") t(column_name, column_type, stattest, statistic)"
-)
-
-
-@register("drift_report", "SELECT column_name, column_type, stattest, statistic, statistic >= 0.1 AS drift_detected FROM ("
+def _num_report_sql(col: str) -> str:
+    """Default rule for a numeric column with > 5 distinct values: KS (p < .05) when the
+    reference has <= 1000 rows, else Wasserstein / std(ref) >= .1.  KS p-value: asymptotic
+    Kolmogorov series (100 terms)."""
+    return f"""(WITH {_num_cte(col)},
+s AS (SELECT max(nr) AS nr, max(nc) AS nc, max(abs(CAST(cr AS DOUBLE) / nr - CAST(cc AS DOUBLE) / nc)) AS d,
+             sum(coalesce(abs(CAST(cr AS DOUBLE) / nr - CAST(cc AS DOUBLE) / nc) * (nv - v), 0)) AS w_raw FROM cum, t),
+sd AS (SELECT greatest(stddev_pop(CAST({col} AS DOUBLE)), 0.001) AS sd FROM events
+       WHERE ts < TIMESTAMP '{SPLIT_TS}' AND {col} IS NOT NULL),
+l AS (SELECT *, (sqrt(nr * nc / (nr + nc)) + 0.12 + 0.11 / sqrt(nr * nc / (nr + nc))) * d AS lam FROM s),
+p AS (SELECT *, CASE WHEN lam < 0.001 THEN 1.0 ELSE greatest(0.0, least(1.0, (
+        SELECT sum(2 * (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * j * j * lam * lam))
+        FROM range(1, 101) rr(j)))) END AS pks FROM l)
+SELECT '{col}' AS column_name, 'num' AS column_type,
+       CASE WHEN nr <= 1000 THEN 'ks' ELSE 'wasserstein' END AS stattest,
+       round(CASE WHEN nr <= 1000 THEN d ELSE w_raw / (SELECT sd FROM sd) END, 6) AS statistic,
+       CASE WHEN nr <= 1000 THEN pks < 0.05 ELSE w_raw / (SELECT sd FROM sd) >= 0.1 END AS drift_detected
+FROM p)"""
+
+
+def _cat_report_sql(col: str) -> str:
+    """Default rule for a categorical column with > 2 values: chi-square (p < .05) when the
+    reference has <= 1000 rows, else Jensen-Shannon distance >= .1.  Chi-square p-value:
+    1 - regularised lower incomplete gamma by its power series."""
+    return f"""(WITH {_cat_counts(col, None)},
+s AS (SELECT max(nr) AS nr, count(*) AS k,
+        sqrt(greatest(sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END
+                          + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END), 0) / 2) AS js,
+        sum(CASE WHEN r > 0 THEN (c - CAST(r AS DOUBLE) * (nc / nr)) * (c - CAST(r AS DOUBLE) * (nc / nr))
+                                 / (CAST(r AS DOUBLE) * (nc / nr)) ELSE CAST('inf' AS DOUBLE) END) AS chi
+      FROM fr, ct),
+p AS (SELECT *, CASE WHEN isinf(chi) OR chi / 2 > 2500 THEN 0.0 WHEN chi <= 0 THEN 1.0 ELSE greatest(0.0, 1 - (
+        SELECT sum(exp(-(chi / 2) + ((k - 1) / 2.0 + n) * ln(chi / 2) - lgamma((k - 1) / 2.0 + n + 1)))
+        FROM range(0, 3000) rr(n))) END AS pchi FROM s)
+SELECT '{col}' AS column_name, 'cat' AS column_type,
+       CASE WHEN nr <= 1000 THEN 'chisquare' ELSE 'jensenshannon' END AS stattest,
+       round(CASE WHEN nr <= 1000 THEN chi ELSE js END, 6) AS statistic,
+       CASE WHEN nr <= 1000 THEN pchi < 0.05 ELSE js >= 0.1 END AS drift_detected
+FROM p)"""
+
+
+# events columns: user_id and value have > 5 distinct values, event_type has 5 categories
+_REPORT_SQL = ("SELECT * FROM " + _num_report_sql("user_id") + "\nUNION ALL SELECT * FROM "
+               + _cat_report_sql("event_type") + "\nUNION ALL SELECT * FROM " + _num_report_sql("value"))
+
+
+@register("drift_report", "SELECT column_name, column_type, stattest, statistic, drift_detected FROM ("
           + _REPORT_SQL + ") r")
 def q_drift_report(spark, sf_dir):
     """Per-column drift with the default test selection."""
@@ -140,10 +176,10 @@ def q_drift_report(spark, sf_dir):
 
 
 @register("drift_summary", """
-SELECT CAST(count(*) AS BIGINT) AS n_features, CAST(count(*) FILTER (WHERE statistic >= 0.1) AS BIGINT) AS n_drifted_features,
-       round(CAST(count(*) FILTER (WHERE statistic >= 0.1) AS DOUBLE) / count(*), 6) AS drift_share,
-       CAST(count(*) FILTER (WHERE statistic >= 0.1) AS DOUBLE) / count(*) >= 0.5 AS drift_detected,
-       CAST(count(*) FILTER (WHERE statistic >= 0.1) AS DOUBLE) / count(*) > 0.15 AS alert
+SELECT CAST(count(*) AS BIGINT) AS n_features, CAST(count(*) FILTER (WHERE drift_detected) AS BIGINT) AS n_drifted_features,
+       round(CAST(count(*) FILTER (WHERE drift_detected) AS DOUBLE) / count(*), 6) AS drift_share,
+       CAST(count(*) FILTER (WHERE drift_detected) AS DOUBLE) / count(*) >= 0.5 AS drift_detected,
+       CAST(count(*) FILTER (WHERE drift_detected) AS DOUBLE) / count(*) > 0.15 AS alert
 FROM (""" + _REPORT_SQL + ") r")
 def q_drift_summary(spark, sf_dir):
     """Dataset drift summary and alert flag."""
