@@ -123,12 +123,13 @@ class Cleaner:
         dedup = self._dedup(raw).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             types = dict(dedup.dtypes)
+            n_rows = dedup.count()  # fills the cache; sizes the quantile sketches
             nulls = null_counts(dedup)
-            stats = CleanStats(counts={"rows_deduplicated": -1})
+            stats = CleanStats(counts={"rows_deduplicated": n_rows})
             numeric = [c for c in dedup.columns if _is_numeric(types[c]) and c != spec.target]
             with_nulls = [c for c in numeric if nulls[c] > 0]
             if with_nulls:
-                q = exact_quantiles(dedup, {c: [0.5] for c in with_nulls})
+                q = exact_quantiles(dedup, {c: [0.5] for c in with_nulls}, n_rows=n_rows)
                 stats.medians = {c: q[(c, 0.5)] for c in with_nulls if q[(c, 0.5)] is not None}
             kept = dedup.filter(F.col(spec.target).isNotNull())
             categorical = [c for c in dedup.columns if types[c] == "string"]
@@ -142,13 +143,13 @@ class Cleaner:
             shaped = self._after_impute(self._impute(dedup, stats))
             caps = [c for c in spec.cap_columns if c in shaped.columns]
             if caps:
-                q = exact_quantiles(shaped, {c: [spec.lower_pct, spec.upper_pct] for c in caps})
+                q = exact_quantiles(shaped, {c: [spec.lower_pct, spec.upper_pct] for c in caps}, n_rows=n_rows)
                 stats.caps = {
                     c: [q[(c, spec.lower_pct)], q[(c, spec.upper_pct)]]
                     for c in caps
                     if q[(c, spec.lower_pct)] is not None
                 }
-            stats.counts = {"null_" + c: n for c, n in nulls.items() if n > 0}
+            stats.counts.update({"null_" + c: n for c, n in nulls.items() if n > 0})
             self.stats = stats
         finally:
             dedup.unpersist()

@@ -30,6 +30,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 100_000
+# with a known row count the sketch accuracy is chosen so that a bracket holds about this many rows
+BRACKET_ROWS = 1_000_000
+MIN_ACCURACY, MAX_ACCURACY = 1_000, 1_000_000
+
+
+def accuracy_for(n_rows: int) -> int:
+    """Sketch accuracy giving brackets of ~BRACKET_ROWS rows (4 n / accuracy), within bounds."""
+    return int(min(MAX_ACCURACY, max(MIN_ACCURACY, math.ceil(4 * n_rows / BRACKET_ROWS))))
 
 
 @dataclass(frozen=True)
@@ -46,13 +54,18 @@ def interpolate(lo: float, hi: float, d: float) -> float:
 def exact_quantiles(
     df: DataFrame,
     requests: dict[str, list[float]],
-    accuracy: int = DEFAULT_ACCURACY,
+    accuracy: int | None = None,
     where: Column | None = None,
+    n_rows: int | None = None,
 ) -> dict[tuple[str, float], float | None]:
     """Return {(column, p): value} for every requested quantile (None if the column is all-null).
 
     ``where`` restricts the rows (e.g. ``credit_risk = 2`` for a conditional median).
+    ``n_rows`` (an upper bound on the rows, when the caller knows it) sizes the sketch so
+    that brackets stay ~``BRACKET_ROWS`` rows; otherwise ``DEFAULT_ACCURACY`` is used.
     """
+    if accuracy is None:
+        accuracy = accuracy_for(n_rows) if n_rows is not None else DEFAULT_ACCURACY
     targets = [_Target(i, t[0], float(t[1])) for i, t in enumerate((c, p) for c, pl in requests.items() for p in pl)]
     if not targets:
         return {}
