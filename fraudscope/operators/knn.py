@@ -163,12 +163,14 @@ def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec_col: str, k:
     keys = ["label", "bucket", "sub"]
     n_req = req.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("n_rc"))
-    # one row per asked block (at most n / block_rows rows): a small local table
-    rows, schema = n_req.collect(), n_req.schema
-    spark = pts.sparkSession
-    req = req.join(F.broadcast(spark.createDataFrame(rows, schema)), keys).withColumn(
+    # one row per asked block (at most n / block_rows rows), broadcast to both sides; each side gets
+    # its own re-aliased copy so the two joins do not share attribute ids
+    def n_req_copy():
+        return F.broadcast(n_req.select(*[F.col(c).alias(c) for c in n_req.columns]))
+
+    req = req.join(n_req_copy(), keys).withColumn(
         "rc", F.pmod(F.xxhash64("qid"), F.col("n_rc")).cast("int")).drop("n_rc")
-    right = pts.select(*keys, "id", "vec").join(F.broadcast(spark.createDataFrame(rows, schema)), keys).withColumn(
+    right = pts.select(*keys, "id", "vec").join(n_req_copy(), keys).withColumn(
         "rc", F.explode(F.sequence(F.lit(0), F.col("n_rc") - 1))).drop("n_rc")
     p2 = (req.groupBy(*keys, "rc")
           .cogroup(right.groupBy(*keys, "rc"))

@@ -71,6 +71,22 @@ def test_default_test_selection_and_summary(spark):
     assert s["n_features"] == 1 and s["drift_share"] in (0.0, 1.0) and s["alert"] == (s["drift_share"] > 0.15)
 
 
+def test_batched_report_equals_per_column(spark):
+    rows_r = [(float(i % 40), float(i % 3), "ab"[i % 2], "xyz"[i % 3]) for i in range(300)]
+    rows_c = [(float(i % 40) + 3, float(i % 3), "ab"[(i // 3) % 2], "xyz"[i % 2]) for i in range(120)]
+    schema = "a double, b double, s string, t string"
+    for mult in (1, 5):  # <= 1000 and > 1000 reference rows
+        r = spark.createDataFrame(rows_r * mult, schema)
+        c = spark.createDataFrame(rows_c, schema)
+        rep = {x["column_name"]: x for x in D.drift_report(r, c).collect()}
+        for col in ["a", "b", "s", "t"]:
+            one = D.column_drift(r, c, col)
+            got = rep[col]
+            assert got["stattest"] == one.stattest and got["drift_detected"] == one.drift_detected, col
+            if not math.isnan(one.statistic):
+                assert abs(got["statistic"] - round(one.statistic, 6)) < 1e-9, col
+
+
 def test_knn_blocked_equals_brute_force(spark):
     rng = np.random.default_rng(11)
     pts = rng.normal(size=(240, 6)).round(3)
