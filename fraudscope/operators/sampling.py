@@ -1,14 +1,21 @@
-"""Train/test split and class weights.
+"""Train/test split, quotas by hash, class weights, SMOTE.
 
 Stratified split without one task per class
 -------------------------------------------
-Every row gets a 64-bit hash ``h`` of its key columns and the seed.  Per class the
+Every row gets a 60-bit hash ``h`` of its key columns and the seed.  Per class the
 test set is the ``round(f * n_c)`` rows with the smallest ``h``.  A class may hold
-99.9 % of all rows, so ranking inside the class would be one giant task.  Instead
-rows are counted per (class, hash bucket) with a partial aggregate (65,536 buckets,
-the first 16 bits of ``h``), the cut-off bucket of every class is found on that
-small table, and only the rows of the single cut-off bucket of each class are
-ranked.  Rows below the cut-off bucket are test, rows above are train.
+99.9 % of all rows, so ranking inside the class would be one giant task.  Instead:
+
+1. rows are counted per (class, 16-bit hash prefix) with a partial aggregate; on
+   that small table (65,536 rows per class) the prefix in which each class's quota
+   runs out and the number still needed there are found;
+2. only the rows of that one prefix bucket per class (1/65,536 of the class) are
+   ranked, giving the exact threshold hash ``h*`` of each class;
+3. the split itself is a projection, ``h <= h*[class]``: one scan, no shuffle.
+
+The thresholds (one per class) are collected and inlined.  Rows with identical keys
+share a hash and always land on the same side (duplicates never straddle train and
+test); with unique keys the per-class test counts are exact.
 """
 
 from __future__ import annotations
@@ -20,11 +27,64 @@ N_BUCKET_BITS = 16
 
 
 def row_hash(cols: list, seed: int = 42) -> Column:
-    """Non-negative 63-bit hash of the key columns and the seed (partitioning-independent)."""
+    """Non-negative 60-bit hash of the key columns and the seed (partitioning-independent)."""
     key = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) if isinstance(c, str) else c for c in cols])
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
+def _typed_map(d: dict, value_type: str, key_type: str | None = None) -> Column:
+    def key(k):
+        return F.lit(k).cast(key_type) if key_type else F.lit(k)
+    return F.create_map(*[x for k, v in d.items() for x in (key(k), F.lit(v).cast(value_type))])
+
+
+def hash_thresholds(df: DataFrame, label: str, key_cols: list, seed: int = 42,
+                    quotas: dict | None = None, fraction: float | None = None) -> dict:
+    """Per class: the largest hash among its ``quota`` smallest hashes (None when the quota is 0).
+
+    ``quotas`` gives the count per class; otherwise ``round(fraction * n_class)``.
+    """
+    ktype = dict(df.dtypes)[label]
+    hashed = df.select(F.col(label).alias("_y"), row_hash(key_cols, seed).alias("_h")).filter(F.col("_y").isNotNull())
+    hashed = hashed.withColumn("_hb", F.shiftright(F.col("_h"), 60 - N_BUCKET_BITS))
+    counts = hashed.groupBy("_y", "_hb").agg(F.count(F.lit(1)).alias("_n"))
+    totals = {r["_y"]: int(r["t"]) for r in counts.groupBy("_y").agg(F.sum("_n").alias("t")).collect()}  # per class
+    if quotas is None:
+        quotas = {y: int((n * float(fraction)) + 0.5) for y, n in totals.items()}
+    want = {y: min(int(quotas.get(y, 0)), n) for y, n in totals.items()}
+    live = {y: q for y, q in want.items() if q > 0}
+    if not live:
+        return {"__key_type__": ktype, **{y: None for y in totals}}
+    w = Window.partitionBy("_y").orderBy("_hb").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    q = _typed_map(live, "long", ktype)[F.col("_y")]
+    cut_rows = (counts.filter(F.col("_y").isin(list(live)))
+                .withColumn("_cum", F.sum("_n").over(w)).withColumn("_before", F.col("_cum") - F.col("_n"))
+                .filter((F.col("_before") < q) & (F.col("_cum") >= q))
+                .select("_y", "_hb", (q - F.col("_before")).alias("_need")).collect())  # one row per class
+    cut = {r["_y"]: (int(r["_hb"]), int(r["_need"])) for r in cut_rows}
+    cond = None
+    for y, (hb, _) in cut.items():
+        c = (F.col("_y") == F.lit(y)) & (F.col("_hb") == F.lit(hb))
+        cond = c if cond is None else cond | c
+    need = _typed_map({y: n for y, (_, n) in cut.items()}, "long", ktype)
+    w_in = Window.partitionBy("_y").orderBy("_h")
+    thr = (hashed.filter(cond).withColumn("_rn", F.row_number().over(w_in))
+           .filter(F.col("_rn") == need[F.col("_y")]).select("_y", "_h").collect())  # one row per class
+    out = {y: None for y in totals}
+    out.update({r["_y"]: int(r["_h"]) for r in thr})
+    return {"__key_type__": ktype, **out}
+
+
+def in_quota(label: str, key_cols: list, thresholds: dict, seed: int = 42) -> Column:
+    """Boolean column: the row's hash is within its class threshold."""
+    ktype = thresholds.get("__key_type__")
+    live = {y: t for y, t in thresholds.items() if t is not None and y != "__key_type__"}
+    if not live:
+        return F.lit(False)
+    thr = _typed_map(live, "long", ktype)[F.col(label)]
+    return F.coalesce(row_hash(key_cols, seed) <= thr, F.lit(False))
+
+
 def stratified_split(
     df: DataFrame,
     label: str,
@@ -33,33 +93,9 @@ def stratified_split(
     seed: int = 42,
     split_col: str = "split",
 ) -> DataFrame:
-    """Return ``df`` with ``split_col`` = 'test' / 'train' (exact per-class test counts)."""
-    h = row_hash(key_cols, seed)
-    shift = 60 - N_BUCKET_BITS  # 60 bits of hash (15 hex digits)
-    hashed = df.withColumn("_h", h).withColumn("_hb", F.shiftright(F.col("_h"), shift))
-    counts = hashed.groupBy(label, "_hb").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(label).orderBy("_hb").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = counts.withColumn("_cum", F.sum("_n").over(w)).withColumn("_before", F.col("_cum") - F.col("_n"))
-    totals = counts.groupBy(label).agg(F.sum("_n").alias("_total"))
-    n_test = F.floor(F.col("_total") * F.lit(float(test_fraction)) + F.lit(0.5)).cast("long")
-    # the bucket of every class in which the test quota runs out (one row per class)
-    cut = (
-        cum.join(totals.withColumn("_q", n_test), label)
-        .filter((F.col("_before") < F.col("_q")) & (F.col("_cum") >= F.col("_q")))
-        .select(label, F.col("_hb").alias("_cut"), (F.col("_q") - F.col("_before")).alias("_need"))
-    )
-    tagged = hashed.join(F.broadcast(cut), label, "left")
-    inside = tagged.filter(F.col("_hb") == F.col("_cut"))
-    outside = tagged.filter(F.col("_cut").isNull() | (F.col("_hb") != F.col("_cut")))
-    w_in = Window.partitionBy(label, "_cut").orderBy("_h")
-    ranked = inside.withColumn(
-        split_col, F.when(F.row_number().over(w_in) <= F.col("_need"), "test").otherwise("train")
-    )
-    rest = outside.withColumn(
-        split_col, F.when(F.col("_cut").isNotNull() & (F.col("_hb") < F.col("_cut")), "test").otherwise("train")
-    )
-    cols = df.columns + [split_col]
-    return ranked.select(*cols).unionByName(rest.select(*cols))
+    """Return ``df`` with ``split_col`` = 'test' / 'train' (per-class test counts round(f * n_c))."""
+    thr = hash_thresholds(df, label, key_cols, seed, fraction=test_fraction)
+    return df.withColumn(split_col, F.when(in_quota(label, key_cols, thr, seed), "test").otherwise("train"))
 
 
 def hash_fraction_split(df: DataFrame, key_cols: list, test_fraction: float = 0.2, seed: int = 42,
@@ -101,29 +137,9 @@ def with_weights(df: DataFrame, label: str, weights: dict, col: str = "weight")
 
 def mark_smallest_hash(df: DataFrame, label: str, key_cols: list, quotas: dict, seed: int = 42,
                        flag: str = "picked") -> DataFrame:
-    """Flag exactly ``quotas[label]`` rows per label: those with the smallest key hash.
-
-    Same bounded plan as ``stratified_split``: counts per (label, 16-bit hash bucket),
-    cut-off bucket per label from that small table, ranking only inside it.
-    """
-    q = F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(int(v)))])
-    h = row_hash(key_cols, seed)
-    shift = 60 - N_BUCKET_BITS
-    hashed = df.withColumn("_h", h).withColumn("_hb", F.shiftright(F.col("_h"), shift))
-    counts = hashed.groupBy(label, "_hb").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(label).orderBy("_hb").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = counts.withColumn("_cum", F.sum("_n").over(w)).withColumn("_before", F.col("_cum") - F.col("_n"))
-    cum = cum.withColumn("_q", F.coalesce(F.try_element_at(q, F.col(label)), F.lit(0)).cast("long"))
-    cut = cum.filter((F.col("_before") < F.col("_q")) & (F.col("_cum") >= F.col("_q"))).select(
-        label, F.col("_hb").alias("_cut"), (F.col("_q") - F.col("_before")).alias("_need"))
-    tagged = hashed.join(F.broadcast(cut), label, "left")
-    inside = tagged.filter(F.col("_hb") == F.col("_cut"))
-    outside = tagged.filter(F.col("_cut").isNull() | (F.col("_hb") != F.col("_cut")))
-    w_in = Window.partitionBy(label, "_cut").orderBy("_h")
-    a = inside.withColumn(flag, F.row_number().over(w_in) <= F.col("_need"))
-    b = outside.withColumn(flag, F.col("_cut").isNotNull() & (F.col("_hb") < F.col("_cut")))
-    cols = df.columns + [flag]
-    return a.select(*cols).unionByName(b.select(*cols))
+    """Flag exactly ``quotas[label]`` rows per label (unique keys): those with the smallest key hash."""
+    thr = hash_thresholds(df, label, key_cols, seed, quotas=quotas)
+    return df.withColumn(flag, in_quota(label, key_cols, thr, seed))
 
 
 def _u(seed: int, tag: str, *cols) -> Column:
