@@ -75,13 +75,14 @@ def _top_k(qids, qvecs, pids, pvecs, k, exclude_self, limits=None):
     return res_ids, res_d
 
 
-def _best_axis(pts: DataFrame) -> int:
-    v = (
-        pts.select(F.posexplode("vec").alias("j", "x"))
-        .groupBy("j").agg(F.var_pop("x").alias("v"))
-        .orderBy(F.col("v").desc(), "j").first()
-    )
-    return int(v["j"]) if v is not None else 0
+def _axis_and_count(pts: DataFrame) -> tuple[int, int]:
+    """One pass: the highest-variance coordinate and the number of points."""
+    rows = (pts.select(F.posexplode("vec").alias("j", "x"))
+            .groupBy("j").agg(F.var_pop("x").alias("v"), F.count(F.lit(1)).alias("n")).collect())  # d rows
+    if not rows:
+        return 0, 0
+    best = sorted(rows, key=lambda r: (-(r["v"] or 0.0), r["j"]))[0]
+    return int(best["j"]), int(rows[0]["n"])
 
 
 def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec_col: str, k: int = 5,
@@ -92,9 +93,8 @@ def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec_col: str, k:
         F.col(label_col).cast("long").alias("label"),
         F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("vec"),
     )
-    axis = _best_axis(pts)
+    axis, n = _axis_and_count(pts)
     pts = pts.withColumn("t", F.col("vec")[axis])
-    n = pts.count()
     n_buckets = max(1, math.ceil(n / block_rows))
     if n_buckets > 1:
         probs = [i / n_buckets for i in range(1, n_buckets)]
@@ -102,22 +102,22 @@ def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec_col: str, k:
         splits = [-math.inf] + sorted({float(c) for c in cuts}) + [math.inf]
     else:
         splits = [-math.inf, math.inf]
+
     def bucket_of(df_, col, out):
         if len(splits) <= 2:
             return df_.withColumn(out, F.lit(0))
         b = Bucketizer(splits=splits, inputCol=col, outputCol=out)
         return b.transform(df_).withColumn(out, F.col(out).cast("int"))
 
-    pts = bucket_of(pts, "t", "bucket")
+    # the bucketed points feed the block sizes, pass 1, the request join and pass 2: materialise
+    # them once in the shared checkpoint folder (a lost executor re-reads them, no recompute)
+    ensure_checkpoint_dir(pts.sparkSession)
+    pts = bucket_of(pts, "t", "bucket").checkpoint(eager=True)
     sizes = pts.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("cnt"))
     # one row per (label, bucket): bounded by n / block_rows + labels, so the broadcast size is bounded
     sizes = sizes.withColumn("n_sub", F.greatest(F.lit(1), F.ceil(F.col("cnt") / F.lit(block_rows))).cast("int"))
     pts = pts.join(F.broadcast(sizes.select("label", "bucket", "n_sub")), ["label", "bucket"])
     pts = pts.withColumn("sub", F.pmod(F.xxhash64("id"), F.col("n_sub")).cast("int")).drop("n_sub")
-    # the blocked points feed pass 1, the request join and pass 2: materialise them once in the
-    # shared checkpoint folder (a lost executor re-reads them instead of recomputing the lineage)
-    ensure_checkpoint_dir(pts.sparkSession)
-    pts = pts.checkpoint(eager=True)
 
     # ---------------------------------------------------------------- pass 1: inside each block
     def local(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -40,7 +40,7 @@ def _typed_map(d: dict, value_type: str, key_type: str | None = None) -> Column:
 
 def hash_thresholds(df: DataFrame, label: str, key_cols: list, seed: int = 42,
                     quotas: dict | None = None, fraction: float | None = None) -> dict:
-    """Per class: the largest hash among its ``quota`` smallest hashes (None when the quota is 0).
+    """Per class: the largest hash among its ``quota`` smallest hashes (classes with quota 0 are absent).
 
     ``quotas`` gives the count per class; otherwise ``round(fraction * n_class)``.
     """
@@ -48,31 +48,29 @@ def hash_thresholds(df: DataFrame, label: str, key_cols: list, seed: int = 42,
     hashed = df.select(F.col(label).alias("_y"), row_hash(key_cols, seed).alias("_h")).filter(F.col("_y").isNotNull())
     hashed = hashed.withColumn("_hb", F.shiftright(F.col("_h"), 60 - N_BUCKET_BITS))
     counts = hashed.groupBy("_y", "_hb").agg(F.count(F.lit(1)).alias("_n"))
-    totals = {r["_y"]: int(r["t"]) for r in counts.groupBy("_y").agg(F.sum("_n").alias("t")).collect()}  # per class
+    # one job on the small count table: class totals, quotas, running counts, the cut-off bucket
+    total = F.sum("_n").over(Window.partitionBy("_y"))
     if quotas is None:
-        quotas = {y: int((n * float(fraction)) + 0.5) for y, n in totals.items()}
-    want = {y: min(int(quotas.get(y, 0)), n) for y, n in totals.items()}
-    live = {y: q for y, q in want.items() if q > 0}
-    if not live:
-        return {"__key_type__": ktype, **{y: None for y in totals}}
+        q = F.floor(F.col("_total").cast("double") * F.lit(float(fraction)) + F.lit(0.5)).cast("long")
+    else:
+        q = F.coalesce(_typed_map(quotas, "long", ktype)[F.col("_y")], F.lit(0).cast("long"))
     w = Window.partitionBy("_y").orderBy("_hb").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    q = _typed_map(live, "long", ktype)[F.col("_y")]
-    cut_rows = (counts.filter(F.col("_y").isin(list(live)))
+    cut_rows = (counts.withColumn("_total", total).withColumn("_q", F.least(q, F.col("_total")))
                 .withColumn("_cum", F.sum("_n").over(w)).withColumn("_before", F.col("_cum") - F.col("_n"))
-                .filter((F.col("_before") < q) & (F.col("_cum") >= q))
-                .select("_y", "_hb", (q - F.col("_before")).alias("_need")).collect())  # one row per class
+                .filter((F.col("_q") > 0) & (F.col("_before") < F.col("_q")) & (F.col("_cum") >= F.col("_q")))
+                .select("_y", "_hb", (F.col("_q") - F.col("_before")).alias("_need")).collect())  # one row per class
     cut = {r["_y"]: (int(r["_hb"]), int(r["_need"])) for r in cut_rows}
+    if not cut:
+        return {"__key_type__": ktype}
     cond = None
     for y, (hb, _) in cut.items():
-        c = (F.col("_y") == F.lit(y)) & (F.col("_hb") == F.lit(hb))
+        c = (F.col("_y") == F.lit(y).cast(ktype)) & (F.col("_hb") == F.lit(hb))
         cond = c if cond is None else cond | c
     need = _typed_map({y: n for y, (_, n) in cut.items()}, "long", ktype)
     w_in = Window.partitionBy("_y").orderBy("_h")
     thr = (hashed.filter(cond).withColumn("_rn", F.row_number().over(w_in))
            .filter(F.col("_rn") == need[F.col("_y")]).select("_y", "_h").collect())  # one row per class
-    out = {y: None for y in totals}
-    out.update({r["_y"]: int(r["_h"]) for r in thr})
-    return {"__key_type__": ktype, **out}
+    return {"__key_type__": ktype, **{r["_y"]: int(r["_h"]) for r in thr}}
 
 
 def in_quota(label: str, key_cols: list, thresholds: dict, seed: int = 42) -> Column:
