@@ -182,10 +182,20 @@ def q_stream_minute(spark, sf_dir):
 
 @register("drift_run")
 def q_drift_run(spark, sf_dir):
-    """reference = cleaned transactions, current = newest 1000 prediction-log rows."""
+    """Both models.
+
+    Fraud: reference = cleaned transactions, current = newest 1000 prediction-log rows.
+    Credit: reference = cleaned applicants (the 5 logged inputs), current = the 1000 applicants
+    with the largest requested amounts (a drifted window).  A third entry without a
+    reference exercises the skip path.
+    """
     ref = clean_fraud_data(raw_transactions(spark, sf_dir)).select("step", "amount", "type")
     log = prediction_log_from_events(spark, sf_dir)
     cur = log.orderBy(F.col("timestamp").desc(), F.col("event_id").desc()).limit(1000).select(
         F.col("amount"), F.lit("PAYMENT").alias("type"), F.hour("timestamp").cast("double").alias("step"))
+    credit_cols = ["age", "duration_months", "credit_amount", "employment", "purpose"]
+    cref = clean_credit_data(raw_applicants(spark, sf_dir)).select(*credit_cols)
+    ccur = cref.orderBy(F.col("credit_amount").desc()).limit(1000)
     empty = spark.createDataFrame([], T.StructType([T.StructField("amount", T.DoubleType())]))
-    return run_drift_detection(spark, {"FraudDetector": (ref, cur), "CreditRiskScorer": (None, empty)})
+    return run_drift_detection(spark, {"FraudDetector": (ref, cur), "CreditRiskScorer": (cref, ccur),
+                                       "UnseenModel": (None, empty)})

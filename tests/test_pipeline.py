@@ -85,6 +85,12 @@ def test_credit_model_and_combined_scoring(spark):
     ap = spark.createDataFrame([(f"r{i}", *r) for i, r in enumerate(app_rows)],
                                "request_id string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}"
                                                                  for f in apps.drop("request_id", "rid").schema.fields))
+    from fraudscope.streaming.scoring_stream import credit_scoring_batch
+
+    run = credit_scoring_batch(credit, f"{base}/clog", f"{base}/crej", key=["request_id"])
+    run(ap, 7)
+    run(ap, 7)  # replay: same folder overwritten
+    assert spark.read.parquet(f"{base}/clog").count() == 20
     both = score_combined(fraud, credit, tx, ap).collect()
     assert len(both) == 20
     assert all(0 <= r["fraud"]["fraud_probability"] <= 1 and r["credit"]["credit_tier"] in ("Good", "Moderate", "Poor")
