@@ -95,9 +95,3 @@ def confidence_map(p_good, p_moderate, p_poor) -> Column:
 def type_onehots(col="type", prefix="type_") -> dict[str, Column]:
     """Locked one-hot for the five transaction types; unknown/NULL -> all zeros."""
     return {f"{prefix}{v}": F.coalesce((c(col) == F.lit(v)).cast("double"), F.lit(0.0)) for v in FRAUD_TYPE_CATEGORIES}
-
-
-def hash_fraction(*cols, seed: int = 42) -> Column:
-    """Deterministic pseudo-uniform in [0, 1) from the row's key columns (partitioning-independent)."""
-    key = F.concat_ws("\u0001", *[c(x).cast("string") for x in cols], F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

@@ -20,6 +20,8 @@ test); with unique keys the per-class test counts are exact.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +40,15 @@ def _typed_map(d: dict, value_type: str, key_type: str | None = None) -> Column:
     return F.create_map(*[x for k, v in d.items() for x in (key(k), F.lit(v).cast(value_type))])
 
 
+@dataclass(frozen=True)
+class Thresholds:
+    """Per-class hash thresholds (classes with quota 0 are absent) and the label's SQL type."""
+    key_type: str
+    values: dict
+
+
 def hash_thresholds(df: DataFrame, label: str, key_cols: list, seed: int = 42,
-                    quotas: dict | None = None, fraction: float | None = None) -> dict:
+                    quotas: dict | None = None, fraction: float | None = None) -> Thresholds:
     """Per class: the largest hash among its ``quota`` smallest hashes (classes with quota 0 are absent).
 
     ``quotas`` gives the count per class; otherwise ``round(fraction * n_class)``.
@@ -61,7 +70,7 @@ def hash_thresholds(df: DataFrame, label: str, key_cols: list, seed: int = 42,
                 .select("_y", "_hb", (F.col("_q") - F.col("_before")).alias("_need")).collect())  # one row per class
     cut = {r["_y"]: (int(r["_hb"]), int(r["_need"])) for r in cut_rows}
     if not cut:
-        return {"__key_type__": ktype}
+        return Thresholds(ktype, {})
     cond = None
     for y, (hb, _) in cut.items():
         c = (F.col("_y") == F.lit(y).cast(ktype)) & (F.col("_hb") == F.lit(hb))
@@ -70,16 +79,14 @@ def hash_thresholds(df: DataFrame, label: str, key_cols: list, seed: int = 42,
     w_in = Window.partitionBy("_y").orderBy("_h")
     thr = (hashed.filter(cond).withColumn("_rn", F.row_number().over(w_in))
            .filter(F.col("_rn") == need[F.col("_y")]).select("_y", "_h").collect())  # one row per class
-    return {"__key_type__": ktype, **{r["_y"]: int(r["_h"]) for r in thr}}
+    return Thresholds(ktype, {r["_y"]: int(r["_h"]) for r in thr})
 
 
-def in_quota(label: str, key_cols: list, thresholds: dict, seed: int = 42) -> Column:
+def in_quota(label: str, key_cols: list, thresholds: Thresholds, seed: int = 42) -> Column:
     """Boolean column: the row's hash is within its class threshold."""
-    ktype = thresholds.get("__key_type__")
-    live = {y: t for y, t in thresholds.items() if t is not None and y != "__key_type__"}
-    if not live:
+    if not thresholds.values:
         return F.lit(False)
-    thr = _typed_map(live, "long", ktype)[F.col(label)]
+    thr = _typed_map(thresholds.values, "long", thresholds.key_type)[F.col(label)]
     return F.coalesce(row_hash(key_cols, seed) <= thr, F.lit(False))
 
 
