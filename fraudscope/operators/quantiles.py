@@ -62,16 +62,18 @@ def exact_quantiles(
 
     ``where`` restricts the rows (e.g. ``credit_risk = 2`` for a conditional median).
     ``n_rows`` (an upper bound on the rows, when the caller knows it) sizes the sketch so
-    that brackets stay ~``BRACKET_ROWS`` rows; otherwise ``DEFAULT_ACCURACY`` is used.
+    that brackets stay ~``BRACKET_ROWS`` rows; otherwise the rows are counted first.
     """
-    if accuracy is None:
-        accuracy = accuracy_for(n_rows) if n_rows is not None else DEFAULT_ACCURACY
     targets = [_Target(i, t[0], float(t[1])) for i, t in enumerate((c, p) for c, pl in requests.items() for p in pl)]
     if not targets:
         return {}
     cols = list(requests)
     base = df if where is None else df.filter(where)
     base = base.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    if accuracy is None:
+        # a plain Parquet count is answered from file metadata; a derived frame costs one light pass,
+        # far cheaper than a sketch sized for the worst case
+        accuracy = accuracy_for(n_rows if n_rows is not None else base.count())
 
     eps = 2.0 / accuracy
     brackets: dict[int, tuple[float, float] | None] = {}
