@@ -419,6 +419,24 @@ def drift_summary(report: DataFrame, dataset_share: float = 0.5, alert_threshold
 
 
 # ----------------------------------------------------------------------------- quality profile
+def correlations(df: DataFrame, columns: list[str] | None = None, digits: int = 6) -> DataFrame:
+    """Pearson correlation of every pair of numeric columns, all pairs in ONE aggregation pass.
+
+    The result has one row per column pair (bounded by the column count, not the data).
+    """
+    types = dict(df.dtypes)
+    cols = [c for c in (columns or df.columns) if is_numeric(types[c])]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, pearson double")
+    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}")
+                   for i, (a, b) in enumerate(pairs)]).first()
+    out = [(a, b, None if row[f"r{i}"] is None or math.isnan(row[f"r{i}"]) else round(float(row[f"r{i}"]), digits))
+           for i, (a, b) in enumerate(pairs)]
+    return df.sparkSession.createDataFrame(out, "column_a string, column_b string, pearson double")
+
+
+
 def quality_profile(df: DataFrame, columns: list[str] | None = None, digits: int = 6) -> DataFrame:
     """Per column: count, missing, n_unique, most_common, mean, std, min, max, p25, p50, p75 (exact quantiles)."""
     from .quantiles import exact_quantiles

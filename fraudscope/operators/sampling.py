@@ -110,6 +110,12 @@ def hash_fraction_split(df: DataFrame, key_cols: list, test_fraction: float = 0.
     return df.withColumn(split_col, F.when(h < F.lit(test_fraction), "test").otherwise("train"))
 
 
+def seeded_shuffle(df: DataFrame, key_cols: list, seed: int = 42) -> DataFrame:
+    """Rows in a pseudo-random order fixed by (seed, key) — a range-partitioned sort on the key
+    hash, so the order does not depend on partitioning and no task holds more than its range."""
+    return df.orderBy(row_hash(key_cols, seed))
+
+
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).cast("long").alias("n"))
 

@@ -215,6 +215,18 @@ def q_quality_profile(spark, sf_dir):
     return D.quality_profile(ev)
 
 
+_CORR_COLS = ["event_id", "user_id", "value"]
+
+
+@register("quality_correlations", "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS pearson "
+    "FROM events" for i, a in enumerate(_CORR_COLS) for b in _CORR_COLS[i + 1:]))
+def q_quality_correlations(spark, sf_dir):
+    """D11 (correlations): Pearson correlation of every pair of numeric event columns."""
+    ev = read_table(spark, sf_dir, "events").select(*_CORR_COLS)
+    return D.correlations(ev)
+
+
 @register("recent_n", """
 SELECT event_id, ts, event_type, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000""")
 def q_recent_n(spark, sf_dir):

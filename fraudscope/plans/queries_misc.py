@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import common_columns, standardise_column_names
 from ..operators.clean import clean_fraud_data
+from ..operators.sampling import seeded_shuffle
 from ..operators.scoring import finalize_credit, finalize_fraud
 from ..schemas import FRAUD_ID_COLUMNS, RAW_FRAUD_COLUMNS
 from ..session import scratch_path
@@ -133,7 +134,7 @@ def q_union_dedup(spark, sf_dir):
     b = o.filter(F.col("o_orderstatus") != "F")
     u = a.unionByName(b).unionByName(a).dropDuplicates()
     key = F.concat_ws("|", F.lit("42"), F.col("o_orderkey").cast("string"))
-    return u.withColumn("shuffle_key", F.substring(F.md5(key), 1, 15))
+    return seeded_shuffle(u, ["o_orderkey"], 42).withColumn("shuffle_key", F.substring(F.md5(key), 1, 15))
 
 
 # ----------------------------------------------------------------------------- S1, S4-S8, S19
