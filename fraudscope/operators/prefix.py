@@ -27,14 +27,32 @@ ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 100_000
 
 
-def _bucket_splits(df: DataFrame, key: str, n_rows: int, rows_per_bucket: int) -> list[float]:
+GRID = 1024  # cut-point grid sketched together with the row count when the count is unknown
+
+
+def _splits_from(cuts: list[float], n_buckets: int) -> list[float]:
+    if n_buckets <= 1 or not cuts:
+        return [-math.inf, math.inf]
+    step = len(cuts) / n_buckets
+    picked = [cuts[min(len(cuts) - 1, int(round(i * step)) - 1)] for i in range(1, n_buckets)]
+    return [-math.inf] + sorted({float(x) for x in picked}) + [math.inf]
+
+
+def _bucket_splits(df: DataFrame, key: str, n_rows: int | None, rows_per_bucket: int) -> tuple[list[float], int]:
+    """Ordered bucket boundaries; with an unknown row count, count and sketch share one pass."""
+    if n_rows is None:
+        probs = [i / GRID for i in range(1, GRID)]
+        row = df.agg(F.count(F.lit(1)).alias("n"),
+                     F.percentile_approx(F.col(key), probs, 10 * GRID).alias("c")).first()
+        n_rows = int(row["n"])
+        n_buckets = min(GRID, max(1, math.ceil(n_rows / rows_per_bucket)))
+        return _splits_from(list(row["c"] or []), n_buckets), n_rows
     n_buckets = min(MAX_BUCKETS, max(1, math.ceil(n_rows / rows_per_bucket)))
     if n_buckets <= 1:
-        return [-math.inf, math.inf]
+        return [-math.inf, math.inf], n_rows
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.agg(F.percentile_approx(F.col(key).cast("double"), probs, 10 * n_buckets).alias("c")).first()["c"]
-    inner = sorted({float(x) for x in cuts})
-    return [-math.inf] + inner + [math.inf]
+    cuts = df.agg(F.percentile_approx(F.col(key), probs, 10 * n_buckets).alias("c")).first()["c"]
+    return [-math.inf] + sorted({float(x) for x in cuts}) + [math.inf], n_rows
 
 
 def cumulative(
@@ -52,11 +70,9 @@ def cumulative(
     ``key`` must be unique per row within a group and non-NULL.
     """
     groups = list(groups or [])
-    if n_rows is None:
-        n_rows = df.count()
     kd = "_kd"
     base = df.withColumn(kd, (-F.col(key) if descending else F.col(key)).cast("double"))
-    splits = _bucket_splits(base, kd, n_rows, rows_per_bucket)
+    splits, n_rows = _bucket_splits(base, kd, n_rows, rows_per_bucket)
     if len(splits) <= 2:
         w = Window.partitionBy(*groups).orderBy(kd) if groups else Window.orderBy(kd)
         run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
