@@ -118,9 +118,12 @@ class Cleaner:
         return df.withColumns(casts) if casts else df
 
     # -- fit / transform ------------------------------------------------------------
-    def fit(self, raw: DataFrame) -> "Cleaner":
+    def fit(self, raw: DataFrame, keep_cache: bool = False) -> "Cleaner":
+        """Fit on ``raw``.  With ``keep_cache`` the persisted de-duplicated frame is kept for
+        ``fit_transform`` (released by ``release()``), so the de-dup shuffle runs once."""
         spec = self.spec
         dedup = self._dedup(raw).persist(StorageLevel.MEMORY_AND_DISK)
+        ok = False
         try:
             types = dict(dedup.dtypes)
             n_rows = dedup.count()  # fills the cache; sizes the quantile sketches
@@ -151,8 +154,12 @@ class Cleaner:
                 }
             stats.counts.update({"null_" + c: n for c, n in nulls.items() if n > 0})
             self.stats = stats
+            ok = True
         finally:
-            dedup.unpersist()
+            if ok and keep_cache:
+                self._cached = dedup
+            else:
+                dedup.unpersist()
         return self
 
     def transform(self, raw: DataFrame) -> DataFrame:
@@ -162,7 +169,16 @@ class Cleaner:
         return self._finish(self._after_impute(self._impute(df, self.stats)), self.stats)
 
     def fit_transform(self, raw: DataFrame) -> DataFrame:
-        return self.fit(raw).transform(raw)
+        """Fit and clean the same table, reading the de-duplicated rows from the fit's cache."""
+        self.fit(raw, keep_cache=True)
+        return self._finish(self._after_impute(self._impute(self._cached, self.stats)), self.stats)
+
+    def release(self) -> None:
+        """Drop the cached de-duplicated rows kept by ``fit_transform``."""
+        cached = getattr(self, "_cached", None)
+        if cached is not None:
+            cached.unpersist()
+            self._cached = None
 
 
 def fraud_cleaner(lower_pct: float = 0.01, upper_pct: float = 0.99) -> Cleaner:
