@@ -74,6 +74,7 @@ class CleanSpec:
     output_casts: dict[str, str] = field(default_factory=dict)
     lower_pct: float = 0.01
     upper_pct: float = 0.99
+    exact: bool = True  # False: medians and caps from percentile_approx (one pass each)
 
 
 class Cleaner:
@@ -132,7 +133,7 @@ class Cleaner:
             numeric = [c for c in dedup.columns if _is_numeric(types[c]) and c != spec.target]
             with_nulls = [c for c in numeric if nulls[c] > 0]
             if with_nulls:
-                q = exact_quantiles(dedup, {c: [0.5] for c in with_nulls}, n_rows=n_rows)
+                q = exact_quantiles(dedup, {c: [0.5] for c in with_nulls}, n_rows=n_rows, exact=spec.exact)
                 stats.medians = {c: q[(c, 0.5)] for c in with_nulls if q[(c, 0.5)] is not None}
             kept = dedup.filter(F.col(spec.target).isNotNull())
             categorical = [c for c in dedup.columns if types[c] == "string"]
@@ -146,7 +147,8 @@ class Cleaner:
             shaped = self._after_impute(self._impute(dedup, stats))
             caps = [c for c in spec.cap_columns if c in shaped.columns]
             if caps:
-                q = exact_quantiles(shaped, {c: [spec.lower_pct, spec.upper_pct] for c in caps}, n_rows=n_rows)
+                q = exact_quantiles(shaped, {c: [spec.lower_pct, spec.upper_pct] for c in caps}, n_rows=n_rows,
+                                    exact=spec.exact)
                 stats.caps = {
                     c: [q[(c, spec.lower_pct)], q[(c, spec.upper_pct)]]
                     for c in caps
@@ -181,7 +183,7 @@ class Cleaner:
             self._cached = None
 
 
-def fraud_cleaner(lower_pct: float = 0.01, upper_pct: float = 0.99) -> Cleaner:
+def fraud_cleaner(lower_pct: float = 0.01, upper_pct: float = 0.99, exact: bool = True) -> Cleaner:
     return Cleaner(
         CleanSpec(
             target=FRAUD_TARGET,
@@ -195,11 +197,12 @@ def fraud_cleaner(lower_pct: float = 0.01, upper_pct: float = 0.99) -> Cleaner:
             },
             lower_pct=lower_pct,
             upper_pct=upper_pct,
+            exact=exact,
         )
     )
 
 
-def credit_cleaner(lower_pct: float = 0.01, upper_pct: float = 0.99) -> Cleaner:
+def credit_cleaner(lower_pct: float = 0.01, upper_pct: float = 0.99, exact: bool = True) -> Cleaner:
     casts = {c: "double" for c in CREDIT_NUMERIC_FEATURES}
     casts[CREDIT_TARGET] = "int"
     return Cleaner(
@@ -215,6 +218,7 @@ def credit_cleaner(lower_pct: float = 0.01, upper_pct: float = 0.99) -> Cleaner:
             output_casts=casts,
             lower_pct=lower_pct,
             upper_pct=upper_pct,
+            exact=exact,
         )
     )
 

@@ -57,9 +57,12 @@ def exact_quantiles(
     accuracy: int | None = None,
     where: Column | None = None,
     n_rows: int | None = None,
+    exact: bool = True,
 ) -> dict[tuple[str, float], float | None]:
     """Return {(column, p): value} for every requested quantile (None if the column is all-null).
 
+    ``exact=False`` returns ``percentile_approx`` values (one pass, no interpolation).
+
     ``where`` restricts the rows (e.g. ``credit_risk = 2`` for a conditional median).
     ``n_rows`` (an upper bound on the rows, when the caller knows it) sizes the sketch so
     that brackets stay ~``BRACKET_ROWS`` rows; otherwise the rows are counted first.
@@ -70,6 +73,11 @@ def exact_quantiles(
     cols = list(requests)
     base = df if where is None else df.filter(where)
     base = base.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    if not exact:
+        # one pass, rank error <= n / accuracy: percentile_approx itself
+        row = base.agg(*[F.percentile_approx(F.col(t.col), F.lit(t.p), accuracy or DEFAULT_ACCURACY).alias(f"q_{t.key}")
+                         for t in targets]).first()
+        return {(t.col, t.p): (None if row[f"q_{t.key}"] is None else float(row[f"q_{t.key}"])) for t in targets}
     if accuracy is None:
         # a plain Parquet count is answered from file metadata; a derived frame costs one light pass,
         # far cheaper than a sketch sized for the worst case

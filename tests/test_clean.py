@@ -153,6 +153,18 @@ def test_exact_quantiles_match_formula_with_hot_values(spark):
         assert q[("y", 0.5)] is None
 
 
+def test_approximate_mode_within_rank_error(spark):
+    vals = np.arange(10_000, dtype=float)
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    q = exact_quantiles(df, {"x": [0.01, 0.5, 0.99]}, exact=False, accuracy=1000)
+    for p in (0.01, 0.5, 0.99):
+        assert abs(q[("x", p)] - p * 9999) <= 10_000 / 1000 + 1
+    from fraudscope.operators.clean import fraud_cleaner
+
+    c = fraud_cleaner(exact=False).fit(fraud_rows(spark))
+    assert set(c.stats.caps) >= {"amount"}
+
+
 def test_modes_tie_smallest_and_null_summary(spark):
     df = spark.createDataFrame([("b", 1), ("a", None), ("b", 2), ("a", 3), (None, 4)], "c string, n int")
     assert column_modes(df, ["c"]) == {"c": "a"}
