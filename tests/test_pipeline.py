@@ -58,6 +58,8 @@ def test_credit_model_and_combined_scoring(spark):
     counts = {r["label"]: r["count"] for r in cprep.train.groupBy("label").count().collect()}
     assert len(set(counts.values())) == 1 and set(counts) == {0, 1, 2}  # all three classes kept, balanced
     assert abs(cprep.test.count() - 0.2 * (cprep.test.count() + cprep.reference.count())) <= 5
+    widths = {len(r["features"]) for r in cprep.train.limit(5).collect() + cprep.test.limit(5).collect()}
+    assert widths == {len(cprep.features.feature_names())}  # same width on train and test
     ct = train_credit_model(cprep, numTrees=5, maxDepth=5)
     assert ct.metrics.count() == 1 and ct.extra["importances"].count() == len(cprep.features.feature_names())
     save_trained(ct, f"{base}/credit")
