@@ -5,9 +5,9 @@ operator.  Distances are Euclidean on ``array<double>`` features.
 
 Plan
 ----
-1. Every point gets a 1-D key ``t`` = its coordinate on the highest-variance axis.
-   Because |t_p - t_q| <= dist(p, q), a point farther than r along ``t`` can never
-   be within distance r.
+1. Every point gets a 1-D key ``t`` = its projection on the first principal
+   component (a unit vector).  Because |t_p - t_q| <= dist(p, q), a point farther
+   than r along ``t`` can never be within distance r.
 2. Points are cut into ordered buckets of about ``block_rows`` points by ``t``
    (approximate quantile cut points); a bucket that is still too large (a hot
    value holding a third of a class) is split further by a hash into sub-blocks,
@@ -32,6 +32,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,14 +76,21 @@ def _top_k(qids, qvecs, pids, pvecs, k, exclude_self, limits=None):
     return res_ids, res_d
 
 
-def _axis_and_count(pts: DataFrame) -> tuple[int, int]:
-    """One pass: the highest-variance coordinate and the number of points."""
-    rows = (pts.select(F.posexplode("vec").alias("j", "x"))
-            .groupBy("j").agg(F.var_pop("x").alias("v"), F.count(F.lit(1)).alias("n")).collect())  # d rows
-    if not rows:
-        return 0, 0
-    best = sorted(rows, key=lambda r: (-(r["v"] or 0.0), r["j"]))[0]
-    return int(best["j"]), int(rows[0]["n"])
+def _projection(pts: DataFrame) -> list[float]:
+    """Unit vector for the 1-D key: the first principal component (Spark ML PCA: one distributed
+    covariance pass; only the d x d matrix is decomposed on the driver).  Any unit vector keeps the
+    bound |<p - q, u>| <= |p - q| exact; the leading component makes it tightest on average."""
+    from pyspark.ml.feature import PCA
+
+    try:
+        model = PCA(k=1, inputCol="_v", outputCol="_p").fit(pts.select(array_to_vector("vec").alias("_v")))
+        u = np.asarray(model.pc.toArray()[:, 0], dtype=float)
+    except Exception:  # noqa: BLE001 - fewer than two points or zero dimensions
+        first = pts.select(F.size("vec").alias("d")).first()
+        u = np.zeros(max(int(first["d"]) if first else 1, 1))
+        u[0] = 1.0
+    norm = float(np.linalg.norm(u))
+    return (u / norm if norm > 0 else np.eye(len(u))[0]).tolist()
 
 
 def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec_col: str, k: int = 5,
@@ -93,13 +101,26 @@ def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec_col: str, k:
         F.col(label_col).cast("long").alias("label"),
         F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("vec"),
     )
-    axis, n = _axis_and_count(pts)
-    pts = pts.withColumn("t", F.col("vec")[axis])
-    n_buckets = max(1, math.ceil(n / block_rows))
-    if n_buckets > 1:
-        probs = [i / n_buckets for i in range(1, n_buckets)]
-        cuts = pts.agg(F.percentile_approx("t", probs, max(10_000, 10 * n_buckets)).alias("c")).first()["c"]
-        splits = [-math.inf] + sorted({float(c) for c in cuts}) + [math.inf]
+    u = _projection(pts)
+    dot = F.aggregate(F.zip_with("vec", F.array(*[F.lit(float(x)) for x in u]), lambda a, b: a * b),
+                      F.lit(0.0), lambda acc, x: acc + x)
+    pts = pts.withColumn("t", dot)
+    # count and a cut-point grid in one pass
+    grid = 1024
+    row = pts.agg(F.count(F.lit(1)).alias("n"),
+                  F.percentile_approx("t", [i / grid for i in range(1, grid)], 10 * grid).alias("c")).first()
+    n = int(row["n"])
+    n_buckets = min(grid, max(1, math.ceil(n / block_rows)))
+    cuts = list(row["c"] or [])
+    if math.ceil(n / block_rows) > grid:
+        # large inputs: a finer sketch so buckets (the pruning resolution) stay ~block_rows points
+        n_buckets = min(100_000, math.ceil(n / block_rows))
+        cuts = pts.agg(F.percentile_approx("t", [i / n_buckets for i in range(1, n_buckets)],
+                                           10 * n_buckets).alias("c")).first()["c"]
+    if n_buckets > 1 and cuts:
+        step = len(cuts) / n_buckets
+        picked = [cuts[min(len(cuts) - 1, int(round(i * step)) - 1)] for i in range(1, n_buckets)]
+        splits = [-math.inf] + sorted({float(c) for c in picked}) + [math.inf]
     else:
         splits = [-math.inf, math.inf]
 
