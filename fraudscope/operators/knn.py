@@ -101,18 +101,23 @@ def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec_col: str, k:
         F.col(label_col).cast("long").alias("label"),
         F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("vec"),
     )
-    u = _projection(pts)
+    n = pts.count()
+    # with a handful of blocks the key barely prunes anything: skip the PCA pass there
+    if n > 4 * block_rows:
+        u = _projection(pts)
+    else:
+        first = pts.select(F.size("vec").alias("d")).first()
+        u = [1.0] + [0.0] * (max(int(first["d"]) if first else 1, 1) - 1)
     dot = F.aggregate(F.zip_with("vec", F.array(*[F.lit(float(x)) for x in u]), lambda a, b: a * b),
                       F.lit(0.0), lambda acc, x: acc + x)
     pts = pts.withColumn("t", dot)
-    # count and a cut-point grid in one pass
     grid = 1024
-    row = pts.agg(F.count(F.lit(1)).alias("n"),
-                  F.percentile_approx("t", [i / grid for i in range(1, grid)], 10 * grid).alias("c")).first()
-    n = int(row["n"])
     n_buckets = min(grid, max(1, math.ceil(n / block_rows)))
-    cuts = list(row["c"] or [])
-    if math.ceil(n / block_rows) > grid:
+    cuts = []
+    if 1 < n_buckets and math.ceil(n / block_rows) <= grid:
+        row = pts.agg(F.percentile_approx("t", [i / grid for i in range(1, grid)], 10 * grid).alias("c")).first()
+        cuts = list(row["c"] or [])
+    elif math.ceil(n / block_rows) > grid:
         # large inputs: a finer sketch so buckets (the pruning resolution) stay ~block_rows points
         n_buckets = min(100_000, math.ceil(n / block_rows))
         cuts = pts.agg(F.percentile_approx("t", [i / n_buckets for i in range(1, n_buckets)],
