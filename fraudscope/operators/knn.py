@@ -54,25 +54,32 @@ def _sq_dists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _top_k(qids, qvecs, pids, pvecs, k, exclude_self, limits=None):
     """For each query: up to k (dist, id) pairs, smallest first (ties by id)."""
     res_ids, res_d = [], []
-    order_ids = np.asarray(pids)
+    pids = np.asarray(pids)
+    qids = np.asarray(qids)
+    n_p = len(pids)
+    if n_p == 0:
+        return [[] for _ in qids], [[] for _ in qids]
+    kk = min(k, n_p)
     for s in range(0, len(qids), _CHUNK):
-        sq = _sq_dists(qvecs[s:s + _CHUNK], pvecs)
-        d = np.sqrt(sq)
-        for i in range(d.shape[0]):
-            row = d[i]
-            mask = np.ones(len(order_ids), dtype=bool)
-            if exclude_self:
-                mask &= order_ids != qids[s + i]
-            if limits is not None:
-                mask &= row <= limits[s + i]
-            idx = np.nonzero(mask)[0]
-            if len(idx) > k:
-                # candidates up to the k-th distance, then exact (dist, id) order
-                kth = np.partition(row[idx], k - 1)[k - 1]
-                idx = idx[row[idx] <= kth]
-            o = np.lexsort((order_ids[idx], row[idx]))[:k]
-            res_ids.append(order_ids[idx][o].tolist())
-            res_d.append(row[idx][o].tolist())
+        d = np.sqrt(_sq_dists(qvecs[s:s + _CHUNK], pvecs))  # (m, n_p)
+        m = d.shape[0]
+        valid = np.ones_like(d, dtype=bool)
+        if exclude_self:
+            valid &= qids[s:s + m, None] != pids[None, :]
+        if limits is not None:
+            valid &= d <= np.asarray(limits[s:s + m])[:, None]
+        dm = np.where(valid, d, np.inf)
+        kth = np.partition(dm, kk - 1, axis=1)[:, kk - 1]
+        # candidates up to the k-th distance (ties included), then exact (row, dist, id) order
+        r, c = np.nonzero(valid & (dm <= kth[:, None]))
+        order = np.lexsort((pids[c], d[r, c], r))
+        r, c = r[order], c[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, np.arange(m))[r]
+        keep = rank < k
+        r, c = r[keep], c[keep]
+        cuts = np.cumsum(np.bincount(r, minlength=m))[:-1]
+        res_ids.extend(x.tolist() for x in np.split(pids[c], cuts))
+        res_d.extend(x.tolist() for x in np.split(d[r, c], cuts))
     return res_ids, res_d
 
 
