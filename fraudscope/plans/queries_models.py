@@ -64,7 +64,39 @@ def q_smote_counts(spark, sf_dir):
                                     F.count_if("synthetic").cast("long").alias("n_synthetic"))
 
 
-@register("smote_balance")
+def _u_sql(tag: str) -> str:
+    return (f"CAST(CAST('0x' || substr(md5('42|{tag}|' || CAST(smp.id AS VARCHAR) || '|' || CAST(smp.s AS VARCHAR)), "
+            "1, 13) AS BIGINT) AS DOUBLE) / CAST(4503599627370496 AS DOUBLE)")
+
+
+_DIST_E = _DIST.replace("a.embedding", "a.vec").replace("b.embedding", "b.vec")
+
+_SMOTE_SQL = f"""
+WITH e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
+c AS (SELECT label, count(*) AS n FROM e GROUP BY label),
+need AS (SELECT label, (SELECT max(n) FROM c) - n AS need, n FROM c WHERE n < (SELECT max(n) FROM c)),
+pairs AS (SELECT a.id, b.id AS nid, {_DIST_E} AS distance
+          FROM e a JOIN e b ON a.label = b.label AND a.id <> b.id WHERE a.label IN (SELECT label FROM need)),
+nn AS (SELECT id, nid, row_number() OVER (PARTITION BY id ORDER BY distance, nid) AS rk FROM pairs),
+nl AS (SELECT id, list(nid ORDER BY rk) AS nbr_ids FROM nn WHERE rk <= 5 GROUP BY id),
+hr AS (SELECT e.id, e.label, row_number() OVER (PARTITION BY e.label
+                ORDER BY substr(md5('42|' || CAST(e.id AS VARCHAR)), 1, 15)) AS hrank
+       FROM e JOIN need ON e.label = need.label),
+reps AS (SELECT hr.id, hr.label, need.need // need.n + CASE WHEN hr.hrank <= need.need % need.n THEN 1 ELSE 0 END AS m
+         FROM hr JOIN need ON hr.label = need.label),
+smp AS (SELECT id, label, unnest(generate_series(1, m)) AS s FROM reps WHERE m > 0),
+u AS (SELECT smp.id, smp.label, nl.nbr_ids, {_u_sql('n')} AS un, {_u_sql('g')} AS gap
+      FROM smp JOIN nl ON smp.id = nl.id),
+pick AS (SELECT id, label, gap, nbr_ids[CAST(floor(un * len(nbr_ids)) AS BIGINT) + 1] AS nbr FROM u),
+syn AS (SELECT CAST(NULL AS BIGINT) AS id, p.label,
+               list_transform(range(1, len(b.vec) + 1), lambda i: b.vec[i] + p.gap * (nv.vec[i] - b.vec[i])) AS vec,
+               true AS synthetic
+        FROM pick p JOIN e b ON b.id = p.id JOIN e nv ON nv.id = p.nbr)
+SELECT id, label, vec, false AS synthetic FROM e
+UNION ALL SELECT id, label, vec, synthetic FROM syn"""
+
+
+@register("smote_balance", _SMOTE_SQL)
 def q_smote_balance(spark, sf_dir):
     """M8 rows: originals plus synthetic points (each on a segment between two same-class rows)."""
     emb = read_table(spark, sf_dir, "embeddings")
