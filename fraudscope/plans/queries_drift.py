@@ -20,9 +20,21 @@ def split_events(spark, sf_dir):
     return ev.filter(F.col("ts") < cut), ev.filter(F.col("ts") >= cut)
 
 
-def _num_cte(col: str) -> str:
-    return f"""ev AS (SELECT CAST({col} AS DOUBLE) AS v, ts < TIMESTAMP '{SPLIT_TS}' AS is_ref FROM events
-           WHERE {col} IS NOT NULL AND NOT isnan(CAST({col} AS DOUBLE))),
+# a drift source: (reference relation, current relation) as SQL; the default is the events split
+EVENTS = (f"(SELECT * FROM events WHERE ts < TIMESTAMP '{SPLIT_TS}')",
+          f"(SELECT * FROM events WHERE ts >= TIMESTAMP '{SPLIT_TS}')")
+
+
+def _pairs(col: str, expr: str, src, extra_where: str = "") -> str:
+    ref, cur = src
+    cond = f"{col} IS NOT NULL" + extra_where
+    return (f"SELECT {expr} AS v, true AS is_ref FROM {ref} AS ref_rel WHERE {cond} "
+            f"UNION ALL SELECT {expr} AS v, false AS is_ref FROM {cur} AS cur_rel WHERE {cond}")
+
+
+def _num_cte(col: str, src=EVENTS) -> str:
+    x = f"CAST({col} AS DOUBLE)"
+    return f"""ev AS ({_pairs(col, x, src, f" AND NOT isnan({x})")}),
 vc AS (SELECT v, count(*) FILTER (WHERE is_ref) AS r, count(*) FILTER (WHERE NOT is_ref) AS c FROM ev GROUP BY v),
 t AS (SELECT CAST(sum(r) AS DOUBLE) AS nr, CAST(sum(c) AS DOUBLE) AS nc FROM vc),
 cum AS (SELECT v, sum(r) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cr,
@@ -30,29 +42,34 @@ cum AS (SELECT v, sum(r) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND C
                lead(v) OVER (ORDER BY v) AS nv FROM vc)"""
 
 
+def _ref_std(col: str, src=EVENTS) -> str:
+    return (f"greatest((SELECT stddev_pop(CAST({col} AS DOUBLE)) FROM {src[0]} AS ref_rel "
+            f"WHERE {col} IS NOT NULL), 0.001)")
+
+
 def _ks_sql(col: str) -> str:
     return (f"WITH {_num_cte(col)}\nSELECT '{col}' AS column_name, "
             "round(max(abs(CAST(cr AS DOUBLE) / nr - CAST(cc AS DOUBLE) / nc)), 6) AS statistic, "
             "CAST(max(nr) AS BIGINT) AS n_ref, CAST(max(nc) AS BIGINT) AS n_cur FROM cum, t")
 
 
-def _wasserstein_sub(col: str) -> str:
-    return (f"(WITH {_num_cte(col)}\nSELECT sum(coalesce(abs(CAST(cr AS DOUBLE) / nr - CAST(cc AS DOUBLE) / nc) * (nv - v), 0))"
-            f" / greatest((SELECT stddev_pop(CAST({col} AS DOUBLE)) FROM events WHERE ts < TIMESTAMP '{SPLIT_TS}'), 0.001)"
-            " FROM cum, t)")
+def _wasserstein_sub(col: str, src=EVENTS) -> str:
+    return (f"(WITH {_num_cte(col, src)}\nSELECT sum(coalesce(abs(CAST(cr AS DOUBLE) / nr - CAST(cc AS DOUBLE) / nc) "
+            f"* (nv - v), 0)) / {_ref_std(col, src)} FROM cum, t)")
 
 
-def _cat_counts(col: str, bins: int | None) -> str:
+def _cat_counts(col: str, bins: int | None, src=EVENTS) -> str:
     if bins is None:
-        val = f"CAST({col} AS VARCHAR)"
-        src = f"SELECT {val} AS v, ts < TIMESTAMP '{SPLIT_TS}' AS is_ref FROM events WHERE {col} IS NOT NULL"
+        pairs = _pairs(col, f"CAST({col} AS VARCHAR)", src)
     else:
         x = f"CAST({col} AS DOUBLE)"
+        both = f"(SELECT {col} FROM {src[0]} AS a UNION ALL SELECT {col} FROM {src[1]} AS b)"
         mm = (f"(SELECT min({x}) AS lo, CASE WHEN max({x}) > min({x}) THEN max({x}) - min({x}) ELSE 1 END AS w "
-              f"FROM events WHERE {col} IS NOT NULL)")
-        src = (f"SELECT CAST(CAST(least(floor(({x} - mm.lo) * CAST({bins} AS DOUBLE) / mm.w), {bins - 1}) AS BIGINT) "
-               f"AS VARCHAR) AS v, ts < TIMESTAMP '{SPLIT_TS}' AS is_ref FROM events, {mm} mm WHERE {col} IS NOT NULL")
-    return (f"cc0 AS ({src}),\n"
+              f"FROM {both} AS ab WHERE {col} IS NOT NULL)")
+        binned = f"CAST(CAST(least(floor(({x} - mm.lo) * CAST({bins} AS DOUBLE) / mm.w), {bins - 1}) AS BIGINT) AS VARCHAR)"
+        pairs = (f"SELECT {binned} AS v, true AS is_ref FROM {src[0]} AS ref_rel, {mm} mm WHERE {col} IS NOT NULL "
+                 f"UNION ALL SELECT {binned} AS v, false AS is_ref FROM {src[1]} AS cur_rel, {mm} mm WHERE {col} IS NOT NULL")
+    return (f"cc0 AS ({pairs}),\n"
             "cc AS (SELECT v, count(*) FILTER (WHERE is_ref) AS r, count(*) FILTER (WHERE NOT is_ref) AS c "
             "FROM cc0 GROUP BY v),\n"
             "ct AS (SELECT CAST(sum(r) AS DOUBLE) AS nr, CAST(sum(c) AS DOUBLE) AS nc FROM cc),\n"
@@ -120,15 +137,14 @@ def q_drift_psi(spark, sf_dir):
     return spark.createDataFrame(rows, "column_name string, psi double")
 
 
-def _num_report_sql(col: str) -> str:
+def _num_report_sql(col: str, src=EVENTS) -> str:
     """Default rule for a numeric column with > 5 distinct values: KS (p < .05) when the
     reference has <= 1000 rows, else Wasserstein / std(ref) >= .1.  KS p-value: asymptotic
     Kolmogorov series (100 terms)."""
-    return f"""(WITH {_num_cte(col)},
+    return f"""(WITH {_num_cte(col, src)},
 s AS (SELECT max(nr) AS nr, max(nc) AS nc, max(abs(CAST(cr AS DOUBLE) / nr - CAST(cc AS DOUBLE) / nc)) AS d,
              sum(coalesce(abs(CAST(cr AS DOUBLE) / nr - CAST(cc AS DOUBLE) / nc) * (nv - v), 0)) AS w_raw FROM cum, t),
-sd AS (SELECT greatest(stddev_pop(CAST({col} AS DOUBLE)), 0.001) AS sd FROM events
-       WHERE ts < TIMESTAMP '{SPLIT_TS}' AND {col} IS NOT NULL),
+sd AS (SELECT {_ref_std(col, src)} AS sd),
 l AS (SELECT *, (sqrt(nr * nc / (nr + nc)) + 0.12 + 0.11 / sqrt(nr * nc / (nr + nc))) * d AS lam FROM s),
 p AS (SELECT *, CASE WHEN lam < 0.001 THEN 1.0 ELSE greatest(0.0, least(1.0, (
         SELECT sum(2 * (CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * j * j * lam * lam))
@@ -140,11 +156,11 @@ SELECT '{col}' AS column_name, 'num' AS column_type,
 FROM p)"""
 
 
-def _cat_report_sql(col: str) -> str:
+def _cat_report_sql(col: str, src=EVENTS) -> str:
     """Default rule for a categorical column with > 2 values: chi-square (p < .05) when the
     reference has <= 1000 rows, else Jensen-Shannon distance >= .1.  Chi-square p-value:
     1 - regularised lower incomplete gamma by its power series."""
-    return f"""(WITH {_cat_counts(col, None)},
+    return f"""(WITH {_cat_counts(col, None, src)},
 s AS (SELECT max(nr) AS nr, count(*) AS k,
         sqrt(greatest(sum(CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0 END
                           + CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0 END), 0) / 2) AS js,

@@ -19,8 +19,8 @@ from ..session import scratch_path
 from ..sources.tables import raw_applicants, raw_transactions, read_table
 from .catalog import register
 from .drift_job import run_drift_detection
-from .queries_misc import prediction_log_from_events, rule_fraud_scores
-from .scoring import Scorer, append_log, create_log_tables, fraud_log_rows, recent_predictions, score_fraud
+from .queries_misc import rule_fraud_scores
+from .scoring import Scorer, append_log, create_log_tables, fraud_log_rows, recent_predictions
 from .training import (
     prepare_credit_data,
     prepare_fraud_data,
@@ -212,22 +212,64 @@ def q_stream_minute(spark, sf_dir):
         F.round("fraud_rate", 6).alias("fraud_rate"), "model_version")
 
 
-@register("drift_run")
+_FRAUD_CUR_SQL = ("(SELECT CAST(1 + event_id % 743 AS DOUBLE) AS step, value AS amount, 'PAYMENT' AS type "
+                  "FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000)")
+_CREDIT_COLS = ["age", "duration_months", "credit_amount", "employment", "purpose"]
+_CREDIT_CUR_SQL = ("(SELECT age, duration_months, credit_amount, employment, purpose FROM clean_credit "
+                   "ORDER BY credit_amount DESC, age DESC, duration_months DESC, employment DESC, purpose DESC "
+                   "LIMIT 1000)")
+
+
+def _status_sql(model: str, src, numeric: list[str], categorical: list[str]) -> str:
+    from .queries_drift import _cat_report_sql, _num_report_sql
+
+    rep = "\nUNION ALL ".join([f"SELECT * FROM {_num_report_sql(c, src)}" for c in numeric]
+                              + [f"SELECT * FROM {_cat_report_sql(c, src)}" for c in categorical])
+    n = f"(SELECT count(*) FROM {src[1]} AS cur_n)"
+    share = "CAST(count(*) FILTER (WHERE drift_detected) AS DOUBLE) / count(*)"
+    return f"""SELECT '{model}' AS model, CASE WHEN {n} < 50 THEN 'not_enough_rows' ELSE 'ok' END AS status,
+  CAST({n} AS BIGINT) AS n_current,
+  CASE WHEN {n} < 50 THEN NULL ELSE CAST(count(*) AS BIGINT) END AS n_features,
+  CASE WHEN {n} < 50 THEN NULL ELSE CAST(count(*) FILTER (WHERE drift_detected) AS BIGINT) END AS n_drifted_features,
+  CASE WHEN {n} < 50 THEN NULL ELSE round({share}, 6) END AS drift_share,
+  CASE WHEN {n} < 50 THEN NULL ELSE {share} >= 0.5 END AS drift_detected,
+  CASE WHEN {n} < 50 THEN NULL ELSE {share} > 0.15 END AS alert
+FROM ({rep}) rep_{model.lower()}"""
+
+
+def _drift_run_sql() -> str:
+    from .catalog import sql_clean_credit_ctes, sql_clean_fraud_ctes
+
+    fraud_src = ("(SELECT step, amount, type FROM clean_fraud)", _FRAUD_CUR_SQL)
+    credit_src = ("(SELECT age, duration_months, credit_amount, employment, purpose FROM clean_credit)",
+                  _CREDIT_CUR_SQL)
+    return ("WITH " + sql_clean_fraud_ctes().strip() + ",\n" + sql_clean_credit_ctes().strip() + "\n"
+            + _status_sql("FraudDetector", fraud_src, ["step", "amount"], ["type"])
+            + "\nUNION ALL\n"
+            + _status_sql("CreditRiskScorer", credit_src, ["age", "duration_months", "credit_amount"],
+                          ["employment", "purpose"])
+            + "\nUNION ALL SELECT 'UnseenModel', 'no_reference', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), "
+              "CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS BOOLEAN), CAST(NULL AS BOOLEAN)")
+
+
+@register("drift_run", _drift_run_sql())
 def q_drift_run(spark, sf_dir):
     """Both models.
 
-    Fraud: reference = cleaned transactions, current = newest 1000 prediction-log rows.
-    Credit: reference = cleaned applicants (the 5 logged inputs), current = the 1000 applicants
-    with the largest requested amounts (a drifted window).  A third entry without a
-    reference exercises the skip path.
+    Fraud: reference = cleaned transactions, current = the newest 1000 prediction-log rows
+    (events as the log).  Credit: reference = cleaned applicants (the 5 logged inputs),
+    current = the 1000 applicants with the largest requested amounts (a drifted window,
+    fully ordered so ties cannot change it).  A third entry without a reference exercises
+    the skip path.
     """
     ref = clean_fraud_data(raw_transactions(spark, sf_dir)).select("step", "amount", "type")
-    log = prediction_log_from_events(spark, sf_dir)
-    cur = log.orderBy(F.col("timestamp").desc(), F.col("event_id").desc()).limit(1000).select(
-        F.col("amount"), F.lit("PAYMENT").alias("type"), F.hour("timestamp").cast("double").alias("step"))
-    credit_cols = ["age", "duration_months", "credit_amount", "employment", "purpose"]
-    cref = clean_credit_data(raw_applicants(spark, sf_dir)).select(*credit_cols)
-    ccur = cref.orderBy(F.col("credit_amount").desc()).limit(1000)
+    ev = read_table(spark, sf_dir, "events")
+    cur = ev.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(1000).select(
+        (F.lit(1) + F.col("event_id") % 743).cast("double").alias("step"), F.col("value").alias("amount"),
+        F.lit("PAYMENT").alias("type"))
+    cref = clean_credit_data(raw_applicants(spark, sf_dir)).select(*_CREDIT_COLS)
+    ccur = cref.orderBy(*[F.col(c).desc() for c in ["credit_amount", "age", "duration_months", "employment",
+                                                    "purpose"]]).limit(1000)
     empty = spark.createDataFrame([], T.StructType([T.StructField("amount", T.DoubleType())]))
     return run_drift_detection(spark, {"FraudDetector": (ref, cur), "CreditRiskScorer": (cref, ccur),
                                        "UnseenModel": (None, empty)})
