@@ -38,6 +38,17 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+# The pandas functions below run on executors.  Pickle this module's helpers by value with the
+# UDFs, so executors do not need the package installed or on their path.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: the package must then be shipped (--py-files)
+    pass
+
 DEFAULT_BLOCK_ROWS = 1024
 _CHUNK = 128
 

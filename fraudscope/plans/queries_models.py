@@ -152,20 +152,31 @@ def q_model_roundtrip(spark, sf_dir):
     return scored.select("step", "type", "amount", "fraud_probability", "is_fraud", "threshold", "model_version")
 
 
-@register("audit_append")
+@register("audit_append", """
+SELECT CAST(1 + o_orderkey % 743 AS INTEGER) AS step, 'TRANSFER' AS type,
+       o_totalprice / (o_totalprice + greatest(c_acctbal, CAST(0 AS DOUBLE)) * CAST(100 AS DOUBLE)
+                       + CAST(50000 AS DOUBLE)) AS amount,
+       CAST(0 AS DOUBLE) AS oldbalance_org, CAST(0 AS DOUBLE) AS newbalance_orig,
+       CAST(0 AS DOUBLE) AS oldbalance_dest, CAST(0 AS DOUBLE) AS newbalance_dest
+FROM orders JOIN customer ON o_custkey = c_custkey
+ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1000""")
 def q_audit_append(spark, sf_dir):
-    """S13-S15 + P18 + S11/W1: append scored rows to the date-partitioned log, read the newest 1000 back."""
+    """S13-S15 + P18 + S11/W1: append scored rows to the date-partitioned log, read the newest 1000 back.
+
+    The log ``id`` is the order key, so "newest 1000" (timestamp, then id) is reproducible.
+    """
     base = scratch_path(spark, f"log-{uuid.uuid4().hex}")
     create_log_tables(spark, base)
     scored = rule_fraud_scores(spark, sf_dir).join(
         read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), "o_orderdate"), "request_id")
     shaped = scored.select(
+        F.col("request_id").alias("src_id"),
         F.col("request_id").cast("string").alias("request_id"), F.col("o_orderdate").cast("timestamp").alias("timestamp"),
-        F.lit(1).alias("step"), F.lit("TRANSFER").alias("type"), F.col("p").alias("amount"),
+        (F.lit(1) + F.col("request_id") % 743).alias("step"), F.lit("TRANSFER").alias("type"), F.col("p").alias("amount"),
         *[F.lit(0.0).alias(c) for c in ["oldbalance_org", "newbalance_orig", "oldbalance_dest", "newbalance_dest"]],
         F.round("p", 4).alias("fraud_probability"), (F.col("p") >= 0.5).alias("is_fraud"),
         F.lit(0.5).alias("threshold"), F.lit("rules-v1").alias("model_version"))
-    append_log(fraud_log_rows(shaped), f"{base}/fraud_predictions")
+    append_log(fraud_log_rows(shaped, id_col="src_id"), f"{base}/fraud_predictions")
     return recent_predictions(spark, f"{base}/fraud_predictions",
                               ["step", "transaction_type", "amount", "oldbalance_org", "newbalance_orig",
                                "oldbalance_dest", "newbalance_dest"], n=1000, rename={"transaction_type": "type"})

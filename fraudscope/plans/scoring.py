@@ -81,13 +81,17 @@ def validated_credit_scores(scorer: Scorer, requests: DataFrame):
 
 
 # ----------------------------------------------------------------------------- audit log
-def fraud_log_rows(scored: DataFrame) -> DataFrame:
-    """Scored fraud rows -> ``fraud_predictions`` log shape (+ ``log_date`` partition)."""
+def fraud_log_rows(scored: DataFrame, id_col: str | None = None) -> DataFrame:
+    """Scored fraud rows -> ``fraud_predictions`` log shape (+ ``log_date`` partition).
+
+    ``id`` is the source key when ``id_col`` is given (replays and readers see stable ids),
+    else a hash of the request id."""
     if "request_id" not in scored.columns:
         scored = assign_request_ids(scored)
     ts = F.col("timestamp") if "timestamp" in scored.columns else F.current_timestamp()
+    row_id = F.col(id_col).cast("long") if id_col else F.xxhash64("request_id")
     cols = [
-        F.xxhash64("request_id").alias("id"), F.col("request_id"), ts.alias("timestamp"),
+        row_id.alias("id"), F.col("request_id"), ts.alias("timestamp"),
         F.col("step").cast("int").alias("step"), F.col("type").alias("transaction_type"),
         *[F.col(c).cast("double").alias(c) for c in
           ["amount", "oldbalance_org", "newbalance_orig", "oldbalance_dest", "newbalance_dest"]],
