@@ -93,6 +93,21 @@ def test_prefix_sums_many_buckets_equal_one_bucket(spark):
     assert last[-1] is None and last[-2] == 400  # next key of the largest is NULL, full count at the end
 
 
+def test_grouped_prefix_sums_many_buckets(spark):
+    rows = [(g, float((i * 7 + j) % 53), i % 3) for j, g in enumerate(("a", "b", "c")) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, k double, y int").groupBy("g", "k").agg(F.sum("y").alias("m"))
+    got = {(r["g"], r["k"]): (r["cum_m"], r["next_k"])
+           for r in cumulative(df, "k", ["m"], groups=["g"], rows_per_bucket=4).collect()}
+    for g in ("a", "b", "c"):
+        keys = sorted(k for (gg, k) in got if gg == g)
+        local = {r["k"]: r["m"] for r in df.filter(F.col("g") == g).collect()}
+        run = 0
+        for i, k in enumerate(keys):
+            run += local[k]
+            nxt = keys[i + 1] if i + 1 < len(keys) else None
+            assert got[(g, k)] == (run, nxt)
+
+
 def test_pr_curve_terminal_and_single_class(spark):
     df = spark.createDataFrame(SIX, "p double, y int")
     pts = M.pr_curve(df, "y", "p").collect()
