@@ -51,6 +51,9 @@ except Exception:  # noqa: BLE001 - older cloudpickle: the package must then be
 
 DEFAULT_BLOCK_ROWS = 1024
 _CHUNK = 128
+# block tables (one row per block) are broadcast only below this many rows; above it they are
+# joined normally (n / block_rows grows with the data, so the bound is checked, not assumed)
+MAX_BROADCAST_BLOCKS = 1_000_000
 
 
 def _sq_dists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -160,7 +163,13 @@ def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec_col: str, k:
     sizes = pts.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("cnt"))
     # one row per (label, bucket): bounded by n / block_rows + labels, so the broadcast size is bounded
     sizes = sizes.withColumn("n_sub", F.greatest(F.lit(1), F.ceil(F.col("cnt") / F.lit(block_rows))).cast("int"))
-    pts = pts.join(F.broadcast(sizes.select("label", "bucket", "n_sub")), ["label", "bucket"])
+    # blocks = (label, bucket) pairs plus their hash sub-blocks: at most this many rows
+    n_blocks_est = sizes.count() + math.ceil(n / block_rows)
+
+    def small(d):
+        return F.broadcast(d) if n_blocks_est <= MAX_BROADCAST_BLOCKS else d
+
+    pts = pts.join(small(sizes.select("label", "bucket", "n_sub")), ["label", "bucket"])
     pts = pts.withColumn("sub", F.pmod(F.xxhash64("id"), F.col("n_sub")).cast("int")).drop("n_sub")
 
     # ---------------------------------------------------------------- pass 1: inside each block
@@ -184,7 +193,7 @@ def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec_col: str, k:
     req = bucket_of(bucket_of(req, "t_lo", "b_lo"), "t_hi", "b_hi")
     req = req.withColumn("tb", F.explode(F.sequence("b_lo", "b_hi")))
     blocks = sizes.select("label", F.col("bucket").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1)).alias("ts"))
-    req = req.join(F.broadcast(blocks), ["label", "tb"]).filter(
+    req = req.join(small(blocks), ["label", "tb"]).filter(
         (F.col("tb") != F.col("bucket")) | (F.col("ts") != F.col("sub")))
     req = req.join(pts.select("id", "vec"), "id").select(
         F.col("label"), F.col("tb").alias("bucket"), F.col("ts").alias("sub"), F.col("id").alias("qid"),
@@ -210,7 +219,7 @@ def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec_col: str, k:
     # one row per asked block (at most n / block_rows rows), broadcast to both sides; each side gets
     # its own re-aliased copy so the two joins do not share attribute ids
     def n_req_copy():
-        return F.broadcast(n_req.select(*[F.col(c).alias(c) for c in n_req.columns]))
+        return small(n_req.select(*[F.col(c).alias(c) for c in n_req.columns]))
 
     req = req.join(n_req_copy(), keys).withColumn(
         "rc", F.pmod(F.xxhash64("qid"), F.col("n_rc")).cast("int")).drop("n_rc")
