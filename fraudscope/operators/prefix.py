@@ -98,7 +98,9 @@ def cumulative(
         *[F.coalesce(F.sum(f"_tot_{m}").over(w_prev), F.lit(0)).alias(f"_off_{m}") for m in measures],
         F.lead("_first").over(w_all).alias("_next_first"),
     )
-    joined = local.join(F.broadcast(offsets), [*groups, "_b"])
+    # ungrouped: one row per bucket (<= MAX_BUCKETS), a proven bound -> broadcast hint.  Grouped:
+    # buckets x groups has no static bound, so AQE decides from the measured size.
+    joined = local.join(offsets if groups else F.broadcast(offsets), [*groups, "_b"])
     out = joined.withColumns(
         {f"cum_{m}": F.col(f"_off_{m}") + F.col(f"_run_{m}") for m in measures}
         | {f"next_{key}": F.coalesce(F.col("_lead"), F.col("_next_first"))}
