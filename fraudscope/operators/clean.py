@@ -38,7 +38,7 @@ from ..schemas import (
     FRAUD_TARGET,
 )
 from .quantiles import exact_quantiles
-from .stats import column_modes, null_counts
+from .stats import column_modes
 
 _NUMERIC = ("double", "float", "bigint", "int", "smallint", "tinyint", "decimal")
 
@@ -127,18 +127,26 @@ class Cleaner:
         ok = False
         try:
             types = dict(dedup.dtypes)
-            n_rows = dedup.count()  # fills the cache; sizes the quantile sketches
-            nulls = null_counts(dedup)
+            categorical = [c for c in dedup.columns if types[c] == "string"]
+            # one pass (it also fills the cache): row count, NULLs per column, and NULLs of the
+            # categorical columns among the rows that keep their target (the rows modes are fitted on)
+            keep = F.col(spec.target).isNotNull()
+            row = dedup.agg(
+                F.count(F.lit(1)).alias("__n"),
+                *[F.count_if(F.col(c).isNull()).alias(f"n_{i}") for i, c in enumerate(dedup.columns)],
+                *[F.count_if(F.col(c).isNull() & keep).alias(f"k_{i}") for i, c in enumerate(categorical)],
+            ).first()
+            n_rows = int(row["__n"])
+            nulls = {c: int(row[f"n_{i}"]) for i, c in enumerate(dedup.columns)}
+            cat_nulls = {c: int(row[f"k_{i}"]) for i, c in enumerate(categorical)}
             stats = CleanStats(counts={"rows_deduplicated": n_rows})
             numeric = [c for c in dedup.columns if _is_numeric(types[c]) and c != spec.target]
             with_nulls = [c for c in numeric if nulls[c] > 0]
             if with_nulls:
                 q = exact_quantiles(dedup, {c: [0.5] for c in with_nulls}, n_rows=n_rows, exact=spec.exact)
                 stats.medians = {c: q[(c, 0.5)] for c in with_nulls if q[(c, 0.5)] is not None}
-            kept = dedup.filter(F.col(spec.target).isNotNull())
-            categorical = [c for c in dedup.columns if types[c] == "string"]
+            kept = dedup.filter(keep)
             if spec.categorical_fill is None:
-                cat_nulls = null_counts(kept, categorical) if categorical else {}
                 need = [c for c in categorical if cat_nulls[c] > 0]
                 modes = column_modes(kept, need)
                 stats.fills = {c: v for c, v in modes.items() if v is not None}
