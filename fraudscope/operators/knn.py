@@ -115,14 +115,16 @@ def _projection(pts: DataFrame) -> list[float]:
 
 
 def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec_col: str, k: int = 5,
-                   block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """(id, label, rank, neighbor_id, distance) — the k nearest other points of the same label."""
+                   block_rows: int = DEFAULT_BLOCK_ROWS, n_rows: int | None = None) -> DataFrame:
+    """(id, label, rank, neighbor_id, distance) — the k nearest other points of the same label.
+
+    ``n_rows`` (the number of points, when the caller already knows it) saves a counting pass."""
     pts = df.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(label_col).cast("long").alias("label"),
         F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("vec"),
     )
-    n = pts.count()
+    n = pts.count() if n_rows is None else int(n_rows)
     # with a handful of blocks the key barely prunes anything: skip the PCA pass there
     if n > 4 * block_rows:
         u = _projection(pts)

@@ -188,7 +188,8 @@ def smote(df: DataFrame, label: str, vec_col: str, id_col: str, k: int = 5, seed
     if small:
         raise ValueError(f"Expected n_neighbors <= n_samples: classes {small} have <= {k} rows")
     minority = base_cols.filter(F.col("label").isin(list(need)))
-    nbrs = knn_same_class(minority, "id", "label", "vec", k=k, block_rows=block_rows or DEFAULT_BLOCK_ROWS)
+    nbrs = knn_same_class(minority, "id", "label", "vec", k=k, block_rows=block_rows or DEFAULT_BLOCK_ROWS,
+                          n_rows=sum(counts[c] for c in need))
     # at most k rows per id: a bounded list
     nbr_lists = nbrs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbor_id"))).alias("nl"))
     nbr_lists = nbr_lists.select("id", F.transform("nl", lambda s: s["neighbor_id"]).alias("nbr_ids"))
