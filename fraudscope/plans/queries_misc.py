@@ -155,7 +155,8 @@ def q_schema_check(spark, sf_dir):
     cases = [
         ("raw_transactions", raw),
         ("wrong_columns", read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("wrong_column"))),
-        ("empty", raw.limit(0)),
+        # transactions outside the simulated month: none exist, so the whole-table filter is empty
+        ("empty", raw.filter(F.col("step") > 743)),
     ]
     rows = []
     for name, df in cases:
