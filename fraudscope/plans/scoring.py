@@ -135,8 +135,24 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 def recent_predictions(spark: SparkSession, path: str, columns: list[str], n: int = 1000,
                        rename: dict | None = None) -> DataFrame:
-    """S11/S12 + W1: newest ``n`` log rows (top-N, no full sort), selected columns."""
+    """S11/S12 + W1: newest ``n`` log rows (top-N, no full sort), selected columns.
+
+    The log is partitioned by ``log_date`` (the date of ``timestamp``).  Per-day row counts
+    (file metadata only; one row per day) give the oldest day still needed to hold ``n``
+    rows; the read is then pruned to the days from there on.  Every row newer than any
+    pruned row is kept, so the result is exact and old history is never scanned.
+    """
     log = spark.read.parquet(path)
+    if "log_date" in log.columns:
+        per_day = log.groupBy("log_date").count().orderBy(F.col("log_date").desc()).collect()
+        acc, cutoff = 0, None
+        for r in per_day:
+            acc += int(r["count"])
+            cutoff = r["log_date"]
+            if acc >= n:
+                break
+        if cutoff is not None:
+            log = log.filter(F.col("log_date") >= F.lit(cutoff))
     top = log.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(n)
     out = top.select(*columns)
     return out.withColumnsRenamed(rename) if rename else out
