@@ -78,6 +78,24 @@ def test_train_save_load_score_and_idempotent_stream_batch(spark):
     assert all(0 <= r[0] <= 1 for r in p)
 
 
+def test_recent_predictions_prunes_days_exactly(spark):
+    from fraudscope.plans.scoring import append_log, fraud_log_rows, recent_predictions
+
+    base = scratch_path(spark, f"recent-{uuid.uuid4().hex}")
+    src = spark.range(0, 500).select(
+        F.col("id").alias("src_id"), F.col("id").cast("string").alias("request_id"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_interval(hours=(F.col("id") * 7) % 240)).alias("timestamp"),
+        F.lit(1).alias("step"), F.lit("PAYMENT").alias("type"), F.col("id").cast("double").alias("amount"),
+        *[F.lit(0.0).alias(c) for c in ["oldbalance_org", "newbalance_orig", "oldbalance_dest", "newbalance_dest"]],
+        F.lit(0.1).alias("fraud_probability"), F.lit(False).alias("is_fraud"), F.lit(0.5).alias("threshold"),
+        F.lit("v").alias("model_version"))
+    append_log(fraud_log_rows(src, id_col="src_id"), f"{base}/log")
+    got = [r["amount"] for r in recent_predictions(spark, f"{base}/log", ["amount", "timestamp", "id"], n=37)
+           .orderBy(F.col("timestamp").desc(), F.col("id").desc()).collect()]
+    full = spark.read.parquet(f"{base}/log").orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(37)
+    assert got == [r["amount"] for r in full.collect()]
+
+
 def test_stream_minute_append_mode_emits_only_closed_windows(spark):
     from fraudscope.sources.tables import read_table
     from fraudscope.streaming.monitor import per_minute_stats, per_minute_stream
