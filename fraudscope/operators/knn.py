@@ -131,8 +131,12 @@ def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec_col: str, k:
     else:
         first = pts.select(F.size("vec").alias("d")).first()
         u = [1.0] + [0.0] * (max(int(first["d"]) if first else 1, 1) - 1)
-    dot = F.aggregate(F.zip_with("vec", F.array(*[F.lit(float(x)) for x in u]), lambda a, b: a * b),
-                      F.lit(0.0), lambda acc, x: acc + x)
+    # an explicit sum over fixed positions (vectors have one width) stays inside whole-stage codegen,
+    # unlike a higher-order aggregate over the array
+    dot = F.lit(0.0)
+    for i, x in enumerate(u):
+        if x != 0.0:
+            dot = dot + F.col("vec")[i] * F.lit(float(x))
     pts = pts.withColumn("t", dot)
     grid = 1024
     n_buckets = min(grid, max(1, math.ceil(n / block_rows)))
