@@ -122,7 +122,7 @@ def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec_col: str, k:
     pts = df.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(label_col).cast("long").alias("label"),
-        F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("vec"),
+        F.col(vec_col).cast("array<double>").alias("vec"),
     )
     n = pts.count() if n_rows is None else int(n_rows)
     # with a handful of blocks the key barely prunes anything: skip the PCA pass there

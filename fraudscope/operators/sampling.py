@@ -180,7 +180,7 @@ def smote(df: DataFrame, label: str, vec_col: str, id_col: str, k: int = 5, seed
     n_major = max(counts.values())
     need = {c: n_major - n for c, n in counts.items() if n < n_major}
     base_cols = df.select(F.col(id_col).alias("id"), F.col(label).alias("label"),
-                          F.transform(vec_col, lambda x: x.cast("double")).alias("vec"),
+                          F.col(vec_col).cast("array<double>").alias("vec"),
                           F.lit(False).alias("synthetic"))
     if not need:
         return base_cols
