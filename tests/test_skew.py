@@ -33,6 +33,33 @@ def test_metrics_with_hot_score(spark):
     assert abs(r["roc_auc"] - auc) < 1e-12 and abs(r["pr_auc"] - ap) < 1e-12
 
 
+def test_drift_and_per_class_gini_with_hot_values(spark):
+    from fraudscope.operators import drift as D
+
+    rng = np.random.default_rng(8)
+    ref = np.concatenate([np.full(700, 3.0), rng.normal(3, 1, 1400).round(2)])  # a third is one value
+    cur = np.concatenate([np.full(300, 3.0), rng.normal(3.5, 1, 600).round(2)])
+    r = spark.createDataFrame([(float(v),) for v in ref], "x double")
+    c = spark.createDataFrame([(float(v),) for v in cur], "x double")
+    st = D.numeric_drift_stats(r, c, ["x"])["x"]
+    vals = np.unique(np.concatenate([ref, cur]))
+    fa = np.searchsorted(np.sort(ref), vals, side="right") / len(ref)
+    fb = np.searchsorted(np.sort(cur), vals, side="right") / len(cur)
+    assert abs(st["d"] - np.max(np.abs(fa - fb))) < 1e-12
+    assert abs(st["w"] - np.sum(np.abs(fa - fb)[:-1] * np.diff(vals))) < 1e-9
+
+    n = 1500
+    labels = rng.integers(0, 3, n)
+    p = rng.random((n, 3)).round(2)
+    p[: n // 3] = 0.5  # a third of the rows share every score
+    df = spark.createDataFrame([(int(a), *map(float, row)) for a, row in zip(labels, p)],
+                               "y int, p0 double, p1 double, p2 double")
+    got = {row["class_label"]: row["gini"] for row in M.gini_per_class(df, "y", {0: "p0", 1: "p1", 2: "p2"}).collect()}
+    for k in range(3):
+        auc, _ = _auc_ap(p[:, k], (labels == k).astype(int))
+        assert got[str(k)] == round(2 * auc - 1, 4)
+
+
 def test_dedup_and_mode_with_hot_row(spark):
     hot = [(1, "PAYMENT", 10.0)] * 1200
     rest = [(i, "DEBIT" if i % 2 else "CASH_IN", float(i)) for i in range(2, 2002)]
