@@ -37,6 +37,11 @@ def test_clean_fraud_prunes_and_pushes_down(spark):
     assert p.count("Exchange hashpartitioning") <= 2  # the de-dup (and at most a join shuffle)
 
 
+def test_recent_log_read_prunes_partitions(spark):
+    p = plan(spark, "audit_append")
+    assert "PartitionFilters: [isnotnull(log_date" in p and "TakeOrderedAndProject" in p
+
+
 def test_metrics_do_not_read_document_text(spark):
     p = plan(spark, "binary_metrics")
     assert "documents.parquet" in p and "text:string" not in p
