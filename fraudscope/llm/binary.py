@@ -17,6 +17,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import re
 import struct
 import zlib
 
@@ -70,6 +71,9 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if null else doc, np.frombuffer(payload, f"<u{width}", offset=BODY.size).astype(np.uint32)
 
 
+SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
 class WordEncoder:
     """Ids of a tokenizer that drops white space.  White space separates its words and joins none, so that a text's ids are those of its
     blank-separated parts in order; each distinct part goes through the library once and is then remembered (up to a bound)."""
@@ -83,6 +87,8 @@ class WordEncoder:
         self.lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
     def encode(self, text: str) -> list[int]:
+        if SEPARATORS.search(text):  # white space to str.split(), not to the library
+            return self.library.encode(text, add_special_tokens=False).ids
         if "<|" not in text:  # a special token's name is told by case; all other text is lower-cased by the file's own rules
             text = text.lower() if text.isascii() else text.translate(self.lower)
         parts = text.split()
