@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -44,10 +45,26 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, tag)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs go when the driver drops their handles; jobs of many stages ask for that between stages, so
+    that they hold the disk of one stage at a time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into pieces of at most ``rows`` rows (zero-copy)."""
     for i in range(0, batch.num_rows, rows):
