@@ -6,8 +6,8 @@ windows with the same smallest piece form a segment.  Equal windows have equal s
 segment only settles its windows, and the segments of all other pieces meet by a shuffle on the piece.  Equal segments are one member
 with a count before their text is moved.
 
-How they are compared: the members of a bucket are one collection.  Its symbols are eight bytes wide, so a member is eight
-documents, one for each phase.  Each round inserts one symbol of every document that still has one, from the last to the first: the
+How they are compared: the members of a bucket are one collection.  Its symbols are a fifth of a window wide, so a member is as many
+documents as a symbol has bytes, one for each phase.  Each round inserts one symbol of every document that still has one, from the last to the first: the
 place of symbol ``c`` before a suffix of rank ``r`` follows from the symbols smaller than ``c`` and the occurrences of ``c`` in the
 transform before ``r`` (one sorted column holds both), and the columns of the order are rewritten in one sequential merge.  Beside
 them runs the column of common prefixes, capped at the window length: whether a suffix shares a whole window with its predecessor.
@@ -31,14 +31,37 @@ from pyspark.sql import types as T
 
 from .common import batch, map_arrow, ship, stored
 
-PIECE, SYMBOL = 16, 8
+PIECE = 16
+#: A symbol of the collection is this share of the window.
+STEPS = 5
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
 def _words(data: np.ndarray, order: str) -> np.ndarray:
     """The eight bytes from each place on (zeros after the end) as one number."""
-    padded = np.concatenate([data, np.zeros(SYMBOL, np.uint8)])
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, SYMBOL)[: len(data)]).view(order + "u8").ravel()
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)]).view(order + "u8").ravel()
+
+
+def _names(data: np.ndarray, width: int) -> np.ndarray:
+    """Number of the ``width`` bytes (a multiple of 8) from each place on, in byte order: equal numbers for equal bytes."""
+    rank = lambda key: np.unique(key, return_inverse=True)[1].astype(np.uint64)
+
+    def both(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
+        return rank((a << np.uint64(32)) | np.concatenate([b[shift:], np.zeros(min(shift, len(b)), np.uint64)]))
+
+    eight = rank(_words(data, ">"))
+    powers = {8: eight}
+    while 2 * max(powers) <= width:
+        w = max(powers)
+        powers[2 * w] = both(powers[w], powers[w], w)
+    w = max(powers)
+    out = powers[w]
+    while w < width:  # the rest from the parts at hand
+        step = max(k for k in powers if k <= width - w)
+        out = both(out, powers[step], w)
+        w += step
+    return out
 
 
 def segments(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -49,7 +72,7 @@ def segments(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     w = _words(data, "<")
     n = len(data) - PIECE + 1
-    h = (w[:n] * A) ^ ((w[SYMBOL: SYMBOL + n] + C) * B)
+    h = (w[:n] * A) ^ ((w[8: 8 + n] + C) * B)
     h ^= h >> np.uint64(32)
     h *= C
     h ^= h >> np.uint64(29)
@@ -70,15 +93,14 @@ def segments(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def repeated_windows(members: list[bytes], counts: np.ndarray, length: int) -> list[np.ndarray]:
     """For each member a mask over its windows: does the window start anywhere else in the collection?"""
-    steps = length // SYMBOL
+    width = length // STEPS
     sizes = np.array([len(m) for m in members], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    symbols = _words(np.frombuffer(b"".join(members), np.uint8), ">")
-    names = np.unique(symbols, return_inverse=True)[1].astype(np.uint64)
+    names = _names(np.frombuffer(b"".join(members), np.uint8), width)
     # documents: (member, phase); left[d] symbols remain to be inserted
-    member = np.repeat(np.arange(len(members)), SYMBOL)
-    phase = np.tile(np.arange(SYMBOL), len(members))
-    left = (sizes[member] - phase) // SYMBOL
+    member = np.repeat(np.arange(len(members)), width)
+    phase = np.tile(np.arange(width), len(members))
+    left = (sizes[member] - phase) // width
     docs = len(member)
     base = starts[member] + phase
     # the order: key = (symbol name + 1, rank of the rest), at = place of the suffix in the text; empty suffixes come first
@@ -91,7 +113,7 @@ def repeated_windows(members: list[bytes], counts: np.ndarray, length: int) -> l
         live = np.flatnonzero(left_now > 0)
         if not len(live):
             break
-        place = base[live] + SYMBOL * (left_now[live] - 1)
+        place = base[live] + width * (left_now[live] - 1)
         left_now[live] -= 1
         new = ((names[place] + np.uint64(1)) << np.uint64(32)) | rank[live].astype(np.uint64)
         order = np.argsort(new, kind="stable")
@@ -108,40 +130,44 @@ def repeated_windows(members: list[bytes], counts: np.ndarray, length: int) -> l
         key2[moved], at2[moved], common2[moved] = old, at, common
         key2[fresh] = (new & ~low32) | shifted[(new & low32).astype(np.int64)]
         at2[fresh] = place
-        if round_ >= steps:  # only now are there suffixes as long as a window
+        if round_ >= STEPS:  # only now are there suffixes as long as a window
             there = np.unique(np.concatenate([fresh, fresh + 1]))
             there = there[there < size]
-            common2[there] = _share(names, key2, at2, there, steps, base, sizes, member)
+            common2[there] = _share(names, key2, at2, there, width, starts)
         rank = moved[rank]
         rank[live] = fresh
         key, at, common = key2, at2, common2
-    repeated = np.zeros(len(symbols), bool)
+    repeated = np.zeros(len(names), bool)
     both = np.flatnonzero(common)
     repeated[at[both]] = True
     repeated[at[both - 1]] = True
     return [repeated[starts[k]: starts[k] + max(0, sizes[k] - length + 1)] | bool(counts[k] > 1) for k in range(len(members))]
 
 
-def _share(names, key, at, there, steps, base, sizes, member) -> np.ndarray:
-    """Does the suffix at each rank share ``steps`` whole symbols with the one before it?"""
+def _share(names, key, at, there, width, starts) -> np.ndarray:
+    """Does the suffix at each rank share a whole window with the one before it?"""
     out = np.zeros(len(there), bool)
     a, b = at[there - 1], at[there]
-    ends = base[:: SYMBOL] + sizes  # where each member ends in the joined text
     live = np.flatnonzero((there > 0) & (a >= 0) & (b >= 0) & ((key[there] >> np.uint64(32)) == (key[there - 1] >> np.uint64(32))))
-    room = np.searchsorted(base[:: SYMBOL], [a[live], b[live]], side="right") - 1
-    fits = (a[live] + steps * SYMBOL <= ends[room[0]]) & (b[live] + steps * SYMBOL <= ends[room[1]])
-    live = live[fits]
-    for t in range(1, steps):
-        live = live[names[a[live] + t * SYMBOL] == names[b[live] + t * SYMBOL]]
+    for t in range(1, STEPS - 1):
+        # names differ where the windows do; places beyond the joined text are caught below
+        p, q = a[live] + t * width, b[live] + t * width
+        inside = np.maximum(p, q) < len(names)
+        live = live[inside]
+        live = live[names[p[inside]] == names[q[inside]]]
+    ends = starts[1:]
+    room = [ends[np.searchsorted(starts, x, side="right") - 1] for x in (a[live], b[live])]
+    live = live[(a[live] + STEPS * width <= room[0]) & (b[live] + STEPS * width <= room[1])]
+    live = live[names[a[live] + (STEPS - 1) * width] == names[b[live] + (STEPS - 1) * width]]
     out[live] = True
     return out
 
 
-def duplicate_spans(docs: DataFrame, length: int = 200, bucket_bytes: int = 2 << 20, hot_members: int = 20_000, carry: bool = False) -> DataFrame:
+def duplicate_spans(docs: DataFrame, length: int = 200, bucket_bytes: int = 1 << 19, hot_members: int = 20_000, carry: bool = False) -> DataFrame:
     """``doc_id, text, spans``: for each document the maximal byte runs ``[start, end)`` to remove.  ``carry`` adds a column ``rest``
     with the row's columns other than the text."""
-    if length % SYMBOL or length < 2 * PIECE:
-        raise ValueError(f"length must be a multiple of {SYMBOL} and at least {2 * PIECE}")
+    if length % (8 * STEPS) or length < 2 * PIECE:
+        raise ValueError(f"length must be a multiple of {8 * STEPS}")
     spark = docs.sparkSession
     ship(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -191,8 +217,7 @@ def duplicate_spans(docs: DataFrame, length: int = 200, bucket_bytes: int = 2 <<
     raw = F.col("text").cast("binary")
     cuts = keyed.join(wanted, match).select(F.col("text"), F.explode("parts").alias("p"))
     cuts = cuts.select("p.m", "p.c1", "p.c2", "p.n", F.substring(raw, F.col("p.at") + 1, F.col("p.size")).alias("body"))
-    cuts = cuts.dropDuplicates(["m", "c1", "c2"])  # rows repeated with id and text provide a member twice
-    cuts = stored(cuts, "suffix-members")
+    cuts = stored(cuts, "suffix-members")  # rows repeated with id and text provide a member twice; the second is left out below
     total = cuts.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     hot = cuts.groupBy("m").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > hot_members).select(F.col("m").alias("_m"))
@@ -202,12 +227,14 @@ def duplicate_spans(docs: DataFrame, length: int = 200, bucket_bytes: int = 2 <<
     kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def construct(t: pa.Table) -> pa.Table:
+        first = {k: i for i, k in reversed(list(enumerate(zip(*(t.column(c).to_pylist() for c in ("m", "c1", "c2"))))))}
+        t = t.take(pa.array(sorted(first.values()), pa.int64()))
         found = repeated_windows(t.column("body").to_pylist(), t.column("n").to_numpy(), length)
         runs = [_runs(x, length) for x in found]
         return pa.table({"m": t.column("m"), "c1": t.column("c1"), "c2": t.column("c2"), "spans": pa.array(runs, kind)})
 
     done = cold.groupBy("bucket").applyInArrow(construct, spans)
-    warm = cuts.join(hot, F.col("m") == F.col("_m"), "left_semi").select("m", "c1", "c2", "n", "body", F.explode(F.sequence(F.lit(1), F.octet_length("body") - length + 1)).alias("o"))
+    warm = cuts.join(hot, F.col("m") == F.col("_m"), "left_semi").dropDuplicates(["m", "c1", "c2"]).select("m", "c1", "c2", "n", "body", F.explode(F.sequence(F.lit(1), F.octet_length("body") - length + 1)).alias("o"))
     window = F.substring("body", F.col("o"), length)
     warm = warm.select("m", "c1", "c2", "n", "o", F.xxhash64(window).alias("w1"), F.xxhash64(F.lit(1), window).alias("w2"))
     again = warm.groupBy("w1", "w2").agg(F.sum("n").alias("k")).filter("k > 1").select(F.col("w1").alias("_1"), F.col("w2").alias("_2"))
