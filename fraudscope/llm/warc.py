@@ -18,12 +18,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, new_file, open_fs, shared_dir, ship, slices, stored
+from .common import batch, map_arrow, new_file, open_fs, shared_dir, ship, slices, stored
 
 MAGIC = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
@@ -102,10 +103,17 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes
     ship(spark)
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("n", F.octet_length("payload"))
+
+    def squeeze(b: pa.RecordBatch) -> pa.RecordBatch:
+        packed = [zlib.compress(x, 1) for x in b.column("payload").to_pylist()]
+        return batch(page_id=b.column("page_id"), url=b.column("url"), packed=(packed, pa.binary()), sha=b.column("sha"), n=b.column("n"))
+
     groups = p.groupBy("sha", "n").agg(F.max("page_id").alias("lead")).select(F.col("sha").alias("_sha"), F.col("n").alias("_n"), "lead")
+    # payloads travel compressed
+    p = map_arrow(p, squeeze, "page_id long, url string, packed binary, sha binary, n int", rows=128)
     marked = p.join(groups, (F.col("sha") == F.col("_sha")) & (F.col("n") == F.col("_n")))
     revisit = (F.col("n") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("lead"))
-    marked = marked.select("page_id", "url", "payload", "sha", "lead", revisit.alias("revisit"))
+    marked = marked.select("page_id", "url", "packed", "sha", "lead", revisit.alias("revisit"))
 
     def write(batches):
         fs, out, size = None, None, 0
@@ -116,7 +124,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes
                         fs, _ = open_fs(folder)
                         uri, path = new_file(folder, "pages.warc")
                         out, size = fs.open_output_stream(path), 0
-                    x = record(r["page_id"], r["url"], r["payload"], base32(r["sha"].hex()), r["lead"], r["revisit"])
+                    x = record(r["page_id"], r["url"], zlib.decompress(r["packed"]), base32(r["sha"].hex()), r["lead"], r["revisit"])
                     out.write(x)
                     size += len(x)
                     if size >= file_bytes:
@@ -130,10 +138,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes
     return marked.mapInArrow(write, "path string, size long").collect()
 
 
-def boundaries(files: DataFrame, block_bytes: int) -> DataFrame:
+def boundaries(files: DataFrame, block_bytes: int, tasks: int) -> DataFrame:
     """``path, size, off``: the verified entry of each block of each file (``files``: path, size)."""
     blocks = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(block_bytes).cast("long"))).alias("start"))
-    blocks = blocks.repartition(F.col("path"), F.col("start"))
+    blocks = blocks.repartition(tasks, "path", "start")
 
     def candidates(batches):
         for b in batches:
@@ -176,7 +184,9 @@ def read_archives(spark: SparkSession, manifest, block_bytes: int = 4 << 20) ->
     """``page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload`` of every record."""
     ship(spark)
     files = spark.createDataFrame([(r["path"], r["size"]) for r in manifest], "path string, size long")
-    entries = boundaries(files, block_bytes).repartition(F.col("path"), F.col("off"))
+    # a task reads a few blocks; the rows that name them are too small for Spark to size tasks by
+    tasks = min(50_000, 1 + sum(r["size"] for r in manifest) // (4 * block_bytes))
+    entries = boundaries(files, block_bytes, tasks).repartition(tasks, "path", "off")
 
     def number(x: bytes) -> int | None:
         x = x.strip(b"<>")[len(ID):]
