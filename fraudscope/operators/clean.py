@@ -86,7 +86,10 @@ class Cleaner:
 
     # -- plan pieces ------------------------------------------------------------
     def _dedup(self, df: DataFrame) -> DataFrame:
-        return standardise_column_names(df).dropDuplicates()
+        named = standardise_column_names(df)
+        # NaN counts as missing throughout, so it becomes NULL once, before rows are compared
+        floats = {c: F.nanvl(F.col(c), F.lit(None).cast(t)) for c, t in named.dtypes if t in ("double", "float")}
+        return (named.withColumns(floats) if floats else named).dropDuplicates()
 
     def _impute(self, df: DataFrame, stats: CleanStats) -> DataFrame:
         t = self.spec.target

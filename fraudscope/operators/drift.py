@@ -23,6 +23,7 @@ closed-form series.
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -161,7 +162,7 @@ def chi2_sf(x: float, dof: int) -> float:
     if z < a + 1:  # series for P
         term = total = 1.0 / a
         ap = a
-        for _ in range(1000):
+        while True:  # the terms shrink once ap > z, so this converges
             ap += 1
             term *= z / ap
             total += term
@@ -170,7 +171,7 @@ def chi2_sf(x: float, dof: int) -> float:
         return max(0.0, 1.0 - total * math.exp(-z + a * math.log(z) - math.lgamma(a)))
     b, c, d = z + 1 - a, 1e300, 1.0 / (z + 1 - a)  # continued fraction for Q
     h = d
-    for i in range(1, 1000):
+    for i in itertools.count(1):
         an = -i * (i - a)
         b += 2
         d = an * d + b

@@ -194,8 +194,10 @@ def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec_col: str, k:
     p1 = pts.groupBy("label", "bucket", "sub").applyInPandas(local, schema1).checkpoint(eager=True)
 
     # ---------------------------------------------------------------- pass 2: blocks within reach
+    # the projection is rounded, so the reach is wider by a bound of its error: no neighbour at a block's edge is lost
+    reach = F.col("radius") + (F.abs("t") + F.col("radius")) * 1e-9
     req = p1.select("id", "label", "bucket", "sub", "radius",
-                    (F.col("t") - F.col("radius")).alias("t_lo"), (F.col("t") + F.col("radius")).alias("t_hi"))
+                    (F.col("t") - reach).alias("t_lo"), (F.col("t") + reach).alias("t_hi"))
     req = bucket_of(bucket_of(req, "t_lo", "b_lo"), "t_hi", "b_hi")
     req = req.withColumn("tb", F.explode(F.sequence("b_lo", "b_hi")))
     blocks = sizes.select("label", F.col("bucket").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1)).alias("ts"))

@@ -65,7 +65,10 @@ def assign_request_ids(df: DataFrame, source_key: list[str] | None = None) -> Da
     ids; without one ``uuid()`` is used and the caller must persist before reuse.
     """
     if source_key:
-        h = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in source_key]))
+        # each value with its length, NULL with a mark of its own: no two keys share a form
+        parts = [F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-"))
+                 for v in (F.col(k).cast("string") for k in source_key)]
+        h = F.md5(F.concat_ws("|", *parts))
         rid = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
                           F.substring(h, 17, 4), F.substring(h, 21, 12))
     else:

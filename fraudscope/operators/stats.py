@@ -25,9 +25,11 @@ def null_counts(df: DataFrame, cols: list[str] | None = None) -> dict[str, int]:
 
 
 def null_summary(df: DataFrame) -> DataFrame:
-    """(column, null_count) for columns with at least one NULL, as a DataFrame (A2)."""
+    """(column, null_count) for columns with at least one NULL or NaN, as a DataFrame (A2)."""
     pairs = ", ".join(f"'{c}', `{c}`" for c in df.columns)
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+    floats = {c for c, t in df.dtypes if t in ("double", "float")}
+    missing = {c: F.col(c).isNull() | F.isnan(c) if c in floats else F.col(c).isNull() for c in df.columns}
+    counts = df.agg(*[F.count_if(m).alias(c) for c, m in missing.items()])
     return counts.selectExpr(f"stack({len(df.columns)}, {pairs}) AS (column_name, null_count)").filter(
         F.col("null_count") > 0
     )

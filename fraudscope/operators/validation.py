@@ -18,7 +18,8 @@ TRANSACTION_TYPES = ["PAYMENT", "TRANSFER", "CASH_OUT", "DEBIT", "CASH_IN"]
 def _rules(constraints: dict) -> list[tuple[str, Column]]:
     rules = []
     for c, bound in constraints.items():
-        x = F.col(c)
+        # NaN is a missing number: it passes no bound
+        x = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
         rules.append((f"{c}_missing", x.isNull()))
         if bound == "gt0":
             rules.append((f"{c}_not_positive", x <= 0))

@@ -17,7 +17,8 @@ def per_minute_stats(log: DataFrame, ts_col: str = "timestamp", flag_col: str =
     agg = log.groupBy(w.alias("w")).agg(
         F.count(F.lit(1)).cast("long").alias("n_predictions"),
         F.avg(F.col(flag_col).cast("double")).alias("fraud_rate"),
-        F.max(version_col).alias("model_version"),
+        # the version of the newest prediction, whatever order the names have ("v9" < "v10")
+        F.max(F.struct(F.col(ts_col).alias("t"), F.col(version_col).alias("v")))["v"].alias("model_version"),
     )
     return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                       "n_predictions", "fraud_rate", "model_version")
