@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, lower_words, map_arrow, ship, slices, stored
+from .common import batch, fresh, lower_words, map_arrow, ship, stored
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -113,7 +113,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return map_arrow(d, run, "doc_id long, text_hash long, fp long")
 
 
-def links(distinct: DataFrame, limit: int, group_rows: int, max_groups: int) -> DataFrame:
+def links(distinct: DataFrame, limit: int, group_rows: int, max_groups: int, min_groups: int = 16) -> DataFrame:
     """``a, b``: a spanning forest, per group, of all pairs of distinct fingerprints within ``limit`` bits."""
     spark = distinct.sparkSession
     # Gray rank with the top bit turned, so that signed order is unsigned order
@@ -122,7 +122,7 @@ def links(distinct: DataFrame, limit: int, group_rows: int, max_groups: int) ->
         rank = rank.bitwiseXOR(F.shiftrightunsigned(rank, s))
     ranked = stored(distinct.select("fp", rank.bitwiseXOR(F.lit(-(2**63))).alias("rank")), "gray")
     n = ranked.count()
-    groups = min(max_groups, -(-n // group_rows))
+    groups = 0 if n < 2 else max(min_groups, min(max_groups, -(-n // group_rows)))
     cuts = [] if groups < 2 else ranked.select(F.percentile_approx("rank", [k / groups for k in range(1, groups)], 20 * groups)).first()[0]
     cuts = np.unique(np.array(cuts, np.int64))
 
@@ -189,7 +189,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2, group_rows: int = 8192, max_groups: int = 4096, carry: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 2, group_rows: int = 32768, max_groups: int = 4096, carry: bool = False) -> DataFrame:
     """``doc_id, fp, component_id`` of every document; fingerprints at ``limit`` or fewer differing bits are linked.  ``carry`` adds the
     text's hash and the component's smallest fingerprint (``text_hash, component``)."""
     ship(docs.sparkSession)
@@ -212,10 +212,10 @@ def digests(out: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, shingle: int = 3, limit: int = 2) -> DataFrame:
     """One document of each component, all columns as they were: the smallest id, among equal ids the text with the smallest hash,
     among equal rows any one."""
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": text})
+    c1, c2 = fresh(docs, "id"), fresh(docs, "hash")
+    keyed = docs.withColumns({c1: F.col("doc_id").cast("long"), c2: F.xxhash64(F.coalesce("text", F.lit("")))})
     marked = near_duplicates(docs.select("doc_id", "text"), shingle, limit, carry=True)
     one = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("one")
     keep = stored(marked.groupBy("component").agg(one).select(F.col("one.doc_id").alias("_k1"), F.col("one.text_hash").alias("_k2")), "kept")
-    out = keyed.join(keep, F.col("_id").eqNullSafe(F.col("_k1")) & (F.col("_text") == F.col("_k2")), "left_semi")
-    return out.dropDuplicates(["_id", "_text"]).select(*docs.columns)
+    out = keyed.join(keep, keyed[c1].eqNullSafe(keep["_k1"]) & (keyed[c2] == keep["_k2"]), "left_semi")
+    return out.dropDuplicates([c1, c2]).select(*docs.columns)
