@@ -1,7 +1,8 @@
 """Quality rules on repetition coverage: how much of a text lies inside duplicated n-grams and lines.
 
 Words become integers, n-grams become rolling 64-bit hashes (one multiplication per added word gives the next length), and
-windows with equal hashes are compared word by word before they count as equal.  All of it is one pass over each text without a
+windows with equal hashes are compared word by word before they count as equal.  Only windows whose two shorter windows were found
+again can occur again, so each length hashes what the one before left.  All of it is one pass over each text without a
 shuffle; memory is bounded by one text.
 
 Edge cases: a null text has no words and fails the base rules; empty texts likewise; repeated rows give repeated rows; other
@@ -25,6 +26,7 @@ DUP_LIMITS = {5: 0.20, 6: 0.19, 7: 0.18, 8: 0.17, 9: 0.16, 10: 0.15}
 LINE_CHAR_LIMIT = 0.20
 MIN_WORDS, BASE_WINDOW, BASE_PERCENT = 20, 8, 30
 SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
+BLANK = SPACE.decode()
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -36,24 +38,28 @@ def _spread(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _equal_windows(hashes: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First position of each window's class, class of each window, and class sizes; hash matches are verified on the words."""
-    _, first, cls, size = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-    again = np.flatnonzero(size[cls] > 1)
-    if len(again):
-        lead = first[cls[again]]
-        if any((ids[again + j] != ids[lead + j]).any() for j in range(n)):  # a collision: compare whole windows instead
-            rows = np.lib.stride_tricks.sliding_window_view(ids, n)
-            _, first, cls, size = np.unique(rows, axis=0, return_index=True, return_inverse=True, return_counts=True)
-            cls = cls.ravel()
-    return first, cls, size
+def _repeated(hashes: np.ndarray, at: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that occur more than once: their places grouped by class, the start of each class in that list, and class sizes.  ``at``
+    are the windows' places; hash matches are verified on the words."""
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    twice = np.zeros(len(order), bool)
+    twice[1:] = same
+    twice[:-1] |= same
+    edge = np.ones(len(order), bool)
+    edge[1:] = ~same
+    places, starts = at[order[twice]], np.flatnonzero(edge[twice])
+    size = np.diff(np.append(starts, len(places)))
+    lead = np.repeat(places[starts], size)
+    if any((ids[places + j] != ids[lead + j]).any() for j in range(n)):  # a collision: compare whole windows instead
+        _, cls = np.unique(ids[at[:, None] + np.arange(n)], axis=0, return_inverse=True)
+        return _repeated(cls.ravel(), at, ids, n)
+    return places, starts, size
 
 
 def _covered(starts: np.ndarray, n: int, total: int) -> np.ndarray:
     """Words inside any of the windows [start, start + n)."""
-    step = np.zeros(total + 1, np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + n, -1)
+    step = np.bincount(starts, minlength=total + 1) - np.bincount(starts + n, minlength=total + 1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -70,36 +76,42 @@ def measure(text: str | None) -> dict:
     }
     if not n:
         return out
-    lines = [x for x in raw.split(b"\n") if x.strip()]
-    seen: set[bytes] = set()
-    dup_chars = all_chars = 0
-    for x in lines:
-        size = len(x.decode("utf-8", "replace"))
-        all_chars += size
-        if x in seen:
-            out["n_dup_lines"] += 1
-            dup_chars += size
-        seen.add(x)
-    out["dup_line_char_share"] = dup_chars / all_chars
+    lines = [x for x in text.split("\n") if x.strip(BLANK)]
+    distinct = set(lines)
+    if len(distinct) < len(lines):
+        chars = sum(map(len, lines))
+        out["n_dup_lines"] = len(lines) - len(distinct)
+        out["dup_line_char_share"] = (chars - sum(map(len, distinct))) / chars
     known = {w: i for i, w in enumerate(dict.fromkeys(words))}
     ids = np.fromiter(map(known.__getitem__, words), np.int64, n)
-    lengths = np.fromiter((len(w.decode("utf-8", "replace")) for w in known), np.int64, len(known))[ids]
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    value = _spread(ids)
-    rolling = value
+    again = np.bincount(ids)[ids] > 1
+    lengths = ends = None
+    rolling = value = _spread(ids)
     for k in range(2, min(n, max(DUP_LIMITS)) + 1):
+        # a window occurs again only if both windows one word shorter inside it do
+        at = np.flatnonzero(again[:-1] & again[1:])
+        if not len(at):
+            break
         with np.errstate(over="ignore"):
             rolling = rolling[: n - k + 1] * MULTIPLIER + value[k - 1:]
-        first, cls, size = _equal_windows(rolling, ids, k)
-        if k in TOP_LIMITS and size.max() > 1:
-            chars = ends[first + k] - ends[first]
+        places, starts, size = _repeated(rolling[at], at, ids, k)
+        again = np.zeros(n - k + 1, bool)
+        again[places] = True
+        if not len(places):
+            break
+        if lengths is None:
+            lengths = np.fromiter(map(len, b"\n".join(known).decode("utf-8").split("\n")), np.int64, len(known))[ids]
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+        first = np.minimum.reduceat(places, starts)
+        if k in TOP_LIMITS:
             best = size == size.max()
-            out["top"][k] = float((chars[best] * size[best]).max() / out["word_chars"])
+            chars = ends[first[best] + k] - ends[first[best]]
+            out["top"][k] = float((chars * size[best]).max() / out["word_chars"])
         if k in DUP_LIMITS:
-            later = np.flatnonzero(first[cls] != np.arange(len(cls)))
+            later = places[places != np.repeat(first, size)]
             out["dup"][k] = float(lengths[_covered(later, k, n)].sum() / out["word_chars"])
         if k == BASE_WINDOW:
-            out["n_repeat_words"] = int(_covered(np.flatnonzero(size[cls] > 1), k, n).sum())
+            out["n_repeat_words"] = int(_covered(places, k, n).sum())
     return out
 
 
