@@ -38,23 +38,19 @@ def _spread(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _repeated(hashes: np.ndarray, at: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows that occur more than once: their places grouped by class, the start of each class in that list, and class sizes.  ``at``
-    are the windows' places; hash matches are verified on the words."""
-    order = np.argsort(hashes)
-    same = hashes[order[1:]] == hashes[order[:-1]]
-    twice = np.zeros(len(order), bool)
-    twice[1:] = same
-    twice[:-1] |= same
-    edge = np.ones(len(order), bool)
-    edge[1:] = ~same
-    places, starts = at[order[twice]], np.flatnonzero(edge[twice])
-    size = np.diff(np.append(starts, len(places)))
-    lead = np.repeat(places[starts], size)
-    if any((ids[places + j] != ids[lead + j]).any() for j in range(n)):  # a collision: compare whole windows instead
-        _, cls = np.unique(ids[at[:, None] + np.arange(n)], axis=0, return_inverse=True)
-        return _repeated(cls.ravel(), at, ids, n)
-    return places, starts, size
+def _equal_windows(hashes: np.ndarray, ids: np.ndarray, n: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window of each class, class of each window, and class sizes; hash matches are verified on the words.  ``at`` are the
+    windows' places (all in order if not given)."""
+    at = np.arange(len(hashes)) if at is None else at
+    _, first, cls, size = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(size[cls] > 1)
+    if len(again):
+        here, lead = at[again], at[first[cls[again]]]
+        if any((ids[here + j] != ids[lead + j]).any() for j in range(n)):  # a collision: compare whole windows instead
+            rows = np.lib.stride_tricks.sliding_window_view(ids, n)[at]
+            _, first, cls, size = np.unique(rows, axis=0, return_index=True, return_inverse=True, return_counts=True)
+            cls = cls.ravel()
+    return first, cls, size
 
 
 def _covered(starts: np.ndarray, n: int, total: int) -> np.ndarray:
@@ -94,7 +90,8 @@ def measure(text: str | None) -> dict:
             break
         with np.errstate(over="ignore"):
             rolling = rolling[: n - k + 1] * MULTIPLIER + value[k - 1:]
-        places, starts, size = _repeated(rolling[at], at, ids, k)
+        first, cls, size = _equal_windows(rolling[at], ids, k, at)
+        places = at[size[cls] > 1]
         again = np.zeros(n - k + 1, bool)
         again[places] = True
         if not len(places):
@@ -102,14 +99,13 @@ def measure(text: str | None) -> dict:
         if lengths is None:
             lengths = np.fromiter(map(len, b"\n".join(known).decode("utf-8").split("\n")), np.int64, len(known))[ids]
             ends = np.concatenate([[0], np.cumsum(lengths)])
-        first = np.minimum.reduceat(places, starts)
+        lead = at[first]
         if k in TOP_LIMITS:
             best = size == size.max()
-            chars = ends[first[best] + k] - ends[first[best]]
+            chars = ends[lead[best] + k] - ends[lead[best]]
             out["top"][k] = float((chars * size[best]).max() / out["word_chars"])
         if k in DUP_LIMITS:
-            later = places[places != np.repeat(first, size)]
-            out["dup"][k] = float(lengths[_covered(later, k, n)].sum() / out["word_chars"])
+            out["dup"][k] = float(lengths[_covered(at[lead[cls] != at], k, n)].sum() / out["word_chars"])
         if k == BASE_WINDOW:
             out["n_repeat_words"] = int(_covered(places, k, n).sum())
     return out
