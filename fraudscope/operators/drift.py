@@ -9,9 +9,9 @@ reference rows               numeric (> 5 values)  categorical / <= 5 values
 > 1000                       Wasserstein / std >= .1  Jensen-Shannon distance >= .1
 ===========================  ====================  ==========================
 
-PSI (``method="psi"``) uses 10 equal-width bins over the combined range for
-numeric columns and the categories for categorical ones; empty bins count as
-0.0001; drift when PSI >= threshold.
+PSI (``method="psi"``) uses 10 bins cut at the reference's quantiles, open at both
+ends, for numeric columns and the categories for categorical ones; empty bins count
+as 0.0001; drift when PSI >= threshold.
 
 Distributed shape: each column is reduced to a table with one row per distinct
 value (or bin) holding the reference and current counts — a partial aggregate,
@@ -35,7 +35,6 @@ from .prefix import cumulative
 
 _NUMERIC = ("double", "float", "bigint", "int", "smallint", "tinyint", "decimal")
 PSI_BINS = 10
-JS_BINS = 30
 PSI_EPS = 0.0001
 
 
@@ -104,16 +103,17 @@ def wasserstein_normed(reference: DataFrame, current: DataFrame, col: str) -> fl
 
 # ----------------------------------------------------------------------------- categorical statistics
 def _category_counts(reference: DataFrame, current: DataFrame, col: str, numeric_bins: int | None) -> DataFrame:
-    """(v, r, c) per category, or per equal-width bin of the combined range for numeric columns."""
+    """(v, r, c) per category, or per bin for numeric columns.  Bins are cut at the reference's own quantiles and open at both
+    ends, so an outlier of either sample cannot move them; equal cut points leave bins that no value falls into."""
+    from .quantiles import exact_quantiles
+
     if numeric_bins is None:
         return value_counts(reference, current, col, False)
     pair = _pair(reference, current, col, True)
-    mm = pair.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    lo, hi = mm["lo"], mm["hi"]
-    if lo is None:
-        return value_counts(reference, current, col, True)
-    width = (hi - lo) if hi > lo else 1.0
-    b = F.least(F.floor((F.col("v") - F.lit(lo)) * F.lit(float(numeric_bins)) / F.lit(width)), F.lit(numeric_bins - 1))
+    shares = [k / numeric_bins for k in range(1, numeric_bins)]
+    q = exact_quantiles(pair.filter("is_ref"), {"v": shares})
+    cuts = [q[("v", s)] for s in shares if q[("v", s)] is not None]
+    b = sum(((F.col("v") > F.lit(c)).cast("int") for c in cuts), F.lit(0))
     return pair.withColumn("v", b.cast("string")).groupBy("v").agg(
         F.count_if("is_ref").cast("long").alias("r"), F.count_if(~F.col("is_ref")).cast("long").alias("c")
     )

@@ -62,13 +62,14 @@ def _cat_counts(col: str, bins: int | None, src=EVENTS) -> str:
     if bins is None:
         pairs = _pairs(col, f"CAST({col} AS VARCHAR)", src)
     else:
+        from ..operators.quantiles import quantile_sql
+
         x = f"CAST({col} AS DOUBLE)"
-        both = f"(SELECT {col} FROM {src[0]} AS a UNION ALL SELECT {col} FROM {src[1]} AS b)"
-        mm = (f"(SELECT min({x}) AS lo, CASE WHEN max({x}) > min({x}) THEN max({x}) - min({x}) ELSE 1 END AS w "
-              f"FROM {both} AS ab WHERE {col} IS NOT NULL)")
-        binned = f"CAST(CAST(least(floor(({x} - mm.lo) * CAST({bins} AS DOUBLE) / mm.w), {bins - 1}) AS BIGINT) AS VARCHAR)"
-        pairs = (f"SELECT {binned} AS v, true AS is_ref FROM {src[0]} AS ref_rel, {mm} mm WHERE {col} IS NOT NULL "
-                 f"UNION ALL SELECT {binned} AS v, false AS is_ref FROM {src[1]} AS cur_rel, {mm} mm WHERE {col} IS NOT NULL")
+        cuts = ", ".join(f"{quantile_sql(src[0], col, k / bins, f'NOT isnan({x})')} AS q{k}" for k in range(1, bins))
+        binned = "CAST(" + " + ".join(f"CAST({x} > q{k} AS INTEGER)" for k in range(1, bins)) + " AS VARCHAR)"
+        kept = f"{col} IS NOT NULL AND NOT isnan({x})"
+        pairs = (f"SELECT {binned} AS v, true AS is_ref FROM {src[0]} AS ref_rel, (SELECT {cuts}) qq WHERE {kept} "
+                 f"UNION ALL SELECT {binned} AS v, false AS is_ref FROM {src[1]} AS cur_rel, (SELECT {cuts}) qq WHERE {kept}")
     return (f"cc0 AS ({pairs}),\n"
             "cc AS (SELECT v, count(*) FILTER (WHERE is_ref) AS r, count(*) FILTER (WHERE NOT is_ref) AS c "
             "FROM cc0 GROUP BY v),\n"
@@ -130,7 +131,7 @@ def q_drift_chi2(spark, sf_dir):
 @register("drift_psi", "SELECT 'value' AS column_name, round(" + _psi_sub("value", D.PSI_BINS)
           + ", 6) AS psi\nUNION ALL SELECT 'event_type', round(" + _psi_sub("event_type", None) + ", 6)")
 def q_drift_psi(spark, sf_dir):
-    """Population stability index (10 equal-width bins / categories)."""
+    """Population stability index (10 bins between reference quantiles / categories)."""
     ref, cur = split_events(spark, sf_dir)
     rows = [("value", round(D.psi(ref, cur, "value", True), 6)),
             ("event_type", round(D.psi(ref, cur, "event_type", False), 6))]

@@ -108,17 +108,23 @@ def q_rename_columns(spark, sf_dir):
 
 
 # ----------------------------------------------------------------------------- P19
-@register("column_overlap", """
-SELECT * FROM (VALUES (0, 'step'), (1, 'type'), (2, 'amount'), (3, 'oldbalance_org'), (4, 'newbalance_orig'),
-                      (5, 'oldbalance_dest'), (6, 'newbalance_dest')) t(position, column_name)""")
+@register("column_overlap", "WITH " + RAW_TRANSACTIONS_SQL.strip() + ",\nlive AS (" + _COMBINED_SQL + ")\n" + "\nUNION ALL\n".join(
+    f"SELECT {i} AS position, '{c}' AS column_name, (SELECT count({raw}) FROM txn) AS n_reference, (SELECT {n} FROM live) AS n_live"
+    for i, (c, raw, n) in enumerate([
+        ("step", "step", "count(request_id)"), ("type", "type", "count(model_version)"),
+        ("amount", "amount", "count(fraud_probability)"), ("is_fraud", "isFraud", "count(is_fraud)")])))
 def q_column_overlap(spark, sf_dir):
-    """Columns shared by the training reference (clean fraud) and the live log projection."""
-    ref = clean_fraud_data(raw_transactions(spark, sf_dir))
-    live = rule_fraud_scores(spark, sf_dir).select(
-        F.lit(1).alias("step"), F.lit("x").alias("type"), F.col("p").alias("amount"),
-        *[F.lit(0.0).alias(c) for c in ["oldbalance_org", "newbalance_orig", "oldbalance_dest", "newbalance_dest"]])
+    """Columns shared by the raw reference and the live log, with the values each side has in them."""
+    ref = standardise_column_names(raw_transactions(spark, sf_dir))
+    live = finalize_fraud(rule_fraud_scores(spark, sf_dir), "p", 0.5, "rules-v1").select(
+        (F.lit(1) + F.col("request_id") % 743).alias("step"), F.col("model_version").alias("type"),
+        F.col("fraud_probability").alias("amount"), "is_fraud", "threshold")
     cols = common_columns(ref, live)
-    return spark.createDataFrame(list(enumerate(cols)), "position int, column_name string")
+    counts = lambda df, name: df.agg(*[F.count(c).alias(c) for c in cols]).unpivot(
+        [], cols, "column_name", name)
+    place = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("column_name")) - 1
+    return counts(ref, "n_reference").join(counts(live, "n_live"), "column_name").select(
+        place.cast("int").alias("position"), "column_name", "n_reference", "n_live")
 
 
 # ----------------------------------------------------------------------------- W3, W4, A1

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expressions as X
 from ..operators.features import FeaturePipeline, FeatureState
@@ -116,16 +117,17 @@ def credit_log_rows(scored: DataFrame) -> DataFrame:
 
 
 def create_log_tables(spark: SparkSession, base: str) -> None:
-    """Idempotent creation of both (empty) log tables at ``base``."""
-    from ..schemas import CREDIT_LOG_SCHEMA as C, FRAUD_LOG_SCHEMA as Fs
+    """Idempotent creation of both (empty) log tables at ``base``; an existing table is left as it is.
 
-    for name, schema in (("fraud_predictions", Fs), ("credit_predictions", C)):
-        path = f"{base}/{name}"
-        try:
-            spark.read.parquet(path)
-        except Exception:  # noqa: BLE001 - missing table: create it
-            empty = spark.createDataFrame([], schema).withColumn("log_date", F.to_date("timestamp"))
-            empty.write.mode("ignore").partitionBy("log_date").parquet(path)
+    An empty partitioned table has no file to infer a schema from, so ``read_log`` reads with the declared one."""
+    for name, schema in (("fraud_predictions", FRAUD_LOG_SCHEMA), ("credit_predictions", CREDIT_LOG_SCHEMA)):
+        empty = spark.createDataFrame([], schema).withColumn("log_date", F.to_date("timestamp"))
+        empty.write.mode("ignore").partitionBy("log_date").parquet(f"{base}/{name}")
+
+
+def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A log table, empty or not, with the declared columns and its ``log_date`` partitions."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("log_date", T.DateType())])).parquet(path)
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -134,15 +136,15 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def recent_predictions(spark: SparkSession, path: str, columns: list[str], n: int = 1000,
-                       rename: dict | None = None) -> DataFrame:
+                       rename: dict | None = None, schema: T.StructType = FRAUD_LOG_SCHEMA) -> DataFrame:
     """S11/S12 + W1: newest ``n`` log rows (top-N, no full sort), selected columns.
 
     The log is partitioned by ``log_date`` (the date of ``timestamp``).  Per-day row counts
-    (file metadata only; one row per day) give the oldest day still needed to hold ``n``
+    (no column is read, but every file is opened; one row per day) give the oldest day still needed to hold ``n``
     rows; the read is then pruned to the days from there on.  Every row newer than any
-    pruned row is kept, so the result is exact and old history is never scanned.
+    pruned row is kept, so the result is exact and the columns of old history are never scanned.
     """
-    log = spark.read.parquet(path)
+    log = read_log(spark, path, schema)
     if "log_date" in log.columns:
         per_day = log.groupBy("log_date").count().orderBy(F.col("log_date").desc()).collect()
         acc, cutoff = 0, None

@@ -1,6 +1,7 @@
 """NaN as missing, newest model version, request ids without collisions, neighbours at block edges."""
 
 import math
+import uuid
 
 import numpy as np
 import pytest
@@ -58,3 +59,26 @@ def test_chi_square_tail_converges():
         assert abs(chi2_sf(dof - 2 / 3, dof) - 0.5) < 1e-2
     assert math.isclose(chi2_sf(3.841458820694124, 1), 0.05, rel_tol=1e-9)
     assert np.isfinite(chi2_sf(5e6, 4_999_000))
+
+
+def test_psi_bins_come_from_the_reference(spark):
+    from fraudscope.operators import drift as D
+
+    ref = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    moved = spark.range(1000).select((F.col("id") + 2000).cast("double").alias("x"))
+    outlier = moved.unionByName(spark.createDataFrame([(1e6,)], "x double"))
+    assert D.psi(ref, ref, "x", True) == 0.0
+    assert D.psi(ref, moved, "x", True) > 5
+    assert D.psi(ref, outlier, "x", True) > 5  # one far value does not widen the bins
+
+
+def test_empty_log_is_readable(spark):
+    from fraudscope.plans.scoring import create_log_tables, read_log, recent_predictions
+    from fraudscope.schemas import CREDIT_LOG_SCHEMA
+    from fraudscope.session import scratch_path
+
+    base = scratch_path(spark, f"empty-log-{uuid.uuid4().hex}")
+    create_log_tables(spark, base)
+    create_log_tables(spark, base)
+    assert recent_predictions(spark, f"{base}/fraud_predictions", ["id", "amount"]).count() == 0
+    assert read_log(spark, f"{base}/credit_predictions", CREDIT_LOG_SCHEMA).count() == 0
