@@ -190,23 +190,22 @@ def smote(df: DataFrame, label: str, vec_col: str, id_col: str, k: int = 5, seed
     minority = base_cols.filter(F.col("label").isin(list(need)))
     nbrs = knn_same_class(minority, "id", "label", "vec", k=k, block_rows=block_rows or DEFAULT_BLOCK_ROWS,
                           n_rows=sum(counts[c] for c in need))
-    # at most k rows per id: a bounded list
-    nbr_lists = nbrs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbor_id"))).alias("nl"))
-    nbr_lists = nbr_lists.select("id", F.transform("nl", lambda s: s["neighbor_id"]).alias("nbr_ids"))
+    # at most k rows per id: a bounded list, with the neighbours' vectors (k rows per minority row, whatever the sample count)
+    found = nbrs.select("id", "rank", "neighbor_id").join(minority.select(F.col("id").alias("neighbor_id"), F.col("vec").alias("nvec")), "neighbor_id")
+    nbr_lists = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "nvec"))).alias("nl"))
+    nbr_lists = nbr_lists.select("id", F.transform("nl", lambda s: s["nvec"]).alias("nbr_vecs"))
     per = {c: need[c] // counts[c] for c in need}
     extra = {c: need[c] % counts[c] for c in need}
     flagged = mark_smallest_hash(minority.select("id", "label"), "label", ["id"], extra, seed=seed, flag="_extra")
     pm = F.create_map(*[x for c, v in per.items() for x in (F.lit(c), F.lit(int(v)))])
-    reps = flagged.withColumn("_m", F.try_element_at(pm, F.col("label")) + F.col("_extra").cast("int"))
-    samples = (reps.filter(F.col("_m") > 0)
-               .withColumn("s", F.explode(F.sequence(F.lit(1), F.col("_m"))))
-               .join(nbr_lists, "id"))
+    reps = flagged.withColumn("_m", F.try_element_at(pm, F.col("label")) + F.col("_extra").cast("int")).filter(F.col("_m") > 0)
+    # both vectors come to the base row; the synthetic rows are made from it after the last shuffle
+    bases = reps.join(nbr_lists, "id").join(minority.select("id", "vec"), "id")
+    samples = bases.withColumn("s", F.explode(F.sequence(F.lit(1), F.col("_m"))))
     samples = samples.withColumn(
-        "nbr", F.col("nbr_ids")[F.floor(_u(seed, "n", "id", "s") * F.size("nbr_ids")).cast("int")]
+        "nvec", F.col("nbr_vecs")[F.floor(_u(seed, "n", "id", "s") * F.size("nbr_vecs")).cast("int")]
     ).withColumn("gap", _u(seed, "g", "id", "s"))
-    vec = minority.select("id", "vec")
-    joined = samples.join(vec, "id").join(vec.select(F.col("id").alias("nbr"), F.col("vec").alias("nvec")), "nbr")
-    synth = joined.select(
+    synth = samples.select(
         F.lit(None).cast(base_cols.schema["id"].dataType).alias("id"), "label",
         F.zip_with("vec", "nvec", lambda a, b: a + F.col("gap") * (b - a)).alias("vec"),
         F.lit(True).alias("synthetic"),
