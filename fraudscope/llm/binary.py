@@ -16,19 +16,22 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
+import json
 import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import batch, new_file, open_fs, shared_dir, ship, slices, worker_cache
+from .bpe import byte_alphabet
+from .common import LOWER, batch, new_file, open_fs, shared_dir, ship, slices, worker_cache
 
 HEAD = struct.Struct("<QI")
 CRC = struct.Struct("<I")
@@ -72,36 +75,89 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 
 SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Parts whose lower case and composition are the same one character at a time, in every version of Unicode at hand.
+PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+")
+# fixed value: the pattern by which the tokenizer file cuts text into words
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+WORD_END = "</w>"
+#: The last byte of a word of letters, written as a byte that such words do not hold elsewhere: a-z as A-Z, 80-BF as 00-3F (hex).
+LAST = {b: b - 32 for b in range(97, 123)} | {b: b - 128 for b in range(128, 192)}
+LAST_BYTE = {b: bytes([m]) for b, m in LAST.items()}
+
+
+def letter_ranks(path: str) -> dict[bytes, int] | None:
+    """Ids of the file's tokens of letters, last bytes of words rewritten; None if its ids are not in the order of its merges."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab = model["vocab"]
+    ids = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if model["end_of_word_suffix"] != WORD_END or ids != list(range(512, 512 + len(ids))):
+        return None
+    back, inner = byte_alphabet(), {*range(97, 123), *range(128, 256)}
+    ranks = {}
+    for token, i in vocab.items():
+        end = token.endswith(WORD_END)
+        raw = [back[c] for c in token.removesuffix(WORD_END)]
+        if inner.issuperset(raw) and (not end or raw[-1] in LAST):
+            ranks[bytes([*raw[:-1], LAST[raw[-1]]] if end else raw)] = i
+    return ranks
+
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
-class WordEncoder:
-    """Ids of a tokenizer that drops white space.  White space separates its words and joins none, so that a text's ids are those of its
-    blank-separated parts in order; each distinct part goes through the library once and is then remembered (up to a bound)."""
 
-    def __init__(self, path: str, most: int = 400_000):
+class WordEncoder(dict):
+    """Ids of a tokenizer that drops white space, packed as little-endian 32-bit numbers.  White space separates its words and joins
+    none, so that a text's ids are those of its blank-separated parts in order; each distinct part is encoded once and then
+    remembered here (up to a bound).  Words of Latin letters go through a rank encoder built from the file's own merges,
+    everything else through the library."""
+
+    def __init__(self, path: str, most: int = 800_000, long_part: int = 1000):
+        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, list[int]] = {}
-        self.most = most
-        self.lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+        ranks = letter_ranks(path)
+        self.ranked = tiktoken.Encoding("letters", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        self.marks: dict[str, list[int]] = {}
+        self.most, self.long_part = most, long_part
+
+    def _whole(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _ranked(self, part: str) -> list[int]:
+        """Ids of a plain part, word by word."""
+        ids: list[int] = []
+        part = part.lower()
+        for w in (part,) if part.isalpha() else WORDS.findall(part):
+            if w[0].isalpha():
+                raw = w.encode()
+                ids += self.ranked._encode_single_piece(raw[:-1] + LAST_BYTE[raw[-1]])
+            else:  # a contraction, a digit or a run of marks is a word by itself too
+                got = self.marks.get(w)
+                if got is None:
+                    got = self.marks[w] = self._whole(w)
+                ids += got
+        return ids
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+            self.marks.clear()
+        plain = self.ranked and len(part) <= self.long_part and "<|" not in part and PLAIN.fullmatch(part)
+        ids = self[part] = packed(self._ranked(part) if plain else self._whole(part))
+        return ids
 
     def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_packed(text), "<u4").tolist()
+
+    def encode_packed(self, text: str) -> bytes:
         if SEPARATORS.search(text):  # white space to str.split(), not to the library
-            return self.library.encode(text, add_special_tokens=False).ids
+            return packed(self._whole(text))
         if "<|" not in text:  # a special token's name is told by case; all other text is lower-cased by the file's own rules
-            text = text.lower() if text.isascii() else text.translate(self.lower)
-        parts = text.split()
-        got = list(map(self.known.get, parts))
-        if None in got:
-            miss = list({p for p, g in zip(parts, got) if g is None})
-            if len(self.known) + len(miss) > self.most:
-                self.known.clear()
-                miss = list(set(parts))
-            for p, e in zip(miss, self.library.encode_batch_fast(miss, add_special_tokens=False)):
-                self.known[p] = e.ids
-            got = list(map(self.known.get, parts))
-        return list(itertools.chain.from_iterable(got))
+            text = text.lower() if text.isascii() else text.encode().translate(LOWER).decode()
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, files: int | None = None):
@@ -114,6 +170,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
     def write(batches):
         enc = worker_cache(f"words:{tokenizer_path}", lambda: WordEncoder(tokenizer_path))
+        end = packed([end_id])
         out, index, at, tokens = None, [], 0, 0
         for whole in batches:
             for b in slices(whole, 256):
@@ -122,7 +179,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                     data_uri, data_path = new_file(folder, "ids")
                     out = fs.open_output_stream(data_path)
                 for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                    ids = np.array([*enc.encode(text), end_id], np.uint32)
+                    ids = np.frombuffer(enc.encode_packed(text) + end, "<u4")
                     record = frame(pack(doc, ids))
                     index.append((at, tokens, len(ids)))
                     out.write(record)

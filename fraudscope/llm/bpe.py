@@ -38,7 +38,7 @@ SEAM = regex.compile(
 )
 
 
-def _byte_alphabet() -> dict[str, int]:
+def byte_alphabet() -> dict[str, int]:
     """Printable stand-in of each byte in byte-level vocabularies, back to the byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(plain)]
@@ -57,7 +57,7 @@ class ByteBPE:
         self.library.no_truncation()
         self.library.no_padding()
         self.long_chars = long_chars
-        back = _byte_alphabet()
+        back = byte_alphabet()
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.ranked = all(vocab[a + b] == 256 + i for i, (a, b) in enumerate(pairs))
