@@ -37,31 +37,37 @@ STEPS = 5
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _words(data: np.ndarray, order: str) -> np.ndarray:
+def _words(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on (zeros after the end) as one number."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)]).view(order + "u8").ravel()
+    return np.ndarray(len(data), "<u8", padded, strides=(1,)).astype(np.uint64)
 
 
 def _names(data: np.ndarray, width: int) -> np.ndarray:
-    """Number of the ``width`` bytes (a multiple of 8) from each place on, in byte order: equal numbers for equal bytes."""
-    rank = lambda key: np.unique(key, return_inverse=True)[1].astype(np.uint64)
-
-    def both(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
-        return rank((a << np.uint64(32)) | np.concatenate([b[shift:], np.zeros(min(shift, len(b)), np.uint64)]))
-
-    eight = rank(_words(data, ">"))
-    powers = {8: eight}
-    while 2 * max(powers) <= width:
-        w = max(powers)
-        powers[2 * w] = both(powers[w], powers[w], w)
-    w = max(powers)
-    out = powers[w]
-    while w < width:  # the rest from the parts at hand
-        step = max(k for k in powers if k <= width - w)
-        out = both(out, powers[step], w)
-        w += step
-    return out
+    """Number of the ``width`` bytes (a multiple of 8) from each place on (zeros after the end): equal numbers for equal bytes alone.
+    Places are ordered by a hash of their bytes; neighbours of one hash are told apart by the bytes themselves."""
+    words = np.concatenate([_words(data), np.zeros(width, np.uint64)])
+    n, parts = len(data), range(0, width, 8)
+    h = np.zeros(n, np.uint64)
+    for k in parts:
+        h = (h ^ (words[k: k + n] * A)) * B
+        h ^= h >> np.uint64(31)
+    order = np.argsort(h)
+    for keys in ((), [words[k: k + n] for k in parts]):
+        if len(keys):  # two different strings of one hash: in the order of their bytes' words instead
+            order = np.lexsort(keys)
+        one, two = order[:-1], order[1:]
+        same = h[one] == h[two]
+        at = np.flatnonzero(same)
+        equal = np.ones(len(at), bool)
+        for k in parts:
+            equal &= words[one[at] + k] == words[two[at] + k]
+        if len(keys) or equal.all():
+            break
+    same[at] = equal
+    names = np.empty(n, np.uint32)
+    names[order] = np.concatenate([[0], np.cumsum(~same)])[:n]
+    return names
 
 
 def segments(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +76,7 @@ def segments(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     data = np.frombuffer(text, np.uint8)
     if len(data) < length:
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-    w = _words(data, "<")
+    w = _words(data)
     n = len(data) - PIECE + 1
     h = (w[:n] * A) ^ ((w[8: 8 + n] + C) * B)
     h ^= h >> np.uint64(32)
@@ -87,7 +93,10 @@ def segments(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     if runs.max() > length:  # the same piece again and again: cut into bounded segments
         change = np.unique(np.concatenate([change, *(np.arange(s, s + r, length) for s, r in zip(change[:-1], runs) if r > length)]))
     m, first, runs = low[change[:-1]], change[:-1], np.diff(change)
-    places = np.fromiter((np.count_nonzero(h[s: s + r + span - 1] == v) for v, s, r in zip(m, first.tolist(), runs.tolist())), np.int64, len(m))
+    places = np.ones(len(m), np.int64)
+    small = np.sort(h[h <= m.max()])
+    for k in np.flatnonzero(np.isin(m, small[1:][small[1:] == small[:-1]])).tolist():  # pieces that the text holds again
+        places[k] = np.count_nonzero(h[first[k]: first[k] + runs[k] + span - 1] == m[k])
     return m, first, runs, places
 
 
@@ -103,11 +112,11 @@ def repeated_windows(members: list[bytes], counts: np.ndarray, length: int) -> l
     left = (sizes[member] - phase) // width
     docs = len(member)
     base = starts[member] + phase
+    ends = np.repeat(starts[1:], sizes)
     # the order: key = (symbol name + 1, rank of the rest), at = place of the suffix in the text; empty suffixes come first
-    key, at, common = np.arange(docs, dtype=np.uint64), np.full(docs, -1, np.int64), np.zeros(docs, bool)
-    rank = np.arange(docs)
+    key, at, common = np.arange(docs, dtype="<u8"), np.full(docs, -1, np.int32), np.zeros(docs, bool)
+    rank = np.arange(docs, dtype=np.uint32)
     left_now, round_ = left.copy(), 0
-    low32 = np.uint64(0xFFFFFFFF)
     while True:
         round_ += 1
         live = np.flatnonzero(left_now > 0)
@@ -115,25 +124,26 @@ def repeated_windows(members: list[bytes], counts: np.ndarray, length: int) -> l
             break
         place = base[live] + width * (left_now[live] - 1)
         left_now[live] -= 1
-        new = ((names[place] + np.uint64(1)) << np.uint64(32)) | rank[live].astype(np.uint64)
-        order = np.argsort(new, kind="stable")
+        new = ((names[place].astype("<u8") + np.uint64(1)) << np.uint64(32)) | rank[live]
+        order = np.argsort(new)  # no two are equal: ranks differ
         new, place, live = new[order], place[order], live[order]
-        where = np.searchsorted(key, new)
-        fresh = where + np.arange(len(new))
-        moved = np.arange(len(key)) + np.cumsum(np.bincount(where, minlength=len(key) + 1)[: len(key)])
+        fresh = np.searchsorted(key, new) + np.arange(len(new))
         # one sequential merge of the columns; ranks of the rests move with the insertions
         size = len(key) + len(new)
-        key2, at2, common2 = np.empty(size, np.uint64), np.empty(size, np.int64), np.zeros(size, bool)
-        shifted = moved.astype(np.uint64)
-        old = (key & ~low32) | shifted[(key & low32).astype(np.int64)]
-        old[:docs] = key[:docs]  # empty suffixes have no rest; they stay first
-        key2[moved], at2[moved], common2[moved] = old, at, common
-        key2[fresh] = (new & ~low32) | shifted[(new & low32).astype(np.int64)]
-        at2[fresh] = place
+        kept = np.ones(size, bool)
+        kept[fresh] = False
+        moved = np.flatnonzero(kept).astype(np.uint32)
+        for column, rests in ((key, docs), (new, 0)):  # empty suffixes have no rest; they stay first
+            low = column.view("<u4")[::2][rests:]
+            low[:] = moved[low]
+        key2, at2, common2 = np.empty(size, "<u8"), np.empty(size, np.int32), np.zeros(size, bool)
+        key2[kept], at2[kept], common2[kept] = key, at, common
+        key2[fresh], at2[fresh] = new, place
         if round_ >= STEPS:  # only now are there suffixes as long as a window
-            there = np.unique(np.concatenate([fresh, fresh + 1]))
-            there = there[there < size]
-            common2[there] = _share(names, key2, at2, there, width, starts)
+            near = np.zeros(size + 1, bool)
+            near[fresh] = near[fresh + 1] = True
+            there = np.flatnonzero(near[:size])
+            common2[there] = _share(names, key2, at2, there, width, ends)
         rank = moved[rank]
         rank[live] = fresh
         key, at, common = key2, at2, common2
@@ -144,7 +154,7 @@ def repeated_windows(members: list[bytes], counts: np.ndarray, length: int) -> l
     return [repeated[starts[k]: starts[k] + max(0, sizes[k] - length + 1)] | bool(counts[k] > 1) for k in range(len(members))]
 
 
-def _share(names, key, at, there, width, starts) -> np.ndarray:
+def _share(names, key, at, there, width, ends) -> np.ndarray:
     """Does the suffix at each rank share a whole window with the one before it?"""
     out = np.zeros(len(there), bool)
     a, b = at[there - 1], at[there]
@@ -155,9 +165,7 @@ def _share(names, key, at, there, width, starts) -> np.ndarray:
         inside = np.maximum(p, q) < len(names)
         live = live[inside]
         live = live[names[p[inside]] == names[q[inside]]]
-    ends = starts[1:]
-    room = [ends[np.searchsorted(starts, x, side="right") - 1] for x in (a[live], b[live])]
-    live = live[(a[live] + STEPS * width <= room[0]) & (b[live] + STEPS * width <= room[1])]
+    live = live[(a[live] + STEPS * width <= ends[a[live]]) & (b[live] + STEPS * width <= ends[b[live]])]
     live = live[names[a[live] + (STEPS - 1) * width] == names[b[live] + (STEPS - 1) * width]]
     out[live] = True
     return out

@@ -438,3 +438,16 @@ def test_repeated_passage_goes_and_first_stays(spark):
     got = {r["doc_id"]: r for r in spans.span_duplicates(d).collect()}
     assert len(got[0]["removed"]) == len(got[1]["removed"]) == 0
     assert "word20" not in got[2]["kept"] and "Own end." in got[2]["kept"] and "Other begin." in got[2]["kept"]
+
+
+def test_names_tell_strings_of_one_hash_apart(monkeypatch):
+    data = np.frombuffer(b"abcabcabdabc" * 40 + b"xyz", np.uint8)
+    raw = data.tobytes() + bytes(64)
+    groups = lambda n: {tuple(np.flatnonzero(n == v)) for v in np.unique(n)}
+    good = {}
+    for i in range(len(data)):
+        good.setdefault(raw[i: i + 40], []).append(i)
+    expect = {tuple(v) for v in good.values()}
+    assert groups(suffix._names(data, 40)) == expect
+    monkeypatch.setattr(suffix, "B", np.uint64(0))  # all hashes are equal now
+    assert groups(suffix._names(data, 40)) == expect
