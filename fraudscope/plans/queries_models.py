@@ -1,7 +1,6 @@
 """Neighbour search, resampling, model, scoring, log, stream and drift-run queries.
 
-Model queries use small ensembles (10 boosted trees / 20 forest trees); the
-300-tree defaults stay the library defaults.  Queries without an SQL oracle are
+Model queries fit with the library defaults (300 trees).  Queries without an SQL oracle are
 checked on row counts only (their outcome is a fitted model or a side effect).
 """
 
@@ -31,9 +30,6 @@ from .training import (
     train_fraud_model,
 )
 
-SMALL_GBT = {"maxIter": 10}
-SMALL_RF = {"numTrees": 20}
-
 _DIST = ("sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: "
          "(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * "
          "(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))))")
@@ -107,21 +103,21 @@ def q_smote_balance(spark, sf_dir):
 def q_gbt_fit_score(spark, sf_dir):
     """Fraud boosted trees trained on the SMOTE-balanced train split."""
     prep = prepare_fraud_data(clean_fraud_data(raw_transactions(spark, sf_dir)))
-    return train_fraud_model(prep, **SMALL_GBT).metrics
+    return train_fraud_model(prep).metrics
 
 
 @register("rf_fit_score")
 def q_rf_fit_score(spark, sf_dir):
     """Credit random forest with balanced weights."""
     prep = prepare_credit_data(clean_credit_data(raw_applicants(spark, sf_dir)))
-    return train_credit_model(prep, **SMALL_RF).metrics
+    return train_credit_model(prep).metrics
 
 
 @register("top_features")
 def q_top_features(spark, sf_dir):
     """M13 + W2: the 20 most important credit features."""
     prep = prepare_credit_data(clean_credit_data(raw_applicants(spark, sf_dir)))
-    t = train_credit_model(prep, **SMALL_RF)
+    t = train_credit_model(prep)
     return top_features(t.extra["importances"], 20)
 
 
@@ -129,13 +125,12 @@ def q_top_features(spark, sf_dir):
 def q_train_report(spark, sf_dir):
     """Full pipeline for both models; one row per metric."""
     out = scratch_path(spark, f"train-{uuid.uuid4().hex}")
-    return run_full_pipeline(spark, raw_transactions(spark, sf_dir), raw_applicants(spark, sf_dir), out,
-                             fraud_params=SMALL_GBT, credit_params=SMALL_RF)
+    return run_full_pipeline(spark, raw_transactions(spark, sf_dir), raw_applicants(spark, sf_dir), out)
 
 
 def _trained_fraud_scorer(spark, sf_dir, path):
     prep = prepare_fraud_data(clean_fraud_data(raw_transactions(spark, sf_dir)), resample="none")
-    t = train_fraud_model(prep, version="fraud-gbt-small", **SMALL_GBT)
+    t = train_fraud_model(prep, version="fraud-gbt")
     save_trained(t, path)
     return Scorer.load(spark, path)
 
