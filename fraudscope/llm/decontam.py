@@ -12,11 +12,9 @@ leaves every document clean; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, map_arrow, ship, slices, stored
@@ -92,15 +90,22 @@ def benchmark_windows(bench: DataFrame, n: int) -> DataFrame:
     return cuts.groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
-def scan_benchmark(docs: DataFrame, bench: DataFrame, n: int = 10, block_windows: int = 200_000) -> DataFrame:
-    """``doc_id, n_words, hits, items``: word positions ``[start, end)`` inside occurrences, and the items found, per document."""
+def text_key(text) -> Column:
+    """16 bytes that tell the texts of one id apart; a null text is an empty one."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def scan_benchmark(docs: DataFrame, bench: DataFrame, n: int = 10, block_windows: int = 200_000, with_row: bool = False) -> DataFrame:
+    """``doc_id, n_words, hits, items``: word positions ``[start, end)`` inside occurrences, and the items found, per document;
+    ``with_row`` adds the text's key as ``row``."""
     spark = docs.sparkSession
     ship(spark)
     table = stored(benchmark_windows(bench, n), "bench")
     blocks = max(1, -(-table.count() // block_windows))
     # a block holds block_windows rows on average; hashing the window text spreads them evenly
     table = table.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    key = text_key(F.col("text")) if with_row or blocks > 1 else F.lit(None).cast("binary")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("row"))
     schema = "doc_id long, n_words long, hits array<struct<start:int,end:int>>, items array<long>, row binary"
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -115,7 +120,7 @@ def scan_benchmark(docs: DataFrame, bench: DataFrame, n: int = 10, block_windows
                 made.append(windows)
             for whole in batches:
                 for b in slices(whole, 512):
-                    size, hits, found, keys = [], [], [], []
+                    size, hits, found = [], [], []
                     for text in b.column("text").to_pylist():
                         words = words_of(text)
                         mask, items = windows.scan(words)
@@ -123,14 +128,13 @@ def scan_benchmark(docs: DataFrame, bench: DataFrame, n: int = 10, block_windows
                         size.append(len(words))
                         hits.append([{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2])])
                         found.append(sorted(items))
-                        keys.append(hashlib.blake2b((text or "").encode("utf-8", "replace"), digest_size=16).digest() if blocks > 1 else None)
-                    yield batch(doc_id=b.column("doc_id"), n_words=(size, pa.int64()), hits=(hits, spans), items=(found, pa.list_(pa.int64())), row=(keys, pa.binary()))
+                    yield batch(doc_id=b.column("doc_id"), n_words=(size, pa.int64()), hits=(hits, spans), items=(found, pa.list_(pa.int64())), row=b.column("row").cast(pa.binary()))
 
         return d.mapInArrow(run, schema).withColumn("block", F.lit(block))
 
     out = scanner(0)
     if blocks == 1:
-        return out.drop("row", "block")
+        return out.drop("block") if with_row else out.drop("row", "block")
     for k in range(1, blocks):
         out = out.unionByName(scanner(k))
 
@@ -146,10 +150,12 @@ def scan_benchmark(docs: DataFrame, bench: DataFrame, n: int = 10, block_windows
         hits = [{"start": int(s), "end": int(e)} for s, e in zip(edge[::2], edge[1::2])]
         return pa.Table.from_batches([batch(
             doc_id=([t.column("doc_id")[0].as_py()] * copies, pa.int64()), n_words=([len(mask)] * copies, pa.int64()),
-            hits=([hits] * copies, spans), items=([sorted(items)] * copies, pa.list_(pa.int64())))])
+            hits=([hits] * copies, spans), items=([sorted(items)] * copies, pa.list_(pa.int64())),
+            row=([t.column("row")[0].as_py()] * copies, pa.binary()))])
 
     # a document row meets its own blocks only: groups are as small as the number of blocks times its exact repetitions
-    return out.groupBy("doc_id", "row").applyInArrow(unite, "doc_id long, n_words long, hits array<struct<start:int,end:int>>, items array<long>")
+    united = out.groupBy("doc_id", "row").applyInArrow(unite, schema)
+    return united if with_row else united.drop("row")
 
 
 def digests(scanned: DataFrame) -> DataFrame:
@@ -164,8 +170,9 @@ def digests(scanned: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10) -> DataFrame:
     """The documents without those that hold a benchmark window; all columns as they were.
 
-    Documents are matched to their scan by id; a null id is matched by null.  A document row whose id is shared by several rows
-    goes if any of them is contaminated.
+    Documents are matched to their scan by id and text, a null id by null: rows that share an id, or have none, go by their own text.
     """
-    bad = stored(scan_benchmark(docs, bench, n).filter(F.size("hits") > 0).select(F.col("doc_id").alias("_bad")).distinct(), "leaks")
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    hit = scan_benchmark(docs, bench, n, with_row=True).filter(F.size("hits") > 0)
+    bad = stored(hit.select(F.col("doc_id").alias("_bad"), F.col("row").alias("_row")).distinct(), "leaks")
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]) & (text_key(docs["text"]) == bad["_row"])
+    return docs.join(bad, same, "left_anti")
