@@ -7,7 +7,7 @@ inside a run that is not the first occurrence is removed.
 A sentence ends after ``.``, ``!``, ``?`` or ``…`` followed by white space, or at a line break; white space around it does not
 count, and its words are compared lower-cased (A-Z) with single blanks.  Long sentences are cut into clauses at places that depend on
 the words alone, so that a passage inside them is found wherever it starts.  A run that has fewer than ``min_words`` words (``Yes. No.
-Why?``) goes on over the following sentences until it has them.
+Why?``) goes on over the following sentences until it has them or the text ends; a text of fewer than ``span`` sentences is one run.
 
 Edge cases: null and empty texts have no sentences and lose nothing; rows that share an id are told apart by their text's hash;
 rows equal in id and text are one document given twice, with one result for both; null ids come first; other columns are
@@ -50,13 +50,13 @@ def sentences(text: str | None) -> list[tuple[int, int, bytes]]:
 
 
 def runs(parts: list[tuple[int, int, bytes]], span: int, min_words: int) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentences, hash) of each run: from every sentence on, at least ``span`` sentences and ``min_words`` words.
-    A text with fewer sentences than ``span`` is one run if it has the words."""
+    """(first sentence, sentences, hash) of each run: from every sentence on, at least ``span`` sentences, and ``min_words`` words
+    unless the text ends before.  A text with fewer sentences than ``span`` is one run."""
     ends = np.concatenate([[0], np.cumsum([p[2].count(b" ") + 1 for p in parts])]).astype(np.int64)
-    first = np.arange(len(parts))
-    last = np.maximum(np.searchsorted(ends, ends[:-1] + min_words), first + min(span, len(parts)))
+    first = np.arange(max(0, len(parts) - span) + 1 if parts else 0)
+    last = np.maximum(np.searchsorted(ends, ends[first] + min_words), first + span).clip(max=len(parts))
     words = [p[2] for p in parts]
-    return [(i, j - i, xxhash.xxh3_128_digest(b"\n".join(words[i:j]))) for i, j in zip(first.tolist(), last.tolist()) if j <= len(parts)]
+    return [(i, j - i, xxhash.xxh3_128_digest(b"\n".join(words[i:j]))) for i, j in zip(first.tolist(), last.tolist())]
 
 
 def span_duplicates(docs: DataFrame, span: int = 3, min_words: int = 12) -> DataFrame:
