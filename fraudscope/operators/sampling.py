@@ -9,18 +9,22 @@ test set is the ``round(f * n_c)`` rows with the smallest ``h``.  A class may ho
 1. rows are counted per (class, 16-bit hash prefix) with a partial aggregate; on
    that small table (65,536 rows per class) the prefix in which each class's quota
    runs out and the number still needed there are found;
-2. only the rows of that one prefix bucket per class (1/65,536 of the class) are
-   ranked, giving the exact threshold hash ``h*`` of each class;
+2. the rows of that one prefix bucket per class (1/65,536 of the class's hashes) are
+   counted per hash with a partial aggregate, and running sums over those counts give
+   the exact threshold hash ``h*`` of each class;
 3. the split itself is a projection, ``h <= h*[class]``: one scan, no shuffle.
 
 The thresholds (one per class) are collected and inlined.  Rows with identical keys
-share a hash and always land on the same side (duplicates never straddle train and
-test); with unique keys the per-class test counts are exact.
+share a hash.  With unique keys the per-class counts are exact.  With repeated keys the
+group of rows at ``h*`` may be larger than what is left of the quota: given a unique
+``row_id``, the split takes the missing rows of that one group by the hash of their id,
+so that counts are exact and all other groups stay whole; without one the whole group
+is taken, and a class gets up to that group's size less one too many.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,9 +46,11 @@ def _typed_map(d: dict, value_type: str, key_type: str | None = None) -> Column:
 
 @dataclass(frozen=True)
 class Thresholds:
-    """Per-class hash thresholds (classes with quota 0 are absent) and the label's SQL type."""
+    """Per-class hash thresholds (classes with quota 0 are absent) and the label's SQL type.  ``rest``: for classes whose rows at the
+    threshold itself are more than the quota has room for, how many of them fit."""
     key_type: str
     values: dict
+    rest: dict = field(default_factory=dict)
 
 
 def hash_thresholds(df: DataFrame, label: str, key_cols: list, seed: int = 42,
@@ -76,10 +82,12 @@ def hash_thresholds(df: DataFrame, label: str, key_cols: list, seed: int = 42,
         c = (F.col("_y") == F.lit(y).cast(ktype)) & (F.col("_hb") == F.lit(hb))
         cond = c if cond is None else cond | c
     need = _typed_map({y: n for y, (_, n) in cut.items()}, "long", ktype)
-    w_in = Window.partitionBy("_y").orderBy("_h")
-    thr = (hashed.filter(cond).withColumn("_rn", F.row_number().over(w_in))
-           .filter(F.col("_rn") == need[F.col("_y")]).select("_y", "_h").collect())  # one row per class
-    return Thresholds(ktype, {r["_y"]: int(r["_h"]) for r in thr})
+    w_in = Window.partitionBy("_y").orderBy("_h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = need[F.col("_y")] - (F.col("_cum") - F.col("_n"))  # of the quota, before this hash
+    thr = (hashed.filter(cond).groupBy("_y", "_h").agg(F.count(F.lit(1)).alias("_n")).withColumn("_cum", F.sum("_n").over(w_in))
+           .withColumn("_left", left).filter((F.col("_left") > 0) & (F.col("_left") <= F.col("_n")))
+           .select("_y", "_h", "_n", "_left").collect())  # one row per class
+    return Thresholds(ktype, {r["_y"]: int(r["_h"]) for r in thr}, {r["_y"]: int(r["_left"]) for r in thr if r["_left"] < r["_n"]})
 
 
 def in_quota(label: str, key_cols: list, thresholds: Thresholds, seed: int = 42) -> Column:
@@ -97,10 +105,20 @@ def stratified_split(
     test_fraction: float = 0.2,
     seed: int = 42,
     split_col: str = "split",
+    row_id: str | None = None,
 ) -> DataFrame:
-    """Return ``df`` with ``split_col`` = 'test' / 'train' (per-class test counts round(f * n_c))."""
+    """Return ``df`` with ``split_col`` = 'test' / 'train' (per-class test counts round(f * n_c)).
+
+    ``row_id``: a column of unique ids; needed for exact counts where keys repeat.
+    """
     thr = hash_thresholds(df, label, key_cols, seed, fraction=test_fraction)
-    return df.withColumn(split_col, F.when(in_quota(label, key_cols, thr, seed), "test").otherwise("train"))
+    test = in_quota(label, key_cols, thr, seed)
+    if row_id and thr.rest:
+        at = _typed_map({y: thr.values[y] for y in thr.rest}, "long", thr.key_type)[F.col(label)]
+        cut = F.coalesce(row_hash(key_cols, seed) == at, F.lit(False))  # the rows of the one group that is split
+        by_id = hash_thresholds(df.filter(cut), label, [row_id], seed, quotas=thr.rest)
+        test = test & (~cut | in_quota(label, [row_id], by_id, seed))
+    return df.withColumn(split_col, F.when(test, "test").otherwise("train"))
 
 
 def hash_fraction_split(df: DataFrame, key_cols: list, test_fraction: float = 0.2, seed: int = 42,
