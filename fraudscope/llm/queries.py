@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, bpe, decontam, katz, langid, quality, simhash, spans, suffix, warc
+from . import binary, bpe, decontam, jaccard, katz, langid, merkle, quality, repair, simhash, spans, suffix, warc
 
 
 def tokenizer(name: str) -> str:
@@ -58,8 +58,21 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.digests(spans.span_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proven(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe_tree, op2_repetition_quality, op3_warc_boundary, op4_language_hd, op5_binary_records, op6_katz_backoff,
-    op7_simhash_gray, op8_decontamination, op9_suffix_dedup, op10_sentence_spans)}
+    op7_simhash_gray, op8_decontamination, op9_suffix_dedup, op10_sentence_spans,
+    op11_jaccard_join, op12_merkle_manifest, op13_conversation_repair)}
 
-SQL: dict[str, str] = {"op3_warc_boundary": warc.SQL}
+SQL: dict[str, str] = {"op3_warc_boundary": warc.SQL, "op11_jaccard_join": jaccard.SQL, "op12_merkle_manifest": merkle.SQL}
