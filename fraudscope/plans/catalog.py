@@ -47,6 +47,7 @@ def oracle_sql() -> dict[str, str]:
 def _load_all():
     # importing the modules registers their queries
     from . import (  # noqa: F401
+        queries_boost,
         queries_clean,
         queries_drift,
         queries_features,

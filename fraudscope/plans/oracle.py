@@ -45,16 +45,17 @@ def duckdb_run(sql: str, sf_dir: str):
     return cols, cur.fetchall()
 
 
-def compare(spark, name: str, sf_dir: str, digits: int = 9) -> dict:
-    from .catalog import oracle_sql, queries
+def compare(spark, name: str, sf_dir: str, digits: int = 9, queries: dict | None = None, sql_of: dict | None = None) -> dict:
+    """``queries`` and ``sql_of``: where the query and its SQL are registered (default: this package's catalog)."""
+    from . import catalog
 
     t0 = time.time()
-    sdf = queries()[name](spark, sf_dir)
+    sdf = (catalog.queries() if queries is None else queries)[name](spark, sf_dir)
     srows = [tuple(r) for r in sdf.collect()]
     scols = sdf.columns
     t1 = time.time()
     out = {"name": name, "spark_rows": len(srows), "spark_sec": round(t1 - t0, 2)}
-    sql = oracle_sql().get(name)
+    sql = (catalog.oracle_sql() if sql_of is None else sql_of).get(name)
     if sql is None:
         out["status"] = "rows-only"
         return out
