@@ -201,19 +201,17 @@ SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, CAST(coun
        max(CASE WHEN ts < TIMESTAMP '2024-01-15 00:00:00' THEN 'v1' ELSE 'v2' END) AS model_version
 FROM events GROUP BY 1""")
 def q_stream_minute(spark, sf_dir):
-    """R7 streaming: watermark + one-minute tumbling window over the events stream (availableNow)."""
-    from ..streaming.monitor import per_minute_stream
+    """R7 streaming: one-minute windows over the events stream, in update mode into a table keyed by window (availableNow)."""
+    from ..streaming.monitor import read_minute_table, start_minute_table
 
+    base = scratch_path(spark, f"minutes-{uuid.uuid4().hex}")
     schema = read_table(spark, sf_dir, "events").schema
     src = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
     cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
     log = src.select(F.col("ts").cast("timestamp").alias("timestamp"), (F.col("event_type") == "error").alias("is_fraud"),
                      F.when(F.col("ts") < cut, "v1").otherwise("v2").alias("model_version"))
-    name = f"minute_{uuid.uuid4().hex[:12]}"
-    agg = per_minute_stream(log, watermark="10 minutes")
-    q = agg.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(
+    start_minute_table(log, f"{base}/table", f"{base}/state", available_now=True).awaitTermination()
+    return read_minute_table(spark, f"{base}/table").select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("minute"), "n_predictions",
         F.round("fraud_rate", 6).alias("fraud_rate"), "model_version")
 

@@ -103,12 +103,13 @@ def fraud_log_rows(scored: DataFrame, id_col: str | None = None) -> DataFrame:
                       F.to_date("timestamp").alias("log_date"))
 
 
-def credit_log_rows(scored: DataFrame) -> DataFrame:
+def credit_log_rows(scored: DataFrame, id_col: str | None = None) -> DataFrame:
+    """Scored applicants -> ``credit_predictions`` log shape; ``id`` as in ``fraud_log_rows``."""
     if "request_id" not in scored.columns:
         scored = assign_request_ids(scored)
     ts = F.col("timestamp") if "timestamp" in scored.columns else F.current_timestamp()
     out = scored.select(
-        F.xxhash64("request_id").alias("id"), "request_id", ts.alias("timestamp"),
+        (F.col(id_col).cast("long") if id_col else F.xxhash64("request_id")).alias("id"), "request_id", ts.alias("timestamp"),
         F.col("age").cast("int").alias("age"), F.col("duration_months").cast("int").alias("duration_months"),
         F.col("credit_amount").cast("double").alias("credit_amount"), "employment", "purpose", "credit_tier",
         "confidence_good", "confidence_moderate", "confidence_poor", "model_version")
@@ -135,6 +136,15 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("log_date").parquet(path)
 
 
+def replace_log(rows: DataFrame, path: str, job: str) -> None:
+    """S13/S14 exactly once: the rows of a batch job replace what the same job wrote before, day by day; other jobs' rows stay.
+
+    ``job`` names the run (for example its input's date), so that a run that is repeated after a failure leaves the log as if it had run once.
+    A day that the repeated run has no rows for keeps the first run's: pass the same input.  Rows are dealt out by day first (a large day in
+    several pieces, small days together), so that a day gets few files."""
+    rows.withColumn("job", F.lit(job)).hint("rebalance", "log_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_date", "job").parquet(path)
+
+
 def recent_predictions(spark: SparkSession, path: str, columns: list[str], n: int = 1000,
                        rename: dict | None = None, schema: T.StructType = FRAUD_LOG_SCHEMA) -> DataFrame:
     """S11/S12 + W1: newest ``n`` log rows (top-N, no full sort), selected columns.

@@ -232,3 +232,74 @@ scored3 AS (
   SELECT *, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS predicted FROM li3
 )
 """
+
+
+# FIXED VALUES: the applicants' employment and purpose texts by number
+_EMPLOYMENT = ["unemployed", "< 1 year", "1-4 years", "4-7 years", ">= 7 years"]
+_PURPOSE = ["car", "furniture", "radio/TV", "education", "business"]
+
+
+def _pick(values: list[str], number: F.Column) -> F.Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (number + 1).cast("int"))
+
+
+def _orders_with_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    cu = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    j = o.join(cu, o["o_custkey"] == cu["c_custkey"])
+    # requests of thirty days from 2024-03-01 on
+    return j.withColumn("second", F.lit(1709251200).cast("long") + F.col("o_orderkey") * 977 % 2592000)
+
+
+def fraud_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring requests, one per order (every eleventh order has none; every 41st is delivered twice), with a rule's probability ``p``."""
+    j = _orders_with_customers(spark, sf_dir).filter("o_orderkey % 11 <> 0")
+    k, price, pr = F.col("o_orderkey"), F.col("o_totalprice"), F.substring("o_orderpriority", 1, 1)
+    old = F.greatest(F.col("c_acctbal"), F.lit(0.0)) * F.lit(100.0)
+    dest = (F.col("o_custkey") % 1000).cast("double") * F.lit(125.0)
+    kind = F.when(pr == "1", "TRANSFER").when(pr == "2", "CASH_OUT").when(pr == "3", "PAYMENT").when(pr == "4", "DEBIT").otherwise("CASH_IN")
+    return j.select(
+        k.alias("src_id"), k.cast("string").alias("request_id"), F.timestamp_seconds("second").alias("timestamp"), (F.lit(1) + k % 743).cast("int").alias("step"),
+        kind.alias("type"), price.alias("amount"), old.alias("oldbalance_org"), F.greatest(F.lit(0.0), old - price).alias("newbalance_orig"),
+        dest.alias("oldbalance_dest"), (dest + price).alias("newbalance_dest"), (price / (price + old + F.lit(50000.0))).alias("p"),
+        _copies(F.when(k % 41 == 0, F.lit(2)).otherwise(F.lit(1))).alias("_copy")).drop("_copy")
+
+
+def credit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applications under the orders' request ids (every fifth order has none; every 37th is delivered twice), up to 750 seconds apart from the
+    transaction, with rule probabilities ``p0, p1, p2``."""
+    j = _orders_with_customers(spark, sf_dir).filter("o_orderkey % 5 <> 0")
+    k, c, bal = F.col("o_orderkey"), F.col("c_custkey"), F.col("c_acctbal")
+    good, poor = F.greatest(bal, F.lit(0.0)) + F.lit(1), F.greatest(-bal, F.lit(0.0)) * F.lit(5) + F.lit(500)
+    total = good + F.lit(2000.0) + poor
+    return j.select(
+        k.alias("src_id"), k.cast("string").alias("request_id"), F.timestamp_seconds(F.col("second") + k * 7 % 1500 - 750).alias("timestamp"),
+        (F.lit(18) + c % 60).cast("int").alias("age"), (F.lit(6) + c * 7 % 67).cast("int").alias("duration_months"), (F.abs(bal) * F.lit(3.0) + F.lit(1)).alias("credit_amount"),
+        _pick(_EMPLOYMENT, c % 5).alias("employment"), _pick(_PURPOSE, k % 5).alias("purpose"),
+        (good / total).alias("p0"), (F.lit(2000.0) / total).alias("p1"), (poor / total).alias("p2"),
+        _copies(F.when(k % 37 == 0, F.lit(2)).otherwise(F.lit(1))).alias("_copy")).drop("_copy")
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+REQUESTS_SQL = f"""
+placed AS (
+  SELECT *, CAST(1709251200 AS BIGINT) + o_orderkey * 977 % 2592000 AS second, greatest(c_acctbal, CAST(0 AS DOUBLE)) * CAST(100 AS DOUBLE) AS old_org,
+    CAST(o_custkey % 1000 AS DOUBLE) * CAST(125 AS DOUBLE) AS old_dest,
+    greatest(c_acctbal, CAST(0 AS DOUBLE)) + 1 AS good, greatest(-c_acctbal, CAST(0 AS DOUBLE)) * 5 + 500 AS poor
+  FROM orders JOIN customer ON o_custkey = c_custkey),
+fraud_once AS (
+  SELECT o_orderkey AS src_id, CAST(o_orderkey AS VARCHAR) AS request_id, second, CAST(1 + o_orderkey % 743 AS INTEGER) AS step,
+    CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'TRANSFER' WHEN '2' THEN 'CASH_OUT' WHEN '3' THEN 'PAYMENT' WHEN '4' THEN 'DEBIT' ELSE 'CASH_IN' END AS type,
+    o_totalprice AS amount, old_org AS oldbalance_org, greatest(CAST(0 AS DOUBLE), old_org - o_totalprice) AS newbalance_orig,
+    old_dest AS oldbalance_dest, old_dest + o_totalprice AS newbalance_dest, o_totalprice / (o_totalprice + old_org + CAST(50000 AS DOUBLE)) AS p
+  FROM placed WHERE o_orderkey % 11 <> 0),
+credit_once AS (
+  SELECT o_orderkey AS src_id, CAST(o_orderkey AS VARCHAR) AS request_id, second + o_orderkey * 7 % 1500 - 750 AS second, CAST(18 + c_custkey % 60 AS INTEGER) AS age,
+    CAST(6 + c_custkey * 7 % 67 AS INTEGER) AS duration_months, abs(c_acctbal) * CAST(3 AS DOUBLE) + 1 AS credit_amount,
+    {_list(_EMPLOYMENT)}[CAST(c_custkey % 5 + 1 AS BIGINT)] AS employment, {_list(_PURPOSE)}[CAST(o_orderkey % 5 + 1 AS BIGINT)] AS purpose,
+    good / (good + CAST(2000 AS DOUBLE) + poor) AS p0, CAST(2000 AS DOUBLE) / (good + CAST(2000 AS DOUBLE) + poor) AS p1, poor / (good + CAST(2000 AS DOUBLE) + poor) AS p2
+  FROM placed WHERE o_orderkey % 5 <> 0)
+"""
