@@ -18,7 +18,7 @@ value (or bin) holding the reference and current counts — a partial aggregate,
 so a value that holds a third of all rows costs one row.  Running sums over the
 ordered distinct values come from ``prefix.cumulative``.  Only scalars (counts,
 min/max, the statistic) reach the driver; p-values are computed from them with
-closed-form series.
+closed-form series, those of small KS samples by counting lattice paths.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import itertools
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,8 +71,47 @@ def ks_statistic(reference: DataFrame, current: DataFrame, col: str) -> tuple[fl
     return float(d), nr, nc
 
 
+#: Samples of up to this many rows get the exact p-value.  FIXED VALUE: the rule of the reference's library.
+KS_EXACT_ROWS = 10_000
+
+
+def ks_pvalue_exact(d: float, n: int, m: int) -> float:
+    """Exact two-sided p-value of the two-sample KS statistic: the share of lattice paths from (0, 0) to (n, m) that somewhere
+    are ``d`` or more away from the diagonal, ``|i/n - j/m| >= d``.  Paths that stay inside are counted row by row (a row's counts are the running sums of
+    the row before, inside the band) as shares of all paths, n x m steps in all."""
+    if not (n and m) or math.isnan(d):
+        return float("nan")
+    reach = round(d * n * m)  # the statistic is a whole number of 1/(nm)
+    if reach <= 0:
+        return 1.0
+    inside, log_scale = np.zeros(m + 1), 0.0
+    j = np.arange(m + 1)
+    inside[j * n < reach] = 1.0
+    for i in range(1, n + 1):
+        band = np.abs(i * m - j * n) < reach
+        inside = np.where(band, np.cumsum(np.where(band, inside, 0.0)), 0.0)
+        top = inside.max()
+        if top == 0:
+            return 1.0
+        if top > 1e200:
+            inside, log_scale = inside / top, log_scale + math.log(top)
+    if inside[m] <= 0:
+        return 1.0
+    paths = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1)
+    return min(1.0, max(0.0, 1.0 - math.exp(math.log(inside[m]) + log_scale - paths)))
+
+
 def ks_pvalue(d: float, n: int, m: int) -> float:
-    """Asymptotic two-sided p-value of the two-sample KS statistic (Kolmogorov series)."""
+    """Two-sided p-value of the two-sample KS statistic: exact up to ``KS_EXACT_ROWS`` rows a sample, beyond that the Kolmogorov series."""
+    if not (n and m) or math.isnan(d):
+        return float("nan")
+    if max(n, m) <= KS_EXACT_ROWS:
+        return ks_pvalue_exact(d, n, m)
+    return ks_pvalue_asymptotic(d, n, m)
+
+
+def ks_pvalue_asymptotic(d: float, n: int, m: int) -> float:
+    """The limit for large samples (Kolmogorov series)."""
     if not (n and m) or math.isnan(d):
         return float("nan")
     en = math.sqrt(n * m / (n + m))
@@ -283,7 +323,12 @@ def numeric_drift_stats(reference: DataFrame, current: DataFrame, cols: list[str
     """
     if not cols:
         return {}
-    vc = _per_col_counts(_long_pairs(reference, current, cols, True))
+    stds = reference.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    return numeric_count_stats(_per_col_counts(_long_pairs(reference, current, cols, True)), cols, {c: float(stds[c] or 0.0) for c in cols})
+
+
+def numeric_count_stats(vc: DataFrame, cols: list[str], stds: dict[str, float]) -> dict[str, dict]:
+    """The same from the counts ``col, v, r, c`` of each value and the reference's standard deviations."""
     tot = {r["col"]: r for r in vc.groupBy("col").agg(
         F.sum("r").alias("nr"), F.sum("c").alias("nc"), F.count(F.lit(1)).alias("nu")).collect()}  # one row per column
     out = {c: {"nr": 0, "nc": 0, "nu": 0, "d": float("nan"), "w": float("nan")} for c in cols}
@@ -299,9 +344,8 @@ def numeric_drift_stats(reference: DataFrame, current: DataFrame, cols: list[str
                                      F.sum(F.coalesce(gap * (F.col("next_v") - F.col("v")), F.lit(0.0))).alias("w"))
         for r in res.collect():
             out[r["col"]].update(d=float(r["d"]), w=float(r["w"]))
-    stds = reference.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in cols]).first()
     for c in cols:
-        out[c]["std"] = float(stds[c] or 0.0)
+        out[c]["std"] = stds.get(c, 0.0)
     return out
 
 
@@ -309,7 +353,11 @@ def categorical_drift_stats(reference: DataFrame, current: DataFrame, cols: list
     """JS distance, chi-square statistic, z-test inputs and PSI for all categorical columns in one pass."""
     if not cols:
         return {}
-    cc = _per_col_counts(_long_pairs(reference, current, cols, False))
+    return categorical_count_stats(_per_col_counts(_long_pairs(reference, current, cols, False)), cols)
+
+
+def categorical_count_stats(cc: DataFrame, cols: list[str]) -> dict[str, dict]:
+    """The same from the counts ``col, v, r, c`` of each category."""
     tot = {r["col"]: r for r in cc.groupBy("col").agg(
         F.sum("r").alias("nr"), F.sum("c").alias("nc"), F.count(F.lit(1)).alias("k")).collect()}
     out = {c: {"nr": 0, "nc": 0, "nu": 0} for c in cols}
@@ -361,6 +409,20 @@ def drift_report(reference: DataFrame, current: DataFrame, columns: list[str] |
         cur_cols = set(current.columns)
         columns = [c for c in reference.columns if c in cur_cols]
     types = dict(reference.dtypes)
+    if method == "psi":
+        found = [column_drift(reference, current, c, "psi", psi_threshold) for c in columns]
+        rows = [(r.column_name, r.column_type, r.stattest, None if math.isnan(r.statistic) else round(r.statistic, digits), None, r.threshold, bool(r.drift_detected)) for r in found]
+        return reference.sparkSession.createDataFrame(rows, DRIFT_SCHEMA)
+
+    nums = [c for c in columns if is_numeric(types[c])]
+    num_stats = numeric_drift_stats(reference, current, nums)
+    cat_cols = [c for c in columns if c not in nums] + [c for c in nums if num_stats[c]["nu"] <= 5]
+    rows = report_rows(columns, num_stats, categorical_drift_stats(reference, current, cat_cols), digits)
+    return reference.sparkSession.createDataFrame(rows, DRIFT_SCHEMA)
+
+
+def report_rows(columns: list[str], num_stats: dict[str, dict], cat_stats: dict[str, dict], digits: int = 6) -> list[tuple]:
+    """One row of ``DRIFT_SCHEMA`` a column, by the default choice of tests."""
     rows = []
 
     def emit(col, ctype, test, stat, p, thr, drift):
@@ -368,19 +430,9 @@ def drift_report(reference: DataFrame, current: DataFrame, columns: list[str] |
         pv = None if p is None or math.isnan(p) else round(p, digits)
         rows.append((col, ctype, test, s, pv, thr, bool(drift)))
 
-    if method == "psi":
-        for c in columns:
-            r = column_drift(reference, current, c, "psi", psi_threshold)
-            emit(r.column_name, r.column_type, r.stattest, r.statistic, r.p_value, r.threshold, r.drift_detected)
-        return reference.sparkSession.createDataFrame(rows, DRIFT_SCHEMA)
-
-    nums = [c for c in columns if is_numeric(types[c])]
-    num_stats = numeric_drift_stats(reference, current, nums)
-    cat_cols = [c for c in columns if c not in nums] + [c for c in nums if num_stats[c]["nu"] <= 5]
-    cat_stats = categorical_drift_stats(reference, current, cat_cols)
     for c in columns:
-        ctype = "num" if c in nums else "cat"
-        if c in nums and num_stats[c]["nu"] > 5:
+        ctype = "num" if c in num_stats else "cat"
+        if c in num_stats and num_stats[c]["nu"] > 5:
             st = num_stats[c]
             if st["nr"] <= 1000:
                 p = ks_pvalue(st["d"], st["nr"], st["nc"])
@@ -401,7 +453,7 @@ def drift_report(reference: DataFrame, current: DataFrame, columns: list[str] |
                 emit(c, ctype, "z", float("nan"), p, 0.05, p < 0.05)
         else:
             emit(c, ctype, "jensenshannon", st["js"], None, 0.1, st["js"] >= 0.1)
-    return reference.sparkSession.createDataFrame(rows, DRIFT_SCHEMA)
+    return rows
 
 
 def drift_summary(report: DataFrame, dataset_share: float = 0.5, alert_threshold: float = DRIFT_THRESHOLD) -> DataFrame:

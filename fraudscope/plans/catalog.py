@@ -54,6 +54,7 @@ def _load_all():
         queries_metrics,
         queries_misc,
         queries_models,
+        queries_profiles,
         queries_streams,
     )
 

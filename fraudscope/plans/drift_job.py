@@ -8,9 +8,11 @@ per-column drift, dataset summary and alert flag — one status row per model.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.names import common_columns
 from ..operators.drift import drift_report, drift_summary
+from ..operators.profiles import drift_from_profiles, value_profile
 from ..schemas import DRIFT_MIN_ROWS, DRIFT_THRESHOLD
 
 STATUS_SCHEMA = ("model string, status string, n_current long, n_features long, n_drifted_features long, "
@@ -40,3 +42,21 @@ def run_drift_detection(spark: SparkSession, pairs: dict[str, tuple[DataFrame |
     """D3: one status row per model name in ``pairs`` ({model: (reference, current)})."""
     rows = [drift_for_model(m, r, c, method=method)[0] for m, (r, c) in pairs.items()]
     return spark.createDataFrame(rows, STATUS_SCHEMA)
+
+
+def run_profile_drift(spark: SparkSession, pairs: dict[str, tuple[DataFrame | None, DataFrame | None]],
+                      min_rows: int = DRIFT_MIN_ROWS, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
+    """The same status rows from ``{model: (stored reference profile, window of the log)}``: the window is read once, the training table never."""
+    rows = []
+    for model, (profile, window) in pairs.items():
+        if profile is None or window is None:
+            rows.append((model, "no_reference" if profile is None else "no_current", *[None] * 6))
+            continue
+        current = value_profile(window).checkpoint(eager=True)  # small; the log is not read again
+        n = current.groupBy("col").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+        if n < min_rows:
+            rows.append((model, "not_enough_rows", n, *[None] * 5))
+            continue
+        s = drift_summary(drift_from_profiles(profile, current), alert_threshold=threshold).first()
+        rows.append((model, "ok", n, s["n_features"], s["n_drifted_features"], s["drift_share"], s["drift_detected"], s["alert"]))
+    return spark.createDataFrame(rows, STATUS_SCHEMA)
