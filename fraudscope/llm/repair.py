@@ -153,9 +153,9 @@ def _survey(size: int):
     return run
 
 
-#: A repaired conversation; ``pieces`` are the edits of each chunk and what the result ended in before it.
+#: A long conversation; ``pieces`` are the edits of each chunk and what the result ended in before it.
 WHOLE = pa.schema([
-    *((c, pa.int64()) for c in ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost")), ("audit", pa.string()), ("repaired_sha256", pa.string()),
+    *((c, pa.int64()) for c in ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost")), ("audit", pa.string()),
     ("pieces", pa.list_(pa.struct([("chunk", pa.int64()), ("start", pa.int32()), ("audit", pa.string())])))])
 
 
@@ -187,9 +187,7 @@ def _unite(t: pa.Table) -> pa.Table:
         end -= length
     gaps = 0 if low is None else high - low + 1 - total.pop("turns")
     total.pop("turns", None)
-    sha = chunks[0]["sha"]
-    return pa.Table.from_pylist(
-        [dict(conv_id=chunks[0]["conv_id"], gaps=gaps, **total, cost=cost, audit=audit, repaired_sha256=sha, pieces=None if sha else pieces)], schema=WHOLE)
+    return pa.Table.from_pylist([dict(conv_id=chunks[0]["conv_id"], gaps=gaps, **total, cost=cost, audit=audit, pieces=pieces)], schema=WHOLE)
 
 
 def _hash_long(rows: DataFrame, whole: DataFrame) -> DataFrame:
@@ -241,7 +239,12 @@ def repair(rows: DataFrame, ids: DataFrame | None = None, chunk: int = 512) -> D
     fault = F.when(F.col("blank"), "blank").when(F.col("rank") > F.col("first"), "duplicate").when(F.col("open"), "truncated")
     marked = marked.select("conv_id", "chunk", "rank", "turn", "role", "text", fault.alias("fault"))
     surveyed = marked.groupBy("conv_id", "chunk").applyInArrow(_survey(chunk), from_arrow_schema(CHUNK))
-    whole = stored(stored(surveyed, "chunks").groupBy("conv_id").applyInArrow(_unite, from_arrow_schema(WHOLE)), "whole")
+    surveyed = stored(surveyed, "chunks")
+    settled = surveyed.filter("sha IS NOT NULL").select(
+        "conv_id", F.coalesce(F.col("high") - F.col("low") + 1 - F.col("turns"), F.lit(0)).alias("gaps"), "blank", "duplicate", "truncated", "illegal",
+        F.col("ways")[0]["cost"].alias("cost"), F.col("ways")[0]["audit"].alias("audit"), F.col("sha").alias("repaired_sha256"))
+    united = surveyed.filter("sha IS NULL").groupBy("conv_id").applyInArrow(_unite, from_arrow_schema(WHOLE))
+    whole = stored(settled.unionByName(united, allowMissingColumns=True), "whole")
     hashed = _hash_long(placed, whole)
     every = ids.select(F.col("conv_id").cast("long").alias("id")).distinct()
     out = every.join(whole, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
