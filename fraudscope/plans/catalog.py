@@ -55,6 +55,7 @@ def _load_all():
         queries_misc,
         queries_models,
         queries_profiles,
+        queries_sources,
         queries_streams,
     )
 

