@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions.names import standardise_column_names
+from ..operators.categories import category_table, store_categories, with_codes
 from ..operators.clean import clean_credit_data, clean_fraud_data
 from ..operators.features import credit_features, fraud_features
 from ..operators.quantiles import exact_quantiles, quantile_sql
@@ -13,6 +16,7 @@ from ..operators.sampling import balanced_class_weights, positive_class_weight,
 from ..operators.stats import null_summary
 from ..operators.validation import validate_credit, validate_fraud
 from ..schemas import CREDIT_CATEGORICAL_FEATURES, CREDIT_NUMERIC_FEATURES, FRAUD_NUMERIC_FEATURES, FRAUD_TYPE_CATEGORIES
+from ..session import scratch_path
 from ..sources.io import coerce_types, transactions_as_text
 from ..sources.tables import (
     GERMAN_APPLICANTS_SQL,
@@ -264,3 +268,14 @@ SELECT CAST(count(*) FILTER (WHERE is_fraud = 1) AS BIGINT) AS n_pos,
 FROM clean_fraud""")
 def q_fraud_pos_weight(spark, sf_dir):
     return positive_class_weight(clean_fraud_data(raw_transactions(spark, sf_dir)), "is_fraud")
+
+
+@register("category_codes", "WITH " + RAW_TRANSACTIONS_SQL.strip() + """
+SELECT step, a.type, nameDest AS name_dest, k.code AS type_code, d.code AS name_dest_code
+FROM txn a LEFT JOIN (SELECT nameDest AS name, row_number() OVER (ORDER BY nameDest) - 1 AS code FROM (SELECT DISTINCT nameDest FROM txn)) d ON d.name = a.nameDest
+  LEFT JOIN (SELECT type AS name, row_number() OVER (ORDER BY type) - 1 AS code FROM (SELECT DISTINCT type FROM txn WHERE type IS NOT NULL)) k ON k.name = a.type""")
+def q_category_codes(spark, sf_dir):
+    """M2/M3 for many values: categories numbered as a stored table and joined to the rows."""
+    t = raw_transactions(spark, sf_dir).select("step", "type", F.col("nameDest").alias("name_dest"))
+    table = store_categories(category_table(t, ["type", "name_dest"]), scratch_path(spark, f"categories-{uuid.uuid4().hex}"))
+    return with_codes(t, ["type", "name_dest"], table)
