@@ -8,7 +8,7 @@ from fraudscope.plans.oracle import compare
 SF = "/root/testdata/sf0.001"
 SQL_NAMES = sorted(E.oracle_sql())
 SLOW_ROWS_ONLY = {"gbt_fit_score", "rf_fit_score", "top_features", "train_report", "model_roundtrip",
-                  "stream_score", "audit_append"}
+                  "stream_score", "audit_append", "boost_fit_score", "boost_rounds", "combined_models"}
 
 
 def test_every_sql_key_is_a_query():
