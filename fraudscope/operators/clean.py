@@ -9,7 +9,7 @@ credit  snake_case -> de-dup -> numeric medians -> drop NULL target -> categoric
         NULL -> "unknown" -> drop age < 18 -> drop amount <= 0 -> caps -> code maps
 
 ``fit`` runs a few small aggregation jobs (null counts, exact medians, modes, exact
-quantiles) over a persisted de-duplicated frame and keeps the results as plain
+quantiles) over a stored de-duplicated table and keeps the results as plain
 numbers.  ``transform`` is a single lazy plan: one shuffle for the de-dup, then
 projections and filters with the fitted numbers inlined as literals, so Catalyst
 keeps it inside whole-stage codegen.  The fitted numbers can be saved and
@@ -19,9 +19,9 @@ re-applied to a stream or a scoring batch.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +37,7 @@ from ..schemas import (
     FRAUD_ID_COLUMNS,
     FRAUD_TARGET,
 )
+from ..session import scratch_path
 from .quantiles import exact_quantiles
 from .stats import column_modes
 
@@ -123,10 +124,13 @@ class Cleaner:
 
     # -- fit / transform ------------------------------------------------------------
     def fit(self, raw: DataFrame, keep_cache: bool = False) -> "Cleaner":
-        """Fit on ``raw``.  With ``keep_cache`` the persisted de-duplicated frame is kept for
-        ``fit_transform`` (released by ``release()``), so the de-dup shuffle runs once."""
+        """Fit on ``raw``.  The de-duplicated rows are stored once in the shared folder: every statistic reads its own columns of that table, no executor
+        memory is held, and a lost executor reads again instead of shuffling again.  With ``keep_cache`` ``fit_transform`` reads it too."""
         spec = self.spec
-        dedup = self._dedup(raw).persist(StorageLevel.MEMORY_AND_DISK)
+        path = scratch_path(raw.sparkSession, f"clean-{uuid.uuid4().hex}")
+        dedup = self._dedup(raw)
+        dedup.write.parquet(path)
+        dedup = raw.sparkSession.read.schema(dedup.schema).parquet(path)
         ok = False
         try:
             types = dict(dedup.dtypes)
@@ -169,10 +173,7 @@ class Cleaner:
             self.stats = stats
             ok = True
         finally:
-            if ok and keep_cache:
-                self._cached = dedup
-            else:
-                dedup.unpersist()
+            self._cached = dedup if ok and keep_cache else None
         return self
 
     def transform(self, raw: DataFrame) -> DataFrame:
@@ -182,16 +183,13 @@ class Cleaner:
         return self._finish(self._after_impute(self._impute(df, self.stats)), self.stats)
 
     def fit_transform(self, raw: DataFrame) -> DataFrame:
-        """Fit and clean the same table, reading the de-duplicated rows from the fit's cache."""
+        """Fit and clean the same table, reading the de-duplicated rows that the fit has stored."""
         self.fit(raw, keep_cache=True)
         return self._finish(self._after_impute(self._impute(self._cached, self.stats)), self.stats)
 
     def release(self) -> None:
-        """Drop the cached de-duplicated rows kept by ``fit_transform``."""
-        cached = getattr(self, "_cached", None)
-        if cached is not None:
-            cached.unpersist()
-            self._cached = None
+        """Forget the stored de-duplicated rows kept by ``fit_transform``."""
+        self._cached = None
 
 
 def fraud_cleaner(lower_pct: float = 0.01, upper_pct: float = 0.99, exact: bool = True) -> Cleaner:
