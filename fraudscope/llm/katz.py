@@ -1,18 +1,21 @@
 """Katz backoff language model: Good-Turing discounted n-gram counts, exactly normalised backoff weights.
 
-Vocabulary.  The model's word classes are the ``vocab_size`` most frequent training words, the end of a text, and one class for
-all other words; a word of that class has the class's probability times its own add-one share of it, over the known words of the class
-and one unknown word.  Counts cover every token of every training text.
-
-Tables.  Texts are encoded once into chunks of whole texts (numbers of the chunk's own words).  The chunks' partial counts of words
-and bigrams are dealt out by key, where they meet their total, and stored.  For counts up to ``cutoff`` the Good-Turing
-discount applies where it lies between 0 and 1, else half a count is taken off; a history without any discounted mass gets
-one more count in its denominator.  The backoff weight of a history is the mass left over divided by the lower-order mass of
-the classes never seen after it, so that the probabilities of all words after any history add up to one.  ``Model.write``
-stores the whole model partitioned by order.
-
-Scoring.  The counts of a chunk's bigrams and rare words come back to the chunk, where each token is evaluated from the shortest
-history up: the share of the word in its class, then the seen bigram's probability or the weight times the class's own.
+Vocabulary.  Every training word and the end of a text are words of the model, with n-grams of their own; all words that no training
+text holds are one further outcome.  Counts cover every token of every training text.
+
+Tables.  Texts are encoded once into chunks of whole texts (numbers of the chunk's own words).  The distinct words, ranked by count,
+are the table of order 1; a word's rank is its number, and the counts, which only fall along the ranks, are a list of the distinct
+counts (at most sqrt(2 x tokens) of them).  Each chunk deals its distinct bigrams out to parts by their history.  Where a
+part meets them, their counts are added up and stored: the table of order 2.  A history among the first ``hot`` ranks is dealt out
+by its bigrams instead, so that any other history has at most ``HISTORY`` tokens; what its parts count is added up once more.
+For counts up to ``cutoff`` the Good-Turing discount applies where it lies between 0 and 1, else half a count is taken off; a
+history without any discounted mass gets one more count in its denominator.  The backoff weight of a history is the mass left over
+divided by the lower-order mass of the words never seen after it, so that the probabilities of all words after any history
+add up to one.  ``Model.write`` unpacks the whole model into a table partitioned by order.
+
+Scoring.  Each part evaluates its bigrams from the longest order down: the discounted share of a seen bigram, else the history's weight
+times the word's own probability.  The values return to the chunks that asked, in the order in which these asked, and are added
+up by text; a word after an unknown one has its own probability.
 
 Edge cases: null and empty texts are the end token alone; with nothing to learn from every probability is 1; repeated rows are
 scored row by row; null ids count as training rows; other columns are ignored.
@@ -29,10 +32,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch, lower_words, map_arrow, ship, slices, stored
+from .ranks import ranked
 
-UNK, BOS, END, FIRST = 0, 1, 2, 3  # class numbers; words from FIRST on in order of frequency
-BITS = 20  # of a class number inside a packed n-gram
+BOS, UNK, FIRST = 0, 1, 2  # numbers: the begin of a text (history only), any unknown word; known words by falling count
+HISTORY = 4_000_000  # tokens of a history that one part may hold
 CHUNK = "chunk long, words binary, ids binary, docs array<long>, train array<boolean>, sizes array<int>"
+REQUEST = "part int, chunk long, n int, h binary, w binary, c binary"
+PART = ("part int, n int, h binary, w binary, c binary, chunks array<long>, sizes array<int>, at binary, "
+        "n_r array<long>, hot array<struct<h:long,small:array<long>,big:long,covered:double>>")
+REPLY = "chunk long, part int, n int, packed binary"
+
+
+def squeeze(values: np.ndarray, kind: str = "<i8") -> bytes:
+    """Numbers as compressed byte planes."""
+    a = np.ascontiguousarray(values, kind)
+    return pa.Codec("zstd", 1).compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes(), asbytes=True) if len(a) else b""
+
+
+def expand(packed: bytes, n: int, kind: str = "<i8") -> np.ndarray:
+    if not n:
+        return np.zeros(0, kind)
+    size = np.dtype(kind).itemsize
+    raw = pa.Codec("zstd").decompress(packed, n * size, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).ravel()
 
 
 def chunks(docs: DataFrame, train, chunk_tokens: int) -> DataFrame:
@@ -43,9 +65,9 @@ def chunks(docs: DataFrame, train, chunk_tokens: int) -> DataFrame:
         state = {"known": {}, "ids": [], "docs": [], "train": [], "sizes": [], "n": 0}
 
         def flush():
-            words = b" ".join(state["known"])
-            ids = np.concatenate([np.append(x, len(state["known"])) for x in state["ids"]]).astype("<i4")
-            out = batch(chunk=([uuid.uuid4().int >> 65], pa.int64()), words=([words], pa.binary()), ids=([ids.tobytes()], pa.binary()), docs=([state["docs"]], pa.list_(pa.int64())),
+            words = zlib.compress(b" ".join(state["known"]), 1)
+            ids = squeeze(np.concatenate([np.append(x, len(state["known"])) for x in state["ids"]]), "<i4")
+            out = batch(chunk=([uuid.uuid4().int >> 65], pa.int64()), words=([words], pa.binary()), ids=([ids], pa.binary()), docs=([state["docs"]], pa.list_(pa.int64())),
                         train=([state["train"]], pa.list_(pa.bool_())), sizes=([state["sizes"]], pa.list_(pa.int32())))
             state.update(known={}, ids=[], docs=[], train=[], sizes=[], n=0)
             return out
@@ -70,22 +92,42 @@ class Chunk:
 
     def __init__(self, row: dict):
         self.name = row["chunk"]
-        self.words = row["words"].split()
-        self.ids = np.frombuffer(row["ids"], "<i4")
+        self.words = zlib.decompress(row["words"]).split()
         self.docs, self.train, self.sizes = row["docs"], np.array(row["train"], bool), np.array(row["sizes"], np.int64)
+        self.ids = expand(row["ids"], int(self.sizes.sum()), "<i4")
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
         self.learn = np.repeat(self.train, self.sizes)
 
-    def classes(self, vocab: dict[bytes, int]) -> np.ndarray:
-        """Class number of each token."""
-        table = np.fromiter((vocab.get(w, UNK) for w in self.words), np.int64, len(self.words))
-        return np.append(table, END)[self.ids]
-
-    def grams(self, cls: np.ndarray) -> np.ndarray:
-        """The packed bigram that ends at each token; a text begins with a mark."""
-        before = np.concatenate([[BOS], cls[:-1]])
-        before[self.starts] = BOS
-        return (before << BITS) | cls
+    def numbers(self, replies: pa.Table) -> np.ndarray:
+        """The model's number of each of the chunk's words, the end of text last."""
+        out = np.full(len(self.words) + 1, UNK, np.int64)
+        for part, n, packed in zip(*(replies.column(c).to_pylist() for c in ("part", "n", "packed"))):
+            if part < 0:
+                both = expand(packed, 2 * n)
+                out[both[:n]] = both[n:]
+        return out
+
+    def bigrams(self, numbers: np.ndarray, parts: int, hot: int):
+        """The chunk's bigrams: history, word, part, training count; the order by (part, history, word) in which those with a known
+        history are asked for; the bigram that ends at each token."""
+        width = len(self.words) + 2
+        before = np.concatenate([[0], self.ids[:-1]]).astype(np.int64)
+        before[self.starts] = width - 1
+        keys, at = np.unique(before * width + self.ids, return_inverse=True)
+        n = np.bincount(at[self.learn], minlength=len(keys))
+        numbers = np.append(numbers, BOS)
+        h, w = numbers[keys // width], numbers[keys % width]
+        part = deal(h, w, parts, hot)
+        asked = np.flatnonzero(h != UNK)
+        return h, w, part, n, asked[np.lexsort((w[asked], h[asked], part[asked]))], at
+
+
+def deal(h: np.ndarray, w: np.ndarray, parts: int, hot: int) -> np.ndarray:
+    """Part of a bigram: by its history, by history and word if the history is hot."""
+    x = h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.where(h < hot, w, 0).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return ((x >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
 
 
 def word_counts(encoded: DataFrame) -> DataFrame:
@@ -99,27 +141,26 @@ def word_counts(encoded: DataFrame) -> DataFrame:
     return map_arrow(encoded, run, "chunk long, id int, word binary, n int", rows=1)
 
 
-def gram_counts(encoded: DataFrame, vocab) -> DataFrame:
-    """``chunk, gram, n``: each chunk's distinct bigrams with their training counts (0: only in texts that are not learned from)."""
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        c = Chunk(b.to_pylist()[0])
-        keys, at = np.unique(c.grams(c.classes(vocab.value)), return_inverse=True)
-        n = np.bincount(at[c.learn], minlength=len(keys))
-        return batch(chunk=([c.name] * len(keys), pa.int64()), gram=(keys, pa.int64()), n=(n, pa.int32()))
-
-    return map_arrow(encoded, run, "chunk long, gram long, n int", rows=1)
+def pack_numbers(batches):
+    """Rows ``chunk, id, number`` as one packed reply per chunk and million rows."""
+    held, n = [], 0
 
+    def flush():
+        chunk, place, number = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((place, chunk))
+        chunk, place, number = chunk[order], place[order], number[order]
+        at = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]])
+        packed = [squeeze(np.concatenate([place[i:j], number[i:j]])) for i, j in zip(at[:-1], at[1:])]
+        return batch(chunk=(chunk[at[:-1]], pa.int64()), part=(np.full(len(packed), -1), pa.int32()), n=(np.diff(at), pa.int32()), packed=(packed, pa.binary()))
 
-def with_totals(partial: DataFrame, key: str, *columns: str) -> DataFrame:
-    """The chunks' partial counts with the total ``c`` of their key, and ``lead``: true in one row of each key.  One shuffle: the
-    sum and the join use the same partitioning.  A key has a row for each chunk at most.  Rows that tell nothing are left out: those
-    of a chunk that holds all of its key's count, unless they lead."""
-    dealt = partial.repartition(int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-    totals = dealt.groupBy(key).agg(F.sum("n").alias("c"), F.min("chunk").alias("_lead")).withColumnRenamed(key, "_key")
-    joined = dealt.join(totals.hint("merge"), F.col(key) == F.col("_key"))  # sorted by key, so that the stored table packs well
-    joined = joined.select("chunk", *columns, key, "c", "n", (F.col("chunk") == F.col("_lead")).alias("lead"))
-    return joined.filter("c > 0 and (lead or c <> n)")
+    for b in batches:
+        held.append([b.column(x).to_numpy() for x in ("chunk", "id", "number")])
+        n += b.num_rows
+        if n >= 1_000_000:
+            yield flush()
+            held, n = [], 0
+    if n:
+        yield flush()
 
 
 def discounts(n_r: dict[int, int], cutoff: int) -> dict[int, float]:
@@ -134,155 +175,229 @@ def discounts(n_r: dict[int, int], cutoff: int) -> dict[int, float]:
     return out
 
 
-class Model:
-    """A trained model.  ``words`` and ``grams`` are the stored count tables; all else is bounded by the vocabulary: ``vocab`` (word to
-    class number and count), ``p1`` and ``bow`` (log10 probability and backoff weight of each class), ``den`` (denominator of each
-    history), ``factor`` (discount of each small count)."""
-
-    def __init__(self, words: DataFrame, grams: DataFrame, vocab, tokens: int, types: int):
-        self.words, self.grams, self.vocab, self.tokens, self.types = words, grams, vocab, tokens, types
-        self.rare_tokens = tokens - sum(c for _, c in vocab.values())
-        self.rare_types = types - len(vocab)
-        size = len(vocab) + FIRST
-        self.p1, self.bow, self.den = np.full(size, -np.inf), np.zeros(size), np.full(size, np.nan)
-        # relative frequency; the class of rare words counts one more, so that unknown words always have mass
-        self.p1[UNK] = np.log10((self.rare_tokens + 1) / (tokens + 1))
-        for i, c in vocab.values():
-            self.p1[i] = np.log10(c / (tokens + 1))
-        self.factor: dict[int, float] = {}
-
-    def write(self, spark: SparkSession, path: str) -> None:
-        """The model as a table ``gram, count, logp, bow`` partitioned by order."""
-        counts = {UNK: self.rare_tokens} | {i: c for i, c in self.vocab.values()} | {BOS: 0}
-        real = lambda x: float(x) if np.isfinite(x) else None
-        one = spark.createDataFrame([(k, c, real(self.p1[k]), real(self.bow[k]), 1) for k, c in counts.items()], "gram long, count long, logp double, bow double, order int")
-        lp = _bigram_logp(self.factor, self.den)
+def denominator(total, kept):
+    return np.where(kept < total * (1 - 1e-9), total, total + 1)
 
-        def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            g, c = b.column("gram").to_numpy(), b.column("c").to_numpy()
-            return batch(gram=b.column("gram"), count=b.column("c"), logp=(lp(g, c), pa.float64()), bow=([None] * len(g), pa.float64()), order=([2] * len(g), pa.int32()))
 
-        two = map_arrow(self.grams.filter("lead and c > 0").select("gram", "c"), run, one.schema, rows=65536)
-        one.unionByName(two).write.partitionBy("order").parquet(path)
+class Unigrams:
+    """Order 1 by rank: the distinct counts with the first number of each, the probabilities, and the mass of unknown words."""
 
+    def __init__(self, counts: dict[int, int], cutoff: int):
+        falling = sorted(counts, reverse=True)
+        self.count = np.array([0, *falling], np.int64)
+        self.first = np.cumsum([0, FIRST, *(counts[c] for c in falling[:-1])][: len(falling) + 1])  # below the first known word: count 0
+        self.tokens, self.types = sum(c * k for c, k in counts.items()), sum(counts.values())
+        factor = discounts(counts, cutoff)
+        kept = np.array([factor.get(int(c), 1.0) * c for c in self.count])
+        mass = float(sum(k * counts.get(int(c), 0) for c, k in zip(self.count, kept)))
+        den = float(denominator(self.tokens, mass))
+        self.unknown = 1 - mass / den  # the probability of all unknown words together
+        self.p = kept / den
+        self.p[0] = self.unknown
 
-def _bigram_logp(factor: dict[int, float], den: np.ndarray):
-    def logp(gram, c):
-        d = np.ones(len(c))
-        for r, v in factor.items():
-            d[c == r] = v
-        return np.log10(d * c / den[gram >> BITS])
+    def at(self, numbers: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, numbers, "right") - 1
 
-    return logp
+    def counts(self, numbers: np.ndarray) -> np.ndarray:
+        return self.count[self.at(numbers)]
 
+    def probability(self, numbers: np.ndarray) -> np.ndarray:
+        return self.p[self.at(numbers)]
 
-def train(encoded: DataFrame, vocab_size: int = 16384, cutoff: int = 5) -> Model:
-    """Count, discount and normalise."""
-    if vocab_size + FIRST >= 1 << BITS:
-        raise ValueError("the vocabulary must fit the packed bigrams")
-    spark = encoded.sparkSession
-    words = stored(with_totals(word_counts(encoded), "word", "id"), "katz-words")
-    known = words.filter("lead and c > 0")
-    tokens, types = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    # top-k is the feature: the vocabulary
-    top = known.filter(F.octet_length("word") > 0).select("word", "c").orderBy(F.desc("c"), "word").limit(vocab_size).collect()
-    end = known.filter(F.octet_length("word") == 0).select("c").collect()
-    vocab = {bytes(r["word"]): (FIRST + i, r["c"]) for i, r in enumerate(top)} | {b"": (END, r["c"]) for r in end}
-    sent = spark.sparkContext.broadcast({w: i for w, (i, _) in vocab.items() if w})
-    grams = stored(with_totals(gram_counts(encoded, sent), "gram"), "katz-grams")
-    model = Model(words, grams, vocab, tokens, types)
-    seen = grams.filter("lead and c > 0").select("gram", "c")
-    n_r = {r["c"]: r["k"] for r in seen.filter(F.col("c") <= cutoff + 1).groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()}
-    model.factor = discounts(n_r, cutoff)
-    taken = F.col("c").cast("double")
-    for r, v in model.factor.items():
-        taken = F.when(F.col("c") == r, F.lit(v * r)).otherwise(taken)
-    level = spark.createDataFrame([(k, float(10.0 ** p)) for k, p in enumerate(model.p1) if np.isfinite(p)], "k long, p double")
-    rows = seen.select(F.shiftright("gram", BITS).alias("history"), F.col("gram").bitwiseAND((1 << BITS) - 1).alias("k"), "c", taken.alias("kept"))
-    rows = rows.join(F.broadcast(level), "k")  # as many rows as the vocabulary has words
-    for r in rows.groupBy("history").agg(F.sum("c").alias("total"), F.sum("kept").alias("kept"), F.sum("p").alias("covered")).collect():
-        h, total, kept, covered = r["history"], r["total"], r["kept"], r["covered"]
-        if covered > 1 - 1e-9:  # no word is left to back off to: what was taken off goes back in proportion
-            model.den[h], model.bow[h] = kept, -np.inf
-            continue
-        den = total if kept < total * (1 - 1e-9) else total + 1
-        model.den[h], model.bow[h] = den, np.log10((1 - kept / den) / (1 - covered))
-    return model
-
-
-def pack_replies(batches):
-    """Rows ``chunk, gram, c`` as one packed row per chunk and million rows, so that they travel in a fifth of the bytes."""
-    held, n = [], 0
 
-    def flush():
-        chunk, gram, c = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((gram, chunk))
-        chunk, gram, c = chunk[order], gram[order], c[order]
-        at = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)]])
-        packed = [zlib.compress(np.diff(gram[i:j], prepend=0).astype("<i8").tobytes() + c[i:j].astype("<i8").tobytes(), 1) for i, j in zip(at[:-1], at[1:])]
-        return batch(chunk=(chunk[at[:-1]], pa.int64()), n=(np.diff(at), pa.int32()), packed=(packed, pa.binary()))
+def ask(encoded: DataFrame, numbered: DataFrame, parts: int, hot: int) -> DataFrame:
+    """Each chunk's bigrams, one packed request for each part."""
 
-    for b in batches:
-        held.append([b.column(x).to_numpy() for x in ("chunk", "gram", "c")])
-        n += b.num_rows
-        if n >= 1_000_000:
-            yield flush()
-            held, n = [], 0
-    if n:
-        yield flush()
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        c = Chunk(left.to_pylist()[0])
+        h, w, part, n, order, _ = c.bigrams(c.numbers(right), parts, hot)
+        h, w, part, n = h[order], w[order], part[order], n[order]
+        at = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, np.int64)
+        cut = list(zip(at[:-1], at[1:]))
+        return pa.Table.from_batches([batch(
+            part=(part[at[:-1]], pa.int32()), chunk=([c.name] * len(cut), pa.int64()), n=(np.diff(at), pa.int32()),
+            h=([squeeze(np.diff(h[i:j], prepend=0)) for i, j in cut], pa.binary()), w=([squeeze(w[i:j]) for i, j in cut], pa.binary()),
+            c=([squeeze(n[i:j], "<i4") for i, j in cut], pa.binary()))])
+
+    return encoded.groupBy("chunk").cogroup(numbered.groupBy("chunk")).applyInArrow(run, REQUEST)
+
+
+def merged(requests: DataFrame, one, cutoff: int, hot: int) -> DataFrame:
+    """The requests of a part as one row: its distinct bigrams with their counts, which of them each request asked for, in order,
+    and what it adds to the counts of counts and to the sums of hot histories."""
+
+    def run(t: pa.Table) -> pa.Table:
+        sizes = t.column("n").to_pylist()
+        column = lambda x, kind="<i8": [expand(b, n, kind) for b, n in zip(t.column(x).to_pylist(), sizes)]
+        h, w, n = np.concatenate([np.cumsum(x) for x in column("h")]), np.concatenate(column("w")), np.concatenate(column("c", "<i4")).astype(np.int64)
+        order = np.lexsort((w, h))
+        h, w, n = h[order], w[order], n[order]
+        new = np.concatenate([[True], (np.diff(h) != 0) | (np.diff(w) != 0)])
+        at = np.empty(len(h), np.int32)
+        at[order] = np.cumsum(new) - 1
+        heads = np.flatnonzero(new)
+        h, w, n = h[heads], w[heads], np.add.reduceat(n, heads)
+        n_r = np.bincount(np.minimum(n, cutoff + 2), minlength=cutoff + 3)[1 : cutoff + 2]
+        of_hot = (n > 0) & (h < hot)
+        names, to = np.unique(h[of_hot], return_inverse=True)
+        some, size = n[of_hot], len(names)
+        small = np.stack([np.bincount(to[some == r], minlength=size) for r in range(1, cutoff + 1)], 1) if size else np.zeros((0, cutoff), np.int64)
+        big = np.bincount(to, np.where(some > cutoff, some, 0), size).astype(np.int64)
+        covered = np.bincount(to, one.value.probability(w[of_hot]), size)
+        sums = [{"h": int(a), "small": b.tolist(), "big": int(c), "covered": float(d)} for a, b, c, d in zip(names, small, big, covered)]
+        struct = pa.struct([("h", pa.int64()), ("small", pa.list_(pa.int64())), ("big", pa.int64()), ("covered", pa.float64())])
+        return pa.Table.from_batches([batch(
+            part=([t.column("part")[0].as_py()], pa.int32()), n=([len(h)], pa.int32()), h=([squeeze(np.diff(h, prepend=0))], pa.binary()),
+            w=([squeeze(w)], pa.binary()), c=([squeeze(n)], pa.binary()), chunks=([t.column("chunk").to_pylist()], pa.list_(pa.int64())),
+            sizes=([sizes], pa.list_(pa.int32())), at=([squeeze(at, "<i4")], pa.binary()), n_r=([n_r.tolist()], pa.list_(pa.int64())),
+            hot=([sums], pa.list_(struct)))])
+
+    return requests.groupBy("part").applyInArrow(run, PART)
+
+
+class Weights:
+    """What a part needs beside its own counts: order 1, the discount factors, denominators and weights of hot histories."""
+
+    def __init__(self, one: Unigrams, factor: dict[int, float], hot: int):
+        self.one, self.factor, self.hot = one, factor, hot
+        self.den, self.bow = np.ones(hot), np.ones(hot)
+
+    def close(self, total, kept, covered):
+        """Denominator and backoff weight; unknown words are never covered, so their mass is the least that is left."""
+        den = denominator(total, kept)
+        return den, (1 - kept / den) / np.maximum(1 - covered, self.one.unknown)
+
+    def order_two(self, h: np.ndarray, w: np.ndarray, n: np.ndarray):
+        """log10 probability of each bigram of a part; the part's histories and their weights."""
+        kept = n.astype(float)
+        for r, v in self.factor.items():
+            kept[n == r] = v * r
+        p1 = self.one.probability(w)
+        names, to = np.unique(h, return_inverse=True)
+        den, bow = self.close(np.bincount(to, n), np.bincount(to, kept), np.bincount(to, np.where(n > 0, p1, 0)))
+        known = names < self.hot
+        den[known], bow[known] = self.den[names[known]], self.bow[names[known]]
+        return np.log10(np.where(n > 0, kept / den[to], bow[to] * p1)), names, bow
+
+
+def bigrams_of(row: dict):
+    return np.cumsum(expand(row["h"], row["n"])), expand(row["w"], row["n"]), expand(row["c"], row["n"])
 
 
-def unpack_replies(sizes: list[int], packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [np.frombuffer(zlib.decompress(x), "<i8") for x in packed]
-    keys = [np.cumsum(x[:n]) for n, x in zip(sizes, parts)] + [np.zeros(0, np.int64)]
-    return np.concatenate(keys), np.concatenate([x[n:] for n, x in zip(sizes, parts)] + [np.zeros(0, np.int64)])
+class Model:
+    """A trained model: ``words`` (``word, c, number``) and ``grams`` (a row for each part) are the stored tables of orders 1 and 2,
+    ``numbered`` the numbers of the chunks' words; ``weights`` is bounded by the distinct counts and the hot histories."""
+
+    def __init__(self, words: DataFrame, numbered: DataFrame, grams: DataFrame, weights: Weights, parts: int):
+        self.words, self.numbered, self.grams, self.weights, self.parts = words, numbered, grams, weights, parts
+
+    def replies(self) -> DataFrame:
+        """The values of the bigrams, one packed reply for each request."""
+        sent = self.words.sparkSession.sparkContext.broadcast(self.weights)
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            row = b.to_pylist()[0]
+            value = sent.value.order_two(*bigrams_of(row))[0][expand(row["at"], sum(row["sizes"]), "<i4")]
+            ends = np.cumsum(row["sizes"])
+            packed = [squeeze(value[j - n : j], "<f8") for j, n in zip(ends, row["sizes"])]
+            return batch(chunk=(row["chunks"], pa.int64()), part=([row["part"]] * len(packed), pa.int32()), n=(row["sizes"], pa.int32()), packed=(packed, pa.binary()))
+
+        return map_arrow(self.grams, run, REPLY, rows=1)
 
+    def write(self, path: str) -> None:
+        """The model as a table ``history, word, number, count, logp, bow`` partitioned by order; order 1 has a row for unknown words (no
+        word, number 1) and one for the begin of a text (number 0, no probability)."""
+        spark, weights = self.words.sparkSession, self.weights
+        sent = spark.sparkContext.broadcast(weights)
 
-def score(docs: DataFrame, train_rows, vocab_size: int = 16384, cutoff: int = 5, chunk_tokens: int = 1_000_000) -> DataFrame:
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            h, w, n = bigrams_of(b.to_pylist()[0])
+            logp, names, bow = sent.value.order_two(h, w, n)
+            s, own = n > 0, names >= sent.value.hot
+            history = np.concatenate([h[s], names[own]])
+            second = np.concatenate([np.ones(s.sum(), bool), np.zeros(own.sum(), bool)])
+            fill = lambda x, y, kind: pa.array(np.concatenate([x, y]), kind)
+            return batch(history=(history, pa.int64()), number=fill(w[s], np.zeros(own.sum(), np.int64), pa.int64()), count=fill(n[s], np.zeros(own.sum(), np.int64), pa.int64()),
+                         value=fill(logp[s], np.log10(bow[own]), pa.float64()), second=(second, pa.bool_()))
+
+        rows = stored(map_arrow(self.grams, run, "history long, number long, count long, value double, second boolean", rows=1), "katz-rows")
+        hot = spark.createDataFrame([(i, float(np.log10(x))) for i, x in enumerate(weights.bow)], "_h long, bow double")
+        bow = rows.filter("not second").select(F.col("history").alias("_h"), F.col("value").alias("bow")).unionByName(hot)
+
+        def p1(b: pa.RecordBatch) -> pa.RecordBatch:
+            logp = np.log10(sent.value.one.probability(b.column("number").to_numpy()))
+            return pa.RecordBatch.from_arrays([*b.columns, pa.array(logp)], names=[*b.schema.names, "logp"])
+
+        marks = spark.createDataFrame([(None, 0, UNK)], "word binary, c long, number long")
+        known = map_arrow(self.words.select("word", "c", "number").unionByName(marks), p1, "word binary, c long, number long, logp double", rows=65536)
+        known = known.unionByName(spark.createDataFrame([(None, 0, BOS, None)], known.schema))
+        one = known.join(bow, F.col("number") == F.col("_h"), "left").select(
+            F.lit(None).cast("long").alias("history"), "word", "number", F.col("c").alias("count"), "logp", "bow", F.lit(1).alias("order"))
+        two = rows.filter("second").select(
+            "history", F.lit(None).cast("binary").alias("word"), "number", "count", F.col("value").alias("logp"), F.lit(None).cast("double").alias("bow"), F.lit(2).alias("order"))
+        one.unionByName(two).write.partitionBy("order").parquet(path)
+
+
+def train(encoded: DataFrame, cutoff: int = 5, part_tokens: int = 1_000_000, hot: int = 4096) -> Model | None:
+    """Count, discount and normalise.  A part holds the bigrams of about ``part_tokens`` tokens; at least ``hot`` of the most frequent
+    histories are dealt out by bigram.  None if there is nothing to learn from."""
+    spark = encoded.sparkSession
+    ship(spark)
+    partial = word_counts(encoded)
+    totals = stored(partial.groupBy("word").agg(F.sum("n").alias("c")).filter("c > 0"), "katz-totals")
+    one = Unigrams({r["c"]: r["k"] for r in totals.groupBy("c").agg(F.count(F.lit(1)).alias("k")).collect()}, cutoff)  # sqrt(2 x tokens) at most
+    if not one.tokens:
+        return None
+    words = ranked(totals.withColumn("_less", -F.col("c")), [], ["_less", "word"], "number").select("word", "c", (F.col("number") + FIRST).alias("number"))
+    words = stored(words, "katz-words")
+    numbered = stored(partial.select("chunk", "id", "word").join(words.select("word", "number"), "word").select("chunk", "id", "number").mapInArrow(pack_numbers, REPLY), "katz-numbers")
+    tokens = encoded.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // part_tokens))
+    hot = max(hot, -(-tokens // HISTORY)) + FIRST  # the word of rank r has tokens / r occurrences at most
+    grams = stored(merged(ask(encoded, numbered, parts, hot), spark.sparkContext.broadcast(one), cutoff, hot), "katz-grams")
+    counts = grams.select(*(F.sum(F.col("n_r")[i]).alias(str(i)) for i in range(cutoff + 1))).first()
+    weights = Weights(one, discounts({i + 1: counts[i] for i in range(cutoff + 1) if counts[i]}, cutoff), hot)
+    sums = grams.select(F.explode("hot").alias("s")).select("s.*").groupBy("h").agg(
+        F.sum("big").alias("big"), F.sum("covered").alias("covered"), *(F.sum(F.col("small")[i]).alias(f"n{i + 1}") for i in range(cutoff)))
+    for r in sums.collect():  # a row for each hot history
+        total = r["big"] + sum(k * r[f"n{k}"] for k in range(1, cutoff + 1))
+        kept = r["big"] + sum(weights.factor[k] * k * r[f"n{k}"] for k in range(1, cutoff + 1))
+        weights.den[r["h"]], weights.bow[r["h"]] = weights.close(float(total), kept, r["covered"])
+    return Model(words, numbered, grams, weights, parts)
+
+
+def score(docs: DataFrame, train_rows, cutoff: int = 5, chunk_tokens: int = 1_000_000, part_tokens: int = 1_000_000, hot: int = 4096) -> DataFrame:
     """``doc_id, learned, n_tokens, n_known, train_tokens, base_score, score`` of every text; the model learns from the rows where
     the column ``train_rows`` is true."""
     spark = docs.sparkSession
     ship(spark)
     encoded = stored(chunks(docs, train_rows, chunk_tokens), "katz-chunks")
-    model = train(encoded, vocab_size, cutoff)
-    logp = _bigram_logp(model.factor, model.den)
-    sent = spark.sparkContext.broadcast((model.vocab, model.p1, model.bow))
-    tokens, types, rare_tokens, rare_types = model.tokens, model.types, model.rare_tokens, model.rare_types
-    # what a chunk needs to know beside its own counts: the totals of its bigrams and, below zero, of its words outside the vocabulary,
-    # where other chunks have counted some too
-    frequent = spark.createDataFrame([(w,) for w in model.vocab] or [(b"",)], "_w binary")
-    rare = model.words.filter("c <> n").join(F.broadcast(frequent), F.col("word") == F.col("_w"), "left_anti")
-    replies = model.grams.filter("c <> n").select("chunk", "gram", "c").unionByName(rare.select("chunk", (-1 - F.col("id")).cast("long").alias("gram"), "c"))
+    model = train(encoded, cutoff, part_tokens, hot)
+    one, parts, hot = (model.weights.one, model.parts, model.weights.hot) if model else (Unigrams({}, cutoff), 1, FIRST)
+    sent = spark.sparkContext.broadcast(one)
+    replies = model.numbered.unionByName(model.replies()) if model else spark.createDataFrame([], REPLY)
 
     def evaluate(left: pa.Table, right: pa.Table) -> pa.Table:
-        vocab, p1, bow = sent.value
+        one = sent.value
         c = Chunk(left.to_pylist()[0])
-        cls = c.classes({w: i for w, (i, _) in vocab.items() if w})
-        keys, vals = unpack_replies(right.column("n").to_pylist(), right.column("packed").to_pylist())
-        counts = np.bincount(c.ids[c.learn], minlength=len(c.words) + 1)
-        counts[-1 - keys[keys < 0]] = vals[keys < 0]
-        frequent = np.fromiter((vocab.get(w, (0, 0))[1] for w in [*c.words, b""]), np.int64, len(c.words) + 1)
-        counts = np.where(frequent > 0, frequent, counts)
-        counts = counts[c.ids]
+        numbers = c.numbers(right)
+        counts = one.counts(numbers)[c.ids]
         add = lambda x: np.add.reduceat(x, c.starts)
-        base, n_known = add(np.log10((counts + 1) / (tokens + types + 1))), add((counts > 0).astype(np.int64))
-        # from the shortest history up: a word in its class, the class, the class after its predecessor
-        inside = np.where(cls == UNK, np.log10((counts + 1) / (rare_tokens + rare_types + 1)), 0.0)
-        if tokens:
-            grams, at = np.unique(c.grams(cls), return_inverse=True)
-            seen = np.bincount(at[c.learn], minlength=len(grams))
-            mine = keys >= 0
-            seen[np.searchsorted(grams, keys[mine])] = vals[mine]
-            with np.errstate(divide="ignore"):
-                value = np.where(seen > 0, logp(grams, np.maximum(seen, 1)), p1[grams & ((1 << BITS) - 1)] + bow[grams >> BITS])[at]
-            inside += value
+        base, n_known = add(np.log10((counts + 1) / (one.tokens + one.types + 1))), add((counts > 0).astype(np.int64))
+        value = np.zeros(len(c.ids))
+        if one.tokens:
+            _, w, _, _, order, at = c.bigrams(numbers, parts, hot)
+            grams = np.log10(one.probability(w))
+            found = sorted((p, n, b) for p, n, b in zip(*(right.column(x).to_pylist() for x in ("part", "n", "packed"))) if p >= 0)
+            grams[order] = np.concatenate([expand(b, n, "<f8") for _, n, b in found] + [np.zeros(0)])
+            value = grams[at]
         return pa.table({
             "doc_id": pa.array(c.docs, pa.int64()), "learned": pa.array(c.train), "n_tokens": pa.array(c.sizes, pa.int64()), "n_known": pa.array(n_known),
-            "train_tokens": pa.array(np.full(len(c.docs), tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(add(inside)),
+            "train_tokens": pa.array(np.full(len(c.docs), one.tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(add(value)),
         })
 
     out = "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return encoded.groupBy("chunk").cogroup(replies.mapInArrow(pack_replies, "chunk long, n int, packed binary").groupBy("chunk")).applyInArrow(evaluate, out)
+    return encoded.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(evaluate, out)
 
 
 def learns(column: str = "doc_id", folds: int = 7, held: int = 2):

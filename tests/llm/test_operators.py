@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from fraudscope.llm import binary, bpe, decontam, katz, langid, quality, simhash, spans, suffix, warc
+from fraudscope.llm import binary, bpe, common, decontam, katz, langid, quality, simhash, spans, suffix, warc
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -217,74 +217,69 @@ def test_damaged_record_is_noticed(tmp_path):
 
 
 # -- Katz ------------------------------------------------------------------
-def brute_katz(data, vocab_size, cutoff=5):
+def brute_katz(data, cutoff=5):
     toks = [(i, WORDS.findall(x.translate(LOW)) + [None], not (i is not None and zlib.crc32(str(i).encode()) % 7 == 2)) for i, x in data]
     c = collections.Counter(w for _, t, learn in toks if learn for w in t)
     n, v = sum(c.values()), len(c)
-    top = {w for w, _ in sorted(((w, k) for w, k in c.items() if w is not None), key=lambda r: (-r[1], r[0].encode()))[:vocab_size]} | ({None} if c[None] else set())
-    cls = lambda w: w if w in top or w is None else "UNK"
-    rare_n, rare_v = sum(k for w, k in c.items() if w not in top), sum(w not in top for w in c)
-    p1 = {w: c[w] / (n + 1) for w in top} | {"UNK": (rare_n + 1) / (n + 1)}
+    d1 = katz.discounts(collections.Counter(c.values()), cutoff)
+    kept1 = sum(d1.get(k, 1) * k for k in c.values())
+    den1 = n if kept1 < n * (1 - 1e-9) else n + 1
+    p1 = {w: d1.get(k, 1) * k / den1 for w, k in c.items()} | {"UNK": 1 - kept1 / den1}
+    name = lambda w: w if w in c else "UNK"
     big = collections.Counter()
     for _, t, learn in toks:
         if learn:
-            big.update(zip(["BOS", *map(cls, t[:-1])], map(cls, t)))
+            big.update(zip(["BOS", *t[:-1]], t))
     d = katz.discounts(collections.Counter(big.values()), cutoff)
     hist = collections.defaultdict(dict)
     for (h, w), k in big.items():
         hist[h][w] = k
 
     def prob(h, w):
-        """Class probability after a class."""
         seen = hist.get(h, {})
         if not seen:
-            return p1.get(w, 0)
+            return p1[w]
         total, kept, cov = sum(seen.values()), sum(d.get(k, 1) * k for k in seen.values()), sum(p1[x] for x in seen)
-        den = kept if cov > 1 - 1e-9 else total if kept < total * (1 - 1e-9) else total + 1
-        if w in seen:
-            return d.get(seen[w], 1) * seen[w] / den
-        return (1 - kept / den) / (1 - cov) * p1[w]
+        den = total if kept < total * (1 - 1e-9) else total + 1
+        return d.get(seen[w], 1) * seen[w] / den if w in seen else (1 - kept / den) / (1 - cov) * p1[w]
 
     out = []
     for i, t, learn in toks:
-        s, prev = 0.0, "BOS"
-        for w in t:
-            k = cls(w)
-            s += math.log10(prob(prev, k)) if n else 0
-            if k == "UNK":
-                s += math.log10((c[w] + 1) / (rare_n + rare_v + 1))
-            prev = k
+        s = sum(math.log10(prob(h, w)) for h, w in zip(["BOS", *map(name, t[:-1])], map(name, t))) if n else 0.0
         out.append((i, not learn, len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), s))
     return out, hist, prob, p1
 
 
-@pytest.mark.parametrize("vocab,chunk", [(16384, 500), (25, 100_000)])
-def test_katz_equals_brute_force(docs, empty, vocab, chunk):
+@pytest.mark.parametrize("chunk,part,hot", [(500, 300, 4), (100_000, 1_000_000, 4096), (3_000, 2_000, 60)])
+def test_katz_equals_brute_force(docs, empty, chunk, part, hot):
+    """Every training word keeps its own bigrams, whatever the chunks, the parts and the histories dealt out by bigram."""
     data = inputs(docs)
-    want, hist, prob, p1 = brute_katz(data, vocab)
-    got = rows(katz.held_out_scores(docs, vocab_size=vocab, chunk_tokens=chunk), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    want, hist, prob, p1 = brute_katz(data)
+    got = rows(katz.held_out_scores(docs, chunk_tokens=chunk, part_tokens=part, hot=hot), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     assert [r[:5] for r in got] == [r[:5] for r in ordered(want)]
     assert np.allclose([r[5:] for r in got], [r[5:] for r in ordered(want)], atol=1e-6)
-    for h in hist:  # exactly normalised over the classes
+    for h in list(hist)[:300]:  # exactly normalised over all words and the unknown
         assert abs(sum(prob(h, w) for w in p1) - 1) < 1e-9
     assert katz.held_out_scores(empty).count() == 0
 
 
 def test_katz_model_table(spark, docs, tmp_path):
-    encoded = katz.chunks(docs, katz.learns(), 1000).persist()
-    katz.train(encoded, 50).write(spark, str(tmp_path / "m"))
+    """The written table alone, by its words, gives the brute force's probabilities, and every history adds up to one."""
+    katz.train(common.stored(katz.chunks(docs, katz.learns(), 1000), "test"), hot=20).write(str(tmp_path / "m"))
     m = spark.read.parquet(str(tmp_path / "m")).collect()
-    one = {r["gram"]: r for r in m if r["order"] == 1}
+    _, hist, prob, want = brute_katz(inputs(docs))
+    one = {r["number"]: r for r in m if r["order"] == 1}
+    name = {k: "BOS" if k == katz.BOS else "UNK" if k == katz.UNK else bytes(r["word"]).decode() or None for k, r in one.items()}
+    p1 = {k: 10 ** r["logp"] for k, r in one.items() if r["logp"] is not None}
+    assert {name[k]: pytest.approx(p) for k, p in p1.items()} == want
     two = collections.defaultdict(dict)
     for r in m:
         if r["order"] == 2:
-            two[r["gram"] >> katz.BITS][r["gram"] & ((1 << katz.BITS) - 1)] = 10 ** r["logp"]
-    p1 = {k: 10 ** r["logp"] for k, r in one.items() if r["logp"] is not None}
-    assert abs(sum(p1.values()) - 1) < 1e-9
+            two[r["history"]][r["number"]] = 10 ** r["logp"]
+    assert {name[h]: {name[w] for w in seen} for h, seen in two.items()} == {h: set(seen) for h, seen in hist.items()}
     for h, seen in two.items():
-        w = 10 ** one[h]["bow"] if one[h]["bow"] is not None else 0
-        assert abs(sum(seen.values()) + w * sum(p for k, p in p1.items() if k not in seen) - 1) < 1e-9
-    encoded.unpersist()
+        assert all(p == pytest.approx(prob(name[h], name[w])) for w, p in seen.items())
+        assert abs(sum(seen.values()) + 10 ** one[h]["bow"] * sum(p for k, p in p1.items() if k not in seen) - 1) < 1e-9
 
 
 def test_nothing_to_learn(spark):
