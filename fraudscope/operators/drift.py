@@ -9,6 +9,9 @@ reference rows               numeric (> 5 values)  categorical / <= 5 values
 > 1000                       Wasserstein / std >= .1  Jensen-Shannon distance >= .1
 ===========================  ====================  ==========================
 
+``DriftRule`` holds that choice as parameters: its limits, or one test for every size
+of table.  The report names the test that each column got.
+
 PSI (``method="psi"``) uses 10 bins cut at the reference's quantiles, open at both
 ends, for numeric columns and the categories for categorical ones; empty bins count
 as 0.0001; drift when PSI >= threshold.
@@ -253,6 +256,37 @@ def psi(reference: DataFrame, current: DataFrame, col: str, numeric: bool, bins:
 
 
 # ----------------------------------------------------------------------------- report
+@dataclass(frozen=True)
+class DriftRule:
+    """Which test a column gets.
+
+    ``numeric``: ``by_rows`` (KS up to ``small_rows`` reference rows, else Wasserstein), ``ks`` or ``wasserstein``.
+    ``categorical``: ``by_rows`` (chi-square up to ``small_rows``, else Jensen-Shannon), ``chisquare`` (two values: z) or ``jensenshannon``.
+    Numbers of at most ``few_values`` distinct values are categories.
+    """
+    numeric: str = "by_rows"
+    categorical: str = "by_rows"
+    small_rows: int = 1000
+    few_values: int = 5
+
+    def __post_init__(self):
+        if self.numeric not in ("by_rows", "ks", "wasserstein") or self.categorical not in ("by_rows", "chisquare", "jensenshannon"):
+            raise ValueError(f"unknown drift test in {self}")
+
+    def is_number(self, n_unique: int) -> bool:
+        return n_unique > self.few_values
+
+    def numeric_test(self, n_ref: int) -> str:
+        return self.numeric if self.numeric != "by_rows" else "ks" if n_ref <= self.small_rows else "wasserstein"
+
+    def categorical_test(self, n_ref: int, n_unique: int) -> str:
+        test = self.categorical if self.categorical != "by_rows" else "chisquare" if n_ref <= self.small_rows else "jensenshannon"
+        return "z" if test == "chisquare" and n_unique <= 2 else test
+
+
+DEFAULT_RULE = DriftRule()
+
+
 @dataclass
 class ColumnDrift:
     column_name: str
@@ -265,28 +299,28 @@ class ColumnDrift:
 
 
 def column_drift(reference: DataFrame, current: DataFrame, col: str, method: str = "auto",
-                 psi_threshold: float = DRIFT_THRESHOLD) -> ColumnDrift:
+                 psi_threshold: float = DRIFT_THRESHOLD, rule: DriftRule = DEFAULT_RULE) -> ColumnDrift:
     numeric = is_numeric(dict(reference.dtypes)[col])
     prof = _pair(reference, current, col, numeric).agg(
         F.count_if("is_ref").alias("nr"), F.count_distinct("v").alias("nu")).first()
     n_ref, n_unique = int(prof["nr"]), int(prof["nu"])
     ctype = "num" if numeric else "cat"
     if method == "psi":
-        s = psi(reference, current, col, numeric and n_unique > 5)
+        s = psi(reference, current, col, numeric and rule.is_number(n_unique))
         return ColumnDrift(col, ctype, "psi", s, None, psi_threshold, s >= psi_threshold)
-    small = n_ref <= 1000
-    if numeric and n_unique > 5:
-        if small:
+    if numeric and rule.is_number(n_unique):
+        if rule.numeric_test(n_ref) == "ks":
             d, n, m = ks_statistic(reference, current, col)
             p = ks_pvalue(d, n, m)
             return ColumnDrift(col, ctype, "ks", d, p, 0.05, p < 0.05)
         w = wasserstein_normed(reference, current, col)
         return ColumnDrift(col, ctype, "wasserstein", w, None, 0.1, w >= 0.1)
-    if small:
-        if n_unique > 2:
-            s, dof = chi2_statistic(reference, current, col)
-            p = chi2_sf(s, dof)
-            return ColumnDrift(col, ctype, "chisquare", s, p, 0.05, p < 0.05)
+    test = rule.categorical_test(n_ref, n_unique)
+    if test == "chisquare":
+        s, dof = chi2_statistic(reference, current, col)
+        p = chi2_sf(s, dof)
+        return ColumnDrift(col, ctype, "chisquare", s, p, 0.05, p < 0.05)
+    if test == "z":
         p = z_test_pvalue(reference, current, col)
         return ColumnDrift(col, ctype, "z", float("nan"), p, 0.05, p < 0.05)
     js = js_distance(reference, current, col, None)
@@ -397,11 +431,12 @@ def _z_from(st: dict) -> float:
 
 
 def drift_report(reference: DataFrame, current: DataFrame, columns: list[str] | None = None,
-                 method: str = "auto", digits: int = 6, psi_threshold: float = DRIFT_THRESHOLD) -> DataFrame:
+                 method: str = "auto", digits: int = 6, psi_threshold: float = DRIFT_THRESHOLD,
+                 rule: DriftRule = DEFAULT_RULE) -> DataFrame:
     """Per-column drift table (D1/D2/D4-D8) for the columns both tables share.
 
     All numeric columns are profiled in one pass (value counts + grouped running sums),
-    all categorical-like columns (strings and numerics with <= 5 distinct values) in a
+    all categorical-like columns (strings and numerics of few distinct values) in a
     second; only per-column scalars reach the driver.  ``method="psi"`` runs the PSI
     operator per column instead.
     """
@@ -410,19 +445,19 @@ def drift_report(reference: DataFrame, current: DataFrame, columns: list[str] |
         columns = [c for c in reference.columns if c in cur_cols]
     types = dict(reference.dtypes)
     if method == "psi":
-        found = [column_drift(reference, current, c, "psi", psi_threshold) for c in columns]
+        found = [column_drift(reference, current, c, "psi", psi_threshold, rule) for c in columns]
         rows = [(r.column_name, r.column_type, r.stattest, None if math.isnan(r.statistic) else round(r.statistic, digits), None, r.threshold, bool(r.drift_detected)) for r in found]
         return reference.sparkSession.createDataFrame(rows, DRIFT_SCHEMA)
 
     nums = [c for c in columns if is_numeric(types[c])]
     num_stats = numeric_drift_stats(reference, current, nums)
-    cat_cols = [c for c in columns if c not in nums] + [c for c in nums if num_stats[c]["nu"] <= 5]
-    rows = report_rows(columns, num_stats, categorical_drift_stats(reference, current, cat_cols), digits)
+    cat_cols = [c for c in columns if c not in nums] + [c for c in nums if not rule.is_number(num_stats[c]["nu"])]
+    rows = report_rows(columns, num_stats, categorical_drift_stats(reference, current, cat_cols), digits, rule)
     return reference.sparkSession.createDataFrame(rows, DRIFT_SCHEMA)
 
 
-def report_rows(columns: list[str], num_stats: dict[str, dict], cat_stats: dict[str, dict], digits: int = 6) -> list[tuple]:
-    """One row of ``DRIFT_SCHEMA`` a column, by the default choice of tests."""
+def report_rows(columns: list[str], num_stats: dict[str, dict], cat_stats: dict[str, dict], digits: int = 6, rule: DriftRule = DEFAULT_RULE) -> list[tuple]:
+    """One row of ``DRIFT_SCHEMA`` a column, with the tests of ``rule``."""
     rows = []
 
     def emit(col, ctype, test, stat, p, thr, drift):
@@ -432,9 +467,9 @@ def report_rows(columns: list[str], num_stats: dict[str, dict], cat_stats: dict[
 
     for c in columns:
         ctype = "num" if c in num_stats else "cat"
-        if c in num_stats and num_stats[c]["nu"] > 5:
+        if c in num_stats and rule.is_number(num_stats[c]["nu"]):
             st = num_stats[c]
-            if st["nr"] <= 1000:
+            if rule.numeric_test(st["nr"]) == "ks":
                 p = ks_pvalue(st["d"], st["nr"], st["nc"])
                 emit(c, ctype, "ks", st["d"], p, 0.05, p < 0.05)
             else:
@@ -444,13 +479,14 @@ def report_rows(columns: list[str], num_stats: dict[str, dict], cat_stats: dict[
         st = cat_stats[c]
         if "js" not in st:  # one side empty
             emit(c, ctype, "none", float("nan"), None, 0.0, False)
-        elif st["nr"] <= 1000:
-            if st["nu"] > 2:
-                p = chi2_sf(st["chi"], max(st["nu"] - 1, 0))
-                emit(c, ctype, "chisquare", st["chi"], p, 0.05, p < 0.05)
-            else:
-                p = _z_from(st)
-                emit(c, ctype, "z", float("nan"), p, 0.05, p < 0.05)
+            continue
+        test = rule.categorical_test(st["nr"], st["nu"])
+        if test == "chisquare":
+            p = chi2_sf(st["chi"], max(st["nu"] - 1, 0))
+            emit(c, ctype, test, st["chi"], p, 0.05, p < 0.05)
+        elif test == "z":
+            p = _z_from(st)
+            emit(c, ctype, test, float("nan"), p, 0.05, p < 0.05)
         else:
             emit(c, ctype, "jensenshannon", st["js"], None, 0.1, st["js"] >= 0.1)
     return rows

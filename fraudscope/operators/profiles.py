@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .drift import DRIFT_SCHEMA, categorical_count_stats, is_numeric, numeric_count_stats, report_rows
+from .drift import DEFAULT_RULE, DRIFT_SCHEMA, DriftRule, categorical_count_stats, is_numeric, numeric_count_stats, report_rows
 from .prefix import cumulative
 
 PROFILE_SCHEMA = "col string, kind string, num double, text string, n long"
@@ -89,7 +89,7 @@ def histogram(profile: DataFrame, bins: int = 10) -> DataFrame:
     return counted.select("col", "bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
-def drift_from_profiles(reference: DataFrame, current: DataFrame, digits: int = 6) -> DataFrame:
+def drift_from_profiles(reference: DataFrame, current: DataFrame, digits: int = 6, rule: DriftRule = DEFAULT_RULE) -> DataFrame:
     """The drift report of two profiles (``drift.DRIFT_SCHEMA``) for the columns they share; ``current`` may be the profile of a window of the log."""
     kinds = {r["col"]: r["kind"] for r in reference.select("col", "kind").distinct().collect()}  # one row a column
     shared = sorted(r["col"] for r in current.select("col").distinct().collect() if r["col"] in kinds)
@@ -111,9 +111,9 @@ def drift_from_profiles(reference: DataFrame, current: DataFrame, digits: int =
         total = vc.groupBy("col").agg(F.sum("r").alias("_n"), (F.sum(F.col("v") * F.col("r")) / F.sum("r")).alias("_m")).withColumnRenamed("col", "_col")
         var = vc.join(F.broadcast(total), F.col("col") == F.col("_col")).groupBy("col").agg(F.sqrt(F.sum(F.col("r") * (F.col("v") - F.col("_m")) ** 2) / F.max("_n")).alias("s"))
         num_stats = numeric_count_stats(vc, nums, {r["col"]: float(r["s"] or 0.0) for r in var.collect()})
-    cats = [c for c in shared if c not in nums] + [c for c in nums if num_stats[c]["nu"] <= 5]
+    cats = [c for c in shared if c not in nums] + [c for c in nums if not rule.is_number(num_stats[c]["nu"])]
     cat_stats = categorical_count_stats(counts(False, cats), cats) if cats else {}
-    return reference.sparkSession.createDataFrame(report_rows(shared, num_stats, cat_stats, digits), DRIFT_SCHEMA)
+    return reference.sparkSession.createDataFrame(report_rows(shared, num_stats, cat_stats, digits, rule), DRIFT_SCHEMA)
 
 
 # ----------------------------------------------------------------------------- correlations

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import common_columns
-from ..operators.drift import drift_report, drift_summary
+from ..operators.drift import DEFAULT_RULE, DriftRule, drift_report, drift_summary
 from ..operators.profiles import drift_from_profiles, value_profile
 from ..schemas import DRIFT_MIN_ROWS, DRIFT_THRESHOLD
 
@@ -20,7 +20,7 @@ STATUS_SCHEMA = ("model string, status string, n_current long, n_features long,
 
 
 def drift_for_model(model: str, reference: DataFrame | None, current: DataFrame | None, min_rows: int = DRIFT_MIN_ROWS,
-                    threshold: float = DRIFT_THRESHOLD, method: str = "auto"):
+                    threshold: float = DRIFT_THRESHOLD, method: str = "auto", rule: DriftRule = DEFAULT_RULE):
     """Returns (status row tuple, per-column report or None)."""
     if reference is None:
         return (model, "no_reference", None, None, None, None, None, None), None
@@ -30,7 +30,7 @@ def drift_for_model(model: str, reference: DataFrame | None, current: DataFrame
     if n < min_rows:
         return (model, "not_enough_rows", n, None, None, None, None, None), None
     cols = common_columns(reference, current)
-    report = drift_report(reference.select(*cols), current.select(*cols), cols, method=method)
+    report = drift_report(reference.select(*cols), current.select(*cols), cols, method=method, rule=rule)
     s = drift_summary(report, alert_threshold=threshold).first()
     n_cur = current.count()
     return (model, "ok", n_cur, s["n_features"], s["n_drifted_features"], s["drift_share"], s["drift_detected"],
@@ -38,14 +38,14 @@ def drift_for_model(model: str, reference: DataFrame | None, current: DataFrame
 
 
 def run_drift_detection(spark: SparkSession, pairs: dict[str, tuple[DataFrame | None, DataFrame | None]],
-                        method: str = "auto") -> DataFrame:
+                        method: str = "auto", rule: DriftRule = DEFAULT_RULE) -> DataFrame:
     """D3: one status row per model name in ``pairs`` ({model: (reference, current)})."""
-    rows = [drift_for_model(m, r, c, method=method)[0] for m, (r, c) in pairs.items()]
+    rows = [drift_for_model(m, r, c, method=method, rule=rule)[0] for m, (r, c) in pairs.items()]
     return spark.createDataFrame(rows, STATUS_SCHEMA)
 
 
 def run_profile_drift(spark: SparkSession, pairs: dict[str, tuple[DataFrame | None, DataFrame | None]],
-                      min_rows: int = DRIFT_MIN_ROWS, threshold: float = DRIFT_THRESHOLD) -> DataFrame:
+                      min_rows: int = DRIFT_MIN_ROWS, threshold: float = DRIFT_THRESHOLD, rule: DriftRule = DEFAULT_RULE) -> DataFrame:
     """The same status rows from ``{model: (stored reference profile, window of the log)}``: the window is read once, the training table never."""
     rows = []
     for model, (profile, window) in pairs.items():
@@ -57,6 +57,6 @@ def run_profile_drift(spark: SparkSession, pairs: dict[str, tuple[DataFrame | No
         if n < min_rows:
             rows.append((model, "not_enough_rows", n, *[None] * 5))
             continue
-        s = drift_summary(drift_from_profiles(profile, current), alert_threshold=threshold).first()
+        s = drift_summary(drift_from_profiles(profile, current, rule=rule), alert_threshold=threshold).first()
         rows.append((model, "ok", n, s["n_features"], s["n_drifted_features"], s["drift_share"], s["drift_detected"], s["alert"]))
     return spark.createDataFrame(rows, STATUS_SCHEMA)

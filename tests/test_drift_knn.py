@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fraudscope.operators import drift as D
 from fraudscope.operators.knn import knn_same_class
+from fraudscope.operators.profiles import drift_from_profiles, value_profile
 from fraudscope.operators.sampling import smote
 
 
@@ -87,6 +88,31 @@ def test_batched_report_equals_per_column(spark):
                 assert abs(got["statistic"] - round(one.statistic, 6)) < 1e-9, col
 
 
+def test_a_fixed_rule_gives_one_test_at_every_size(spark):
+    rows = [(float(i % 40), float(i % 3), "ab"[i % 2], "xyz"[i % 3]) for i in range(300)]
+    moved = [(float(i % 40) + 3, float(i % 3), "ab"[(i // 3) % 2], "xyz"[i % 2]) for i in range(120)]
+    schema = "a double, b double, s string, t string"
+    c = spark.createDataFrame(moved, schema)
+    distances = D.DriftRule(numeric="wasserstein", categorical="jensenshannon")
+    p_values = D.DriftRule(numeric="ks", categorical="chisquare", few_values=2)
+    found = []
+    for mult in (1, 5):
+        r = spark.createDataFrame(rows * mult, schema)
+        for rule, want in ((distances, ["wasserstein", *["jensenshannon"] * 3]), (p_values, ["ks", "ks", "z", "chisquare"])):
+            rep = sorted(D.drift_report(r, c, rule=rule).collect())
+            assert [x["stattest"] for x in rep] == want
+            for x in rep:
+                one = D.column_drift(r, c, x["column_name"], rule=rule)
+                assert one.stattest == x["stattest"] and one.drift_detected == x["drift_detected"]
+            profiled = sorted(drift_from_profiles(value_profile(r), value_profile(c), rule=rule).collect())
+            assert [tuple(x)[:3] for x in profiled] == [tuple(x)[:3] for x in rep]
+            if rule is distances:
+                found.append([(x["statistic"], x["drift_detected"]) for x in rep])
+    assert found[0] == found[1]  # five copies of the reference are at the same distances
+    with pytest.raises(ValueError):
+        D.DriftRule(numeric="t")
+
+
 def test_knn_blocked_equals_brute_force(spark):
     rng = np.random.default_rng(11)
     pts = rng.normal(size=(240, 6)).round(3)
