@@ -263,6 +263,16 @@ def test_katz_equals_brute_force(docs, empty, chunk, part, hot):
     assert katz.held_out_scores(empty).count() == 0
 
 
+def test_katz_hot_words_and_one_long_text(spark):
+    """One history with most of the bigrams, one text of many chunks' length, words with one CRC-32, a part without training words."""
+    docs = frame(spark, ["the The the"] * 200 + ["the " * 5000 + " ".join(f"the w{i}" for i in range(3000)), "plumless buckeroo plumless", "only here", ""])
+    want = ordered(brute_katz(inputs(docs))[0])
+    for hot in (1, 4096):
+        got = rows(katz.held_out_scores(docs, chunk_tokens=64, part_tokens=100, hot=hot), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+        assert [r[:5] for r in got] == [r[:5] for r in want]
+        assert np.allclose([r[5:] for r in got], [r[5:] for r in want], atol=1e-6)
+
+
 def test_katz_model_table(spark, docs, tmp_path):
     """The written table alone, by its words, gives the brute force's probabilities, and every history adds up to one."""
     katz.train(common.stored(katz.chunks(docs, katz.learns(), 1000), "test"), hot=20).write(str(tmp_path / "m"))
