@@ -7,9 +7,12 @@ at training time, and stand for the table afterwards: a drift run reads the stor
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .drift import DEFAULT_RULE, DRIFT_SCHEMA, DriftRule, categorical_count_stats, is_numeric, numeric_count_stats, report_rows
 from .prefix import cumulative
 
@@ -120,31 +123,46 @@ def drift_from_profiles(reference: DataFrame, current: DataFrame, digits: int =
 def spearman(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     """``column_a, column_b, spearman``: rank correlation of each pair of numeric columns over the rows that have both.
 
-    Ranks are averages over equal values, taken from running counts of distinct values; a row gets its ranks by a join on the value.  A pair is ranked
-    over the rows that have both values, in one pass for all pairs."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
+    Ranks are averages over equal values, taken from running counts of distinct values.  A pair is ranked over the rows that have both values:
+    the values of a column are counted once, with one count for each other column's presence, so one scan serves all pairs.  The counts and
+    the ranks are stored (one row a value); a second scan looks up the ranks of each row and adds up all pairs, and no row is multiplied."""
+    spark = df.sparkSession
+    schema = "column_a string, column_b string, spearman double"
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    if not pairs:
+        return spark.createDataFrame([], schema)
+    at = range(len(columns))
+    rows = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(f"x{i}") for i, c in enumerate(columns)])
+    there = [F.col(f"x{i}").isNotNull() for i in at]
+    cells = rows.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"x{i}").alias("v")) for i in at])).alias("e"), *[there[j].alias(f"t{j}") for j in at])
+    counts = cells.filter("e.v IS NOT NULL").groupBy("e.c", "e.v").agg(*[F.count_if(f"t{j}").alias(f"k{j}") for j in at])
+    base = scratch_path(spark, f"ranks-{uuid.uuid4().hex}")
+    counts.write.parquet(f"{base}/counts")
+    run = cumulative(spark.read.parquet(f"{base}/counts"), "v", [f"k{j}" for j in at], groups=["c"])
+    run.select("c", "v", *[(F.col(f"cum_k{j}") - (F.col(f"k{j}") - 1) / 2.0).alias(f"r{j}") for j in at]).write.partitionBy("c").parquet(f"{base}/ranks")
+    found = {r["c"] for r in spark.read.parquet(f"{base}/counts").select("c").distinct().collect()}  # one row a column
+    pairs = [p for p in pairs if set(p) <= found]
     if not pairs:
-        return df.sparkSession.createDataFrame([], "column_a string, column_b string, spearman double")
-    x = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    both = F.array(*[F.struct(F.lit(f"{i}").alias("pair"), x[a].alias("x"), x[b].alias("y")) for i, (a, b) in enumerate(pairs)])
-    rows = df.select(F.explode(both).alias("e")).select("e.*").filter("x IS NOT NULL AND y IS NOT NULL")
-    rows = rows.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n"))  # equal rows together: a hot pair of values is one row
-
-    def ranks(c: str) -> DataFrame:
-        counts = rows.groupBy("pair", c).agg(F.sum("n").alias("k"))
-        run = cumulative(counts, c, ["k"], groups=["pair"])
-        return run.select(F.col("pair").alias(f"_p{c}"), F.col(c).alias(f"_v{c}"), (F.col("cum_k") - (F.col("k") - 1) / 2.0).alias(f"r{c}"))
-
-    ranked = rows
-    for c in ("x", "y"):
-        ranked = ranked.join(ranks(c), (F.col("pair") == F.col(f"_p{c}")) & (F.col(c) == F.col(f"_v{c}")))
-    # ranks of n rows have the mean (n + 1) / 2
-    sums = ranked.groupBy("pair").agg(
-        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rx") * F.col("ry")).alias("xy"), F.sum(F.col("n") * F.col("rx") * F.col("rx")).alias("xx"), F.sum(F.col("n") * F.col("ry") * F.col("ry")).alias("yy"))
-    mean = F.col("n") * ((F.col("n") + 1) / 2.0) * ((F.col("n") + 1) / 2.0)
-    rho = F.try_divide(F.col("xy") - mean, F.sqrt((F.col("xx") - mean) * (F.col("yy") - mean)))
-    names = F.create_map(*[v for i, (a, b) in enumerate(pairs) for v in (F.lit(f"{i}"), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))])
-    return sums.select(names[F.col("pair")]["a"].alias("column_a"), names[F.col("pair")]["b"].alias("column_b"), F.round(rho, digits).alias("spearman"))
+        return spark.createDataFrame([], schema)
+    for i in sorted(found):
+        ranks = spark.read.parquet(f"{base}/ranks/c={i}")  # its own size decides how it is joined
+        rows = rows.join(ranks.select(F.col("v").alias(f"v{i}"), *[F.col(f"r{j}").alias(f"r{i}_{j}") for j in at if j != i]), F.col(f"x{i}") == F.col(f"v{i}"), "left")
+    sums = []
+    for i, j in pairs:
+        x, y = F.col(f"r{i}_{j}"), F.col(f"r{j}_{i}")
+        # a row without one of the two has no share; ranks of n rows have the mean (n + 1) / 2
+        sums.append((F.count_if(there[i] & there[j]), *[F.sum(F.when(there[i] & there[j], v)) for v in (x * y, x * x, y * y)]))
+    one = rows.agg(*[v.alias(f"{name}{k}") for k, vs in enumerate(sums) for name, v in zip(("n", "xy", "xx", "yy"), vs)])
+
+    def figure(k: int):
+        n, xy, xx, yy = (F.col(f"{name}{k}") for name in ("n", "xy", "xx", "yy"))
+        mean = n * ((n + 1) / 2.0) * ((n + 1) / 2.0)
+        rho = F.try_divide(xy - mean, F.sqrt((xx - mean) * (yy - mean)))
+        i, j = pairs[k]
+        return F.struct(F.lit(columns[i]).alias("column_a"), F.lit(columns[j]).alias("column_b"), F.round(rho, digits).alias("spearman"), n.alias("n"))
+
+    out = one.select(F.explode(F.array(*[figure(k) for k in range(len(pairs))])).alias("e")).select("e.*")
+    return out.filter("n > 0").drop("n")
 
 
 def contingency(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import uuid
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,18 @@ def test_exact_ks_meets_the_limit_for_large_samples():
     for d in (0.02, 0.05, 0.08):
         assert D.ks_pvalue_exact(d, 2000, 1500) == pytest.approx(D.ks_pvalue_asymptotic(d, 2000, 1500), abs=0.02)
     assert D.ks_pvalue(0.01, 20_000, 20_000) == D.ks_pvalue_asymptotic(0.01, 20_000, 20_000)
+
+
+def test_spearman_counts_each_value_once_for_all_pairs(spark):
+    """No row is multiplied by the pairs, and pairs without common rows are left out."""
+    rows = [(float(i % 7), float(i * i % 11) if i % 3 else None, float(i % 5) if i % 4 else float("nan"), None) for i in range(90)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = {(r[0], r[1]): r[2] for r in P.spearman(df, ["a", "b", "c", "d"]).collect()}
+    want = {}
+    frame = pd.DataFrame(rows, columns=["a", "b", "c", "d"]).astype(float)
+    for x, y in (("a", "b"), ("a", "c"), ("b", "c")):
+        both = frame[[x, y]].dropna().rank()
+        want[x, y] = round(float(np.corrcoef(both[x], both[y])[0, 1]), 6)
+    assert got == pytest.approx(want)
+    plan = P.spearman(df, ["a", "b", "c"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") <= 1  # of the figures; rows are not exploded into pairs
