@@ -140,3 +140,20 @@ def test_smote_balances_and_interpolates(spark):
     assert again == sorted(tuple(r["vec"]) for r in synth)  # deterministic
     with pytest.raises(ValueError):
         smote(df.filter("y = 0 OR id < 103"), "y", "v", "id", k=5)
+
+
+def test_wide_blocks_score_the_asked_buckets_only():
+    from fraudscope.operators import knn as K
+
+    rng = np.random.default_rng(3)
+    bucket = np.sort(rng.integers(0, 9, 400))
+    ids, vecs, block = np.arange(400), rng.integers(0, 6, (400, 3)).astype(float), bucket.astype(np.int64) * 2**32
+    lo = rng.integers(0, 6, 300)
+    hi, own = lo + rng.integers(0, 4, 300), rng.integers(0, 9, 300).astype(np.int64) * 2**32
+    q, limits = rng.integers(0, 6, (300, 3)).astype(float), rng.uniform(1, 4, 300)
+    got_ids, got_d = K._top_k(np.arange(300), q, ids, vecs, 5, False, limits, (lo, hi, own, bucket, block))
+    for i in range(300):
+        d = np.sqrt(((vecs - q[i]) ** 2).sum(axis=1))
+        ok = (bucket >= lo[i]) & (bucket <= hi[i]) & (block != own[i]) & (d <= limits[i])
+        want = sorted(zip(d[ok], ids[ok]))[:5]
+        assert list(got_ids[i]) == [w[1] for w in want] and np.allclose(got_d[i], [w[0] for w in want])
