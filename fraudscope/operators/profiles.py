@@ -110,7 +110,10 @@ def drift_from_profiles(reference: DataFrame, current: DataFrame, digits: int =
 
     num_stats = {}
     if nums:
-        vc = counts(True, nums)
+        # read by every statistic below: merged once and stored (a row for each value of a column)
+        path = scratch_path(reference.sparkSession, f"counts-{uuid.uuid4().hex}")
+        counts(True, nums).write.parquet(path)
+        vc = reference.sparkSession.read.schema("col string, v double, r long, c long").parquet(path)
         total = vc.groupBy("col").agg(F.sum("r").alias("_n"), (F.sum(F.col("v") * F.col("r")) / F.sum("r")).alias("_m")).withColumnRenamed("col", "_col")
         var = vc.join(F.broadcast(total), F.col("col") == F.col("_col")).groupBy("col").agg(F.sqrt(F.sum(F.col("r") * (F.col("v") - F.col("_m")) ** 2) / F.max("_n")).alias("s"))
         num_stats = numeric_count_stats(vc, nums, {r["col"]: float(r["s"] or 0.0) for r in var.collect()})

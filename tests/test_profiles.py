@@ -133,3 +133,16 @@ def test_spearman_counts_each_value_once_for_all_pairs(spark):
     assert got == pytest.approx(want)
     plan = P.spearman(df, ["a", "b", "c"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") <= 1  # of the figures; rows are not exploded into pairs
+
+
+def test_counts_of_both_profiles_are_merged_once(spark, monkeypatch):
+    """Every numeric statistic of a drift run reads stored counts; none merges the profiles again."""
+    seen = []
+    stats = P.numeric_count_stats
+    monkeypatch.setattr(P, "numeric_count_stats", lambda vc, *a: seen.append(vc) or stats(vc, *a))
+    old, new = (spark.createDataFrame([(float(i % m), "ab"[i % 2]) for i in range(200)] + [(None, None)], "x double, t string") for m in (50, 7))
+    direct = P.drift_from_profiles(P.value_profile(old), P.value_profile(new)).collect()
+    assert sorted(r["column_name"] for r in direct) == ["t", "x"]
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and "Aggregate" not in plan and "Union" not in plan
+    assert sum(r["r"] for r in seen[0].collect()) == sum(r["c"] for r in seen[0].collect()) == 200
