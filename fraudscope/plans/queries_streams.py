@@ -26,9 +26,11 @@ def rule_credit(requests):
     return finalize_credit(requests, "p0", "p1", "p2", "rules-v1", with_map=False).drop("p0", "p1", "p2")
 
 
-def _arriving(spark, df, path: str, files: int = 3):
-    """The requests as files of a stream, in order of time, and a last request a day after the others that moves the watermark past them."""
-    df.repartitionByRange(files, "timestamp").write.mode("overwrite").parquet(path)
+def _arriving(spark, df, path: str):
+    """The requests as files of a stream, in order of time (as many as the session has partitions for), and a last request a day after the others that
+    moves the watermark past them."""
+    df.repartitionByRange("timestamp").write.mode("overwrite").parquet(path)
+    df = spark.read.schema(df.schema).parquet(path)  # the last request is made from the files, not from the tables again
     last = df.select([F.lit("end").alias(c) if c == "request_id" else (F.max(c) + F.expr("INTERVAL 1 DAY")).alias(c) if c == "timestamp" else F.any_value(c).alias(c) for c in df.columns])
     last.write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).parquet(path)

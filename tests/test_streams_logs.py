@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fraudscope.plans.queries_streams import rule_credit, rule_fraud
+from fraudscope.plans.queries_streams import _arriving, rule_credit, rule_fraud
 from fraudscope.plans.scoring import credit_log_rows, fraud_log_rows, read_log, replace_log
 from fraudscope.schemas import CREDIT_LOG_SCHEMA, FRAUD_LOG_SCHEMA
 from fraudscope.session import scratch_path
@@ -105,3 +105,25 @@ def test_newest_row_of_a_key(spark):
     for batch, rows in enumerate([[(1, 1), (2, 1)], [(2, 2)], [(2, 3), (3, 3)]]):
         spark.createDataFrame(rows, schema).write.parquet(f"{base}/t/batch_id={batch}")
     assert {tuple(r) for r in read_newest(spark, f"{base}/t", schema, ["k"]).collect()} == {(1, 1), (2, 3), (3, 3)}
+
+
+def test_arriving_files_grow_with_the_session_and_the_last_comes_from_them(spark):
+    base = scratch_path(spark, f"arriving-{uuid.uuid4().hex}")
+    reads = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    rows = spark.range(40000).select(F.col("id").alias("src_id"), F.col("id").cast("string").alias("request_id"), F.timestamp_seconds(F.col("id") * 60).alias("timestamp"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        _arriving(spark, rows.mapInArrow(watch, rows.schema), base)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert reads.value <= 2 * 40000  # the ranges and the files; the last request is made from the files
+    found = spark.read.parquet(base)
+    assert found.filter("request_id <> 'end'").select(F.input_file_name()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert found.count() == 40001 and found.agg(F.max("timestamp")).first()[0] == found.filter("request_id = 'end'").first()["timestamp"]
