@@ -157,3 +157,24 @@ def test_wide_blocks_score_the_asked_buckets_only():
         ok = (bucket >= lo[i]) & (bucket <= hi[i]) & (block != own[i]) & (d <= limits[i])
         want = sorted(zip(d[ok], ids[ok]))[:5]
         assert list(got_ids[i]) == [w[1] for w in want] and np.allclose(got_d[i], [w[0] for w in want])
+
+
+def test_points_ask_few_cells_and_all_that_hold_neighbours():
+    from fraudscope.operators import knn as K
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(6000, 5)), np.repeat(rng.normal(size=(20, 5)), 50, axis=0)])
+    x = np.concatenate([x, rng.integers(0, 2, (len(x), 3))], axis=1).astype(float)  # coordinates of two values, points that repeat
+    planes = K._planes(x[::3], 100)
+    cell = K._cells(planes, x)
+    used = np.unique(cell)
+    low, high = (np.stack([f(x[cell == c], axis=0) for c in used]) for f in (np.min, np.max))
+    ids = np.arange(len(x))
+    nn, d = K._nearest(ids[::7], x[::7], ids, x, 5, True)
+    radius = np.array([v[-1] for v in d])
+    r, c = K._asked(x[::7], radius, low, high)
+    assert len(r) < len(radius) * len(used) / 5
+    asked = set(zip(r.tolist(), used[c].tolist()))
+    assert all((i, cell[j]) in asked for i, js in enumerate(nn) for j in js)
+    assert K._nearest_within(ids[::7], x[::7], ids, x, 5, True, radius) == (nn, d)
+    assert K._nearest_within(ids[::7], x[::7], ids, x, 5, True, np.full(len(radius), np.inf)) == (nn, d)
